@@ -1,15 +1,15 @@
 """Recurrences over block-wise series.
 
 A recurrence such as an exponential average needs the state left by every
-earlier bar. It is evaluated in two passes over the blocks: each block is first
-reduced to the function it applies to an incoming state, these few numbers per
-block are chained along the series, and then every block runs with the state it
-really receives. No task sees more than one block of bars.
+earlier bar. Series of one block simply run. For longer ones each block is first
+reduced to a few numbers describing what it does to an incoming state, these are
+chained along the series, and then every block runs with the state it really
+receives. No task holds more than one block of bars.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
@@ -17,144 +17,121 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebars.operators.runs import ddl, doubles, map_runs, whole_runs
 from tidebars.operators.series import BLOCK_ROWS, Panel
 
-FANOUT = 4_096
+Columns = dict[str, np.ndarray]
 
 
 class Recurrence(Protocol):
-    """A state machine whose steps compose."""
+    """A state machine that can describe a whole stretch of rows."""
 
-    inputs: Sequence[str]  # columns it reads
+    inputs: Sequence[str]  # columns it reads, besides pos
     state: dict[str, float]  # initial state by name
-    summary: Sequence[str]  # numbers describing one stretch of rows
+    summary: Sequence[str]  # numbers describing a stretch
     outputs: Sequence[str]  # columns it adds
 
-    def summarise(self, rows: pd.DataFrame) -> list[float]:
-        """Describe what a stretch of rows does to a state."""
+    def prepare(self, rows: Columns) -> Columns:
+        """Derive columns from a block, its halo included."""
 
-    def compose(self, first: Sequence[float], second: Sequence[float]) -> Sequence[float]:
-        """Describe two consecutive stretches as one."""
+    def summarise(self, rows: Columns) -> Sequence[float]:
+        """Describe what a stretch of rows does to a state."""
 
     def apply(self, state: Sequence[float], summary: Sequence[float]) -> Sequence[float]:
-        """State after a stretch."""
+        """State after a described stretch."""
 
-    def run(self, rows: pd.DataFrame, state: Sequence[float]) -> list[np.ndarray]:
+    def run(self, rows: Columns, state: Sequence[float]) -> Sequence[np.ndarray]:
         """Output columns of a stretch entered with ``state``."""
 
 
-def _doubles(names: Sequence[str]) -> str:
-    return ", ".join(f"`{name}` double" for name in names)
+def _cut(rows: Columns, selected: np.ndarray) -> Columns:
+    return {name: values[selected] for name, values in rows.items()}
 
 
-def _ddl(df: DataFrame, names: Sequence[str]) -> str:
-    return ", ".join(f"`{name}` {df.schema[name].dataType.simpleString()}" for name in names)
+def _blocks_of(machine: Recurrence, pdf: pd.DataFrame, starts, ends) -> Iterator[tuple[int, int, Columns]]:
+    columns = {c: pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in machine.inputs}
+    columns["pos"] = pdf["pos"].to_numpy()
+    for start, end in zip(starts.tolist(), ends.tolist()):
+        yield start, end, machine.prepare({c: v[start:end] for c, v in columns.items()})
 
 
-def _chain(machine: Recurrence, ordinal: str, keys: list[str]):
-    """Kernel: states at the start of each of a group's consecutive stretches."""
+def _entry_states(
+    blocks: DataFrame, panel: Panel, machine: Recurrence, rows: int, lead_in: int
+) -> DataFrame:
+    """Incoming state of every block: describe blocks in parallel, then chain them per series."""
+    keys, series = panel.block_keys, list(panel.keys)
     names = list(machine.state)
 
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(ordinal)
-        if f"_start_{names[0]}" in group:
-            state = [group[f"_start_{n}"].iloc[0] for n in names]
-        else:
-            state = list(machine.state.values())
-        seen = []
-        for summary in group[list(machine.summary)].itertuples(index=False):
-            seen.append(state)
-            state = machine.apply(state, summary)
-        out = group[[*keys, ordinal]].copy()
-        out[[f"_in_{n}" for n in names]] = np.asarray(seen, dtype=float)
+    def describe(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        block = pdf["block"].to_numpy()
+        found = []
+        for start, _, columns in _blocks_of(machine, pdf, starts, ends):
+            # rows a block accounts for: up to where the next block's lead-in starts
+            first = block[start] * rows - lead_in
+            found.append(machine.summarise(_cut(columns, (columns["pos"] >= first) & (columns["pos"] < first + rows))))
+        out = pdf.loc[starts, keys].reset_index(drop=True)
+        out[list(machine.summary)] = np.asarray(found, dtype=float)
         return out
 
-    return kernel
-
-
-def _states_at_blocks(summaries: DataFrame, panel: Panel, machine: Recurrence) -> DataFrame:
-    """Incoming state of every block, chaining ``FANOUT`` blocks per task.
-
-    Two levels, so that even the few numbers per block of a very long series
-    never meet in one task.
-    """
-    keys = list(panel.keys)
-    names = list(machine.state)
-    ddl_keys = _ddl(summaries, keys)
-    grouped = summaries.withColumn("_span", F.floor(F.col("block") / FANOUT).cast("long"))
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("block")
-        total = None
-        for summary in group[list(machine.summary)].itertuples(index=False):
-            total = summary if total is None else machine.compose(total, summary)
-        out = group[[*keys, "_span"]].head(1).copy()
-        out[list(machine.summary)] = np.asarray([total], dtype=float)
-        return out
-
-    spans = grouped.groupBy(*keys, "_span").applyInPandas(
-        fold, f"{ddl_keys}, _span bigint, {_doubles(machine.summary)}"
-    )
-    entered = [f"_in_{n}" for n in names]
-    span_states = spans.groupBy(*keys).applyInPandas(
-        _chain(machine, "_span", keys), f"{ddl_keys}, _span bigint, {_doubles(entered)}"
-    )
-    started = grouped.join(
-        span_states.select(*keys, "_span", *[F.col(f"_in_{n}").alias(f"_start_{n}") for n in names]),
-        [*keys, "_span"],
+    def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for pdf, _, _ in whole_runs(batches, keys):
+            entered = []
+            heads = pdf[series].itertuples(index=False, name=None)
+            for head, summary in zip(heads, pdf[list(machine.summary)].itertuples(index=False, name=None)):
+                if head != key:
+                    key, state = head, list(machine.state.values())
+                entered.append(state)
+                state = machine.apply(state, summary)
+            out = pdf[keys].copy()
+            out[[f"_in_{n}" for n in names]] = np.asarray(entered, dtype=float)
+            yield out
+
+    key_ddl = ddl(blocks, keys)
+    described = map_runs(
+        blocks.select(*keys, "pos", *machine.inputs), keys, ["pos"], describe, f"{key_ddl}, {doubles(machine.summary)}"
     )
-    return started.groupBy(*keys, "_span").applyInPandas(
-        _chain(machine, "block", keys), f"{ddl_keys}, block bigint, {_doubles(entered)}"
+    return (
+        described.repartition(*series)
+        .sortWithinPartitions(*keys)
+        .mapInPandas(chain, f"{key_ddl}, {doubles([f'_in_{n}' for n in names])}")
     )
 
 
 def run_recurrence(
-    blocks: DataFrame, panel: Panel, machine: Recurrence, *, rows: int = BLOCK_ROWS, lead_in: int = 0
+    blocks: DataFrame,
+    panel: Panel,
+    machine: Recurrence,
+    *,
+    inputs: Callable[[DataFrame], DataFrame],
+    rows: int = BLOCK_ROWS,
+    lead_in: int = 0,
 ) -> DataFrame:
-    """Add the recurrence's output columns to every row from ``lead_in`` rows before the core on.
+    """Add the recurrence's output columns to the core rows and ``lead_in`` rows before them.
 
-    Rows earlier in the halo serve the machine's own warm-up and get no output.
+    ``inputs`` adds the columns the machine reads. Earlier halo rows serve warm-ups
+    and get no output.
     """
-    keys = panel.block_keys
-    names = list(machine.state)
-    warm = ["pos", *machine.inputs]
-
-    def stretch(pdf: pd.DataFrame, block: int) -> np.ndarray:
-        """Rows a block accounts for: up to where the next block's lead-in starts."""
-        pos = pdf["pos"].to_numpy()
-        return (pos >= block * rows - lead_in) & (pos < (block + 1) * rows - lead_in)
-
-    def reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        out = pdf[keys].head(1).copy()
-        prepared = machine.prepare(pdf)
-        numbers = machine.summarise(prepared[stretch(pdf, int(out["block"].iloc[0]))])
-        out[list(machine.summary)] = np.asarray([numbers], dtype=float)
-        return out
-
-    summaries = (
-        blocks.select(*keys, *warm)
-        .groupBy(*keys)
-        .applyInPandas(reduce, f"{_ddl(blocks, keys)}, {_doubles(machine.summary)}")
-    )
-    states = _states_at_blocks(summaries, panel, machine)
+    keys, names = panel.block_keys, list(machine.state)
     entered = [f"_in_{n}" for n in names]
-    kept = blocks.columns
-
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        state = pdf[entered].iloc[0].tolist()
-        live = pdf["pos"].to_numpy() >= int(pdf["block"].iloc[0]) * rows - lead_in
-        prepared = machine.prepare(pdf)
-        out = pdf[kept].copy()
-        for name, values in zip(machine.outputs, machine.run(prepared[live], state), strict=True):
-            column = np.full(len(pdf), np.nan)
-            column[live] = values
-            out[name] = column
-        return out
-
-    return (
-        blocks.join(states, keys)
-        .groupBy(*keys)
-        .applyInPandas(emit, f"{_ddl(blocks, kept)}, {_doubles(machine.outputs)}")
-    )
+    # only series of several blocks have anything to carry
+    several = inputs(blocks.filter(F.col("series_rows") > rows - lead_in))
+    states = _entry_states(several, panel, machine, rows, lead_in)
+    ready = inputs(blocks)
+    kept = ready.columns
+    defaults = list(machine.state.values())
+
+    def emit(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        block = pdf["block"].to_numpy()
+        incoming = pdf.loc[starts, entered].to_numpy(dtype=float)
+        known = pdf["_known"].notna().to_numpy()
+        columns = [np.full(len(pdf), np.nan) for _ in machine.outputs]
+        for i, (start, end, rows_of) in enumerate(_blocks_of(machine, pdf, starts, ends)):
+            live = rows_of["pos"] >= block[start] * rows - lead_in
+            state = incoming[i].tolist() if known[start] else defaults
+            for column, values in zip(columns, machine.run(_cut(rows_of, live), state), strict=True):
+                column[start:end][live] = values
+        return pdf[kept].assign(**dict(zip(machine.outputs, columns)))
+
+    joined = ready.join(states.withColumn("_known", F.lit(1)), keys, "left")
+    return map_runs(joined, keys, ["pos"], emit, f"{ddl(ready, kept)}, {doubles(machine.outputs)}")

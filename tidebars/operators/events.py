@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidebars.config import StudyConfig, as_utc
 from tidebars.functions.ranking import exact_median
 from tidebars.functions.student_t import positive_mean_p_value
+from tidebars.operators.runs import ddl, map_runs, whole_runs
 from tidebars.operators.series import (
     BLOCK_ROWS,
     SERIES,
@@ -152,34 +153,8 @@ def marked_events(
 # -- independent sample ----------------------------------------------------------
 
 
-def _segments(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
-    """Regroup sorted batches so that no run of equal keys is cut; yields run starts too."""
-    held: pd.DataFrame | None = None
-
-    def starts(pdf: pd.DataFrame) -> np.ndarray:
-        changed = np.zeros(len(pdf), dtype=bool)
-        changed[0] = True
-        for key in keys:
-            column = pdf[key].to_numpy()
-            changed[1:] |= column[1:] != column[:-1]
-        return np.flatnonzero(changed)
-
-    for pdf in batches:
-        if held is not None:
-            pdf = pd.concat([held, pdf], ignore_index=True)
-        if not len(pdf):
-            continue
-        cuts = starts(pdf)
-        if cuts[-1]:
-            yield pdf.iloc[: cuts[-1]], cuts[:-1]
-        held = pdf.iloc[cuts[-1] :].reset_index(drop=True)
-    if held is not None and len(held):
-        yield held, np.array([0])
-
-
-def _next_free(t: np.ndarray, starts: np.ndarray, holding: np.ndarray) -> np.ndarray:
+def _next_free(t: np.ndarray, starts: np.ndarray, ends: np.ndarray, holding: np.ndarray) -> np.ndarray:
     """Per event, the first event of its run at or after the end of its holding period."""
-    ends = np.append(starts[1:], len(t))
     out = np.empty(len(t), dtype=np.int64)
     for start, end in zip(starts.tolist(), ends.tolist()):
         run = t[start:end]
@@ -205,44 +180,39 @@ def independent_events(
     chunked = events.withColumns(
         {"_t": F.unix_micros("signal_date"), "_hold": holding, "_chunk": date_chunk(width, "signal_date")}
     )
-    ddl = ", ".join(f"`{k}` {events.schema[k].dataType.simpleString()}" for k in keys)
+    key_ddl, kept = ddl(events, keys), events.columns
     runs = [*keys, "_chunk"]
 
-    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, starts in _segments(batches, runs):
-            t, hold = pdf["_t"].to_numpy(), pdf["_hold"].to_numpy()
-            ends = np.append(starts[1:], len(t))
-            follow = _next_free(t, starts, hold)
-            ending = np.repeat(ends, ends - starts)
-            leave = t + hold  # moment the walk leaves the chunk with
-            # jump along the chain by doubling until every event knows its exit
-            jump = follow.copy()
-            while True:
-                inside = jump < ending
-                if not inside.any():
-                    break
-                target = jump[inside]
-                leave[inside] = leave[target]
-                jump[inside] = jump[target]
-            # a walk can only be entered within one holding period of the chunk's first event
-            first = np.repeat(t[starts], ends - starts)
-            previous = np.roll(t, 1)
-            at_start = np.zeros(len(t), dtype=bool)
-            at_start[starts] = True
-            reachable = at_start | (previous < first + hold)
-            changes = np.ones(len(t), dtype=bool)
-            changes[:-1] = (leave[1:] != leave[:-1]) | at_start[1:]
-            changes[:-1] |= ~reachable[1:]
-            kept = reachable & changes
-            out = pdf.loc[kept, runs].copy()
-            out["_until"], out["_leave"] = t[kept], leave[kept]
-            yield out
+    def describe(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        t, hold = pdf["_t"].to_numpy(), pdf["_hold"].to_numpy()
+        follow = _next_free(t, starts, ends, hold)
+        ending = np.repeat(ends, ends - starts)
+        leave = t + hold  # moment the walk leaves the chunk with
+        # jump along the chain by doubling until every event knows its exit
+        jump = follow.copy()
+        while True:
+            inside = jump < ending
+            if not inside.any():
+                break
+            target = jump[inside]
+            leave[inside] = leave[target]
+            jump[inside] = jump[target]
+        # a walk can only be entered within one holding period of the chunk's first event
+        first = np.repeat(t[starts], ends - starts)
+        previous = np.roll(t, 1)
+        at_start = np.zeros(len(t), dtype=bool)
+        at_start[starts] = True
+        reachable = at_start | (previous < first + hold)
+        changes = np.ones(len(t), dtype=bool)
+        changes[:-1] = (leave[1:] != leave[:-1]) | at_start[1:]
+        changes[:-1] |= ~reachable[1:]
+        steps = reachable & changes
+        return pdf.loc[steps, runs].assign(_until=t[steps], _leave=leave[steps])
 
     def chain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key, moment = None, None
-        for pdf, starts in _segments(batches, runs):
+        for pdf, starts, ends in whole_runs(batches, runs):
             until, leave = pdf["_until"].to_numpy(), pdf["_leave"].to_numpy()
-            ends = np.append(starts[1:], len(until))
             heads = pdf.iloc[starts]
             entered = []
             for head, start, end in zip(
@@ -258,50 +228,38 @@ def independent_events(
             out["_free"] = pd.array(entered, dtype="Int64")
             yield out
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf, starts in _segments(batches, runs):
-            pdf = pdf.reset_index(drop=True)
-            t, hold = pdf["_t"].to_numpy(), pdf["_hold"].to_numpy()
-            ends = np.append(starts[1:], len(t))
-            follow = _next_free(t, starts, hold)
-            free = pdf["_free"].to_numpy(dtype=float, na_value=np.nan)[starts]
-            taken = np.zeros(len(t), dtype=bool)
-            frontier = starts.copy()
-            for i in np.flatnonzero(~np.isnan(free)).tolist():
-                moment = int(pdf["_free"].iloc[starts[i]])
-                frontier[i] += np.searchsorted(t[starts[i] : ends[i]], moment)
-            alive = frontier < ends
-            frontier, limit = frontier[alive], ends[alive]
-            while frontier.size:
-                taken[frontier] = True
-                frontier = follow[frontier]
-                alive = frontier < limit
-                frontier, limit = frontier[alive], limit[alive]
-            out = pdf[kept].copy()
-            out["independent"] = taken
-            yield out
-
-    described = (
-        chunked.select(*runs, "_t", "_hold")
-        .repartition(*runs)
-        .sortWithinPartitions(*runs, "_t")
-        .mapInPandas(describe, f"{ddl}, _chunk bigint, _until bigint, _leave bigint")
+    def walk(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        t, hold = pdf["_t"].to_numpy(), pdf["_hold"].to_numpy()
+        follow = _next_free(t, starts, ends, hold)
+        free = pdf["_free"].to_numpy(dtype=float, na_value=np.nan)[starts]
+        taken = np.zeros(len(t), dtype=bool)
+        frontier = starts.copy()
+        for i in np.flatnonzero(~np.isnan(free)).tolist():
+            moment = int(pdf["_free"].iloc[starts[i]])
+            frontier[i] += np.searchsorted(t[starts[i] : ends[i]], moment)
+        alive = frontier < ends
+        frontier, limit = frontier[alive], ends[alive]
+        while frontier.size:
+            taken[frontier] = True
+            frontier = follow[frontier]
+            alive = frontier < limit
+            frontier, limit = frontier[alive], limit[alive]
+        return pdf[kept].assign(independent=taken)
+
+    described = map_runs(
+        chunked.select(*runs, "_t", "_hold"),
+        runs,
+        ["_t"],
+        describe,
+        f"{key_ddl}, _chunk bigint, _until bigint, _leave bigint",
     )
     entered = (
         described.repartition(*keys)
         .sortWithinPartitions(*runs, "_until")
-        .mapInPandas(chain, f"{ddl}, _chunk bigint, _free bigint")
+        .mapInPandas(chain, f"{key_ddl}, _chunk bigint, _free bigint")
     )
-    kept = events.columns
-    return (
-        chunked.join(entered, runs)
-        .repartition(*runs)
-        .sortWithinPartitions(*runs, "_t")
-        .mapInPandas(
-            walk,
-            ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in kept)
-            + ", independent boolean",
-        )
+    return map_runs(
+        chunked.join(entered, runs), runs, ["_t"], walk, f"{ddl(events, kept)}, independent boolean"
     )
 
 

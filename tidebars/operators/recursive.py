@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from tidebars.operators.carry import _ddl, _doubles
+from tidebars.operators.runs import ddl, doubles, map_runs
 from tidebars.operators.series import Panel
 
 
@@ -21,35 +21,44 @@ def warm_up(alpha: float) -> int:
     return 0 if alpha >= 1.0 else ceil(log(1e-17) / log(1.0 - alpha))
 
 
-def _ewm(values: pd.Series, alpha: float) -> pd.Series:
-    return values.ewm(alpha=alpha, adjust=False).mean()
+def ewm(values: np.ndarray, alpha: float) -> np.ndarray:
+    return pd.Series(values).ewm(alpha=alpha, adjust=False).mean().to_numpy()
 
 
-def with_macd(blocks: DataFrame, panel: Panel, *, fast: int, slow: int, signal: int) -> DataFrame:
-    """Add ``macd`` and ``macd_signal``.
+def macd_lookback(fast: int, slow: int, signal: int) -> int:
+    return max(slow, warm_up(alpha_of_span(slow))) + max(signal, warm_up(alpha_of_span(signal))) + 1
+
+
+def with_macd_crosses(blocks: DataFrame, panel: Panel, *, fast: int, slow: int, signal: int) -> DataFrame:
+    """Add ``macd``, ``macd_signal`` and whether one crosses ``_above`` or ``_below`` the other.
 
     Closes are never missing, so an average started ``warm_up`` rows before a
     block agrees with one started at the first bar; no state is carried.
     """
     kept = blocks.columns
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos = pdf["pos"]
-        line = _ewm(pdf["close"], alpha_of_span(fast)) - _ewm(pdf["close"], alpha_of_span(slow))
-        line = line.where(pos >= slow - 1)
+    def kernel(pdf: pd.DataFrame, starts: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+        close, pos = pdf["close"].to_numpy(), pdf["pos"].to_numpy()
+        line, average = np.empty(len(pdf)), np.empty(len(pdf))
+        for start, end in zip(starts.tolist(), ends.tolist()):
+            part = close[start:end]
+            spread = ewm(part, alpha_of_span(fast)) - ewm(part, alpha_of_span(slow))
+            spread[pos[start:end] < slow - 1] = np.nan
+            line[start:end] = spread
+            average[start:end] = ewm(spread, alpha_of_span(signal))
+        average[pos < slow + signal - 2] = np.nan
+        gap = line - average  # comparisons with a missing side are false
+        before = np.roll(gap, 1)
+        before[starts] = np.nan
         return pdf.assign(
             macd=line,
-            macd_signal=_ewm(line, alpha_of_span(signal)).where(pos >= slow + signal - 2),
+            macd_signal=average,
+            _above=(line > average) & (before <= 0),
+            _below=(line < average) & (before >= 0),
         )
 
-    return blocks.groupBy(*panel.block_keys).applyInPandas(
-        kernel, f"{_ddl(blocks, kept)}, {_doubles(['macd', 'macd_signal'])}"
-    )
-
-
-def macd_lookback(fast: int, slow: int, signal: int) -> int:
-    return max(slow, warm_up(alpha_of_span(slow))) + max(signal, warm_up(alpha_of_span(signal))) + 1
+    schema = f"{ddl(blocks, kept)}, {doubles(['macd', 'macd_signal'])}, _above boolean, _below boolean"
+    return map_runs(blocks, panel.block_keys, ["pos"], kernel, schema)
 
 
 class EwmWithGaps:
@@ -71,8 +80,8 @@ class EwmWithGaps:
         self.alpha = alpha_of_span(span)
         self.minimum = span
 
-    def prepare(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf
+    def prepare(self, rows):
+        return rows
 
     def _enter(self, average: float, idle: float, lead: float, first: float) -> float:
         """Average right after a stretch's first observation."""
@@ -81,79 +90,56 @@ class EwmWithGaps:
         past = (1.0 - self.alpha) ** (idle + lead + 1)
         return (past * average + self.alpha * first) / (past + self.alpha)
 
-    def summarise(self, rows: pd.DataFrame) -> list[float]:
-        values = rows[self.column].to_numpy(dtype=float)
+    def summarise(self, rows):
+        values = rows[self.column]
         seen = np.flatnonzero(~np.isnan(values))
         if not seen.size:
             return [len(values), np.nan, np.nan, np.nan, 0, 0, len(values)]
-        gaps = np.diff(seen)
-        past = (1.0 - self.alpha) ** gaps
+        past = (1.0 - self.alpha) ** np.diff(seen)
         scale = float(np.prod(past / (past + self.alpha)))
         # value reached when the first observation counts as zero
-        from_zero = pd.Series(values[seen[0]:]).copy()
-        from_zero.iloc[0] = 0.0
-        shift = float(_ewm(from_zero, self.alpha).iloc[-1])
-        return [
-            seen[0], values[seen[0]], scale, shift, len(values) - 1 - seen[-1], seen.size, len(values)
-        ]
+        from_zero = values[seen[0] :].copy()
+        from_zero[0] = 0.0
+        shift = ewm(from_zero, self.alpha)[-1]
+        return [seen[0], values[seen[0]], scale, shift, len(values) - 1 - seen[-1], seen.size, len(values)]
 
     def apply(self, state, summary):
         average, idle, observed = state
         lead, first, scale, shift, tail, observations, length = summary
         if not observations:
             return [average, idle + length, observed]
-        return [
-            scale * self._enter(average, idle, lead, first) + shift, tail, observed + observations
-        ]
+        return [scale * self._enter(average, idle, lead, first) + shift, tail, observed + observations]
 
-    def compose(self, one, two):
-        lead1, first1, scale1, shift1, tail1, n1, length1 = one
-        lead2, first2, scale2, shift2, tail2, n2, length2 = two
-        if not n1:
-            return [length1 + lead2, first2, scale2, shift2, tail2, n2, length1 + length2]
-        if not n2:
-            return [lead1, first1, scale1, shift1, tail1 + length2, n1, length1 + length2]
-        past = (1.0 - self.alpha) ** (tail1 + lead2 + 1)
-        weight = past / (past + self.alpha)
-        return [
-            lead1,
-            first1,
-            scale2 * weight * scale1,
-            scale2 * (weight * shift1 + (1.0 - weight) * first2) + shift2,
-            tail2,
-            n1 + n2,
-            length1 + length2,
-        ]
-
-    def run(self, rows: pd.DataFrame, state) -> list[np.ndarray]:
+    def run(self, rows, state):
         average, idle, observed = state
-        values = rows[self.column].astype(float).reset_index(drop=True)
+        values = rows[self.column]
         out = np.full(len(values), average)
-        seen = np.flatnonzero(values.notna().to_numpy())
-        if seen.size:
-            head = seen[0]
-            rest = values.iloc[head:].copy()
-            rest.iloc[0] = self._enter(average, idle, head, rest.iloc[0])
-            out[head:] = _ewm(rest, self.alpha).to_numpy()
-        count = observed + values.notna().cumsum().to_numpy()
-        return [np.where(count >= self.minimum, out, np.nan)]
+        present = ~np.isnan(values)
+        if present.any():
+            head = int(present.argmax())
+            rest = values[head:].copy()
+            rest[0] = self._enter(average, idle, head, rest[0])
+            out[head:] = ewm(rest, self.alpha)
+        out[observed + present.cumsum() < self.minimum] = np.nan
+        return [out]
 
 
 class Vidya:
     """Averages y = w*x + (1-w)*y_prev whose weight differs on every row.
 
     The past of the first row is 0; a missing x gives a missing y and a past of 0.
+    ``series`` maps each output to its x and w columns.
     """
 
-    def __init__(self, pairs: dict[str, tuple[str, str]]):
-        self.outputs = tuple(pairs)
-        self.pairs = pairs
-        self.inputs = tuple(column for pair in pairs.values() for column in pair)
-        self.state = {name: 0.0 for name in pairs}
-        self.summary = tuple(f"{part}_{name}" for name in pairs for part in ("scale", "shift"))
+    def __init__(self, series: dict[str, tuple[str, str]]):
+        self.series = series
+        self.outputs = tuple(series)
+        self.inputs = tuple(column for pair in series.values() for column in pair)
+        self.state = {name: 0.0 for name in series}
+        self.summary = tuple(f"{part}_{name}" for name in series for part in ("scale", "shift"))
 
-    def prepare(self, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pdf
+    def prepare(self, rows):
+        return {name: np.nan_to_num(v) if name.endswith("_weight") else v for name, v in rows.items()}
 
     @staticmethod
     def _walk(x: np.ndarray, w: np.ndarray, past: float) -> list[float]:
@@ -167,35 +153,22 @@ class Vidya:
                 out.append(past)
         return out
 
-    def _columns(self, rows: pd.DataFrame, name: str) -> tuple[np.ndarray, np.ndarray]:
-        value, weight = self.pairs[name]
-        return rows[value].to_numpy(dtype=float), rows[weight].fillna(0.0).to_numpy(dtype=float)
-
-    def summarise(self, rows: pd.DataFrame) -> list[float]:
+    def summarise(self, rows):
         numbers = []
-        for name in self.pairs:
-            x, w = self._columns(rows, name)
-            if not x.size:
-                numbers += [1.0, 0.0]
-                continue
-            reached = self._walk(x, w, 0.0)[-1]
-            cut = np.isnan(x).any()
-            numbers += [0.0 if cut else float(np.prod(1.0 - w)), 0.0 if np.isnan(reached) else reached]
+        for value, weight in self.series.values():
+            x, w = rows[value], rows[weight]
+            reached = self._walk(x, w, 0.0)[-1] if x.size else 0.0
+            scale = 0.0 if np.isnan(x).any() else float(np.prod(1.0 - w))
+            numbers += [scale, 0.0 if np.isnan(reached) else reached]
         return numbers
 
     def apply(self, state, summary):
         return [summary[2 * i] * past + summary[2 * i + 1] for i, past in enumerate(state)]
 
-    def compose(self, one, two):
-        out = []
-        for i in range(0, len(self.summary), 2):
-            out += [two[i] * one[i], two[i] * one[i + 1] + two[i + 1]]
-        return out
-
-    def run(self, rows: pd.DataFrame, state) -> list[np.ndarray]:
+    def run(self, rows, state):
         return [
-            np.asarray(self._walk(*self._columns(rows, name), past))
-            for name, past in zip(self.pairs, state)
+            np.asarray(self._walk(rows[value], rows[weight], past))
+            for (value, weight), past in zip(self.series.values(), state)
         ]
 
 
@@ -218,18 +191,22 @@ class FollowLine:
         self.alpha = 1.0 / atr_period
         self.minimum = atr_period
 
-    def prepare(self, pdf: pd.DataFrame) -> pd.DataFrame:
+    def prepare(self, rows):
         """Add the levels a row offers; bars are never missing, so ATR needs only a warm-up."""
-        atr = _ewm(pdf["true_range"], self.alpha).where(pdf["pos"] >= self.minimum - 1)
-        return pdf.assign(
-            rise_to=pdf["low"] - atr, fall_to=pdf["high"] + atr, outside=pdf["outside"].fillna(0)
-        )
+        atr = ewm(rows["true_range"], self.alpha)
+        atr[rows["pos"] < self.minimum - 1] = np.nan
+        return {
+            "pos": rows["pos"],
+            "outside": np.nan_to_num(rows["outside"]),
+            "rise_to": rows["low"] - atr,
+            "fall_to": rows["high"] + atr,
+        }
 
     @staticmethod
-    def _levels(rows: pd.DataFrame):
+    def _levels(rows):
         return zip(rows["outside"].tolist(), rows["rise_to"].tolist(), rows["fall_to"].tolist())
 
-    def summarise(self, rows: pd.DataFrame) -> list[float]:
+    def summarise(self, rows):
         pre_max, pre_min, side = -np.inf, np.inf, 0.0
         floor, ceiling = -np.inf, np.inf
         for outside, rise_to, fall_to in self._levels(rows):
@@ -244,24 +221,13 @@ class FollowLine:
                 pre_max, pre_min = max(pre_max, rise_to), min(pre_min, fall_to)
         return [pre_max, pre_min, side, floor, ceiling]
 
-    @staticmethod
-    def _enter(side: float, line: float, summary) -> float:
-        """Effect of the rows that still act by the side carried in."""
-        pre_max, pre_min = summary[:2]
-        return max(line, pre_max) if side > 0 else min(line, pre_min) if side < 0 else line
-
     def apply(self, state, summary):
         side, line = state
-        _, _, last_side, floor, ceiling = summary
-        return [last_side or side, min(ceiling, max(floor, self._enter(side, line, summary)))]
-
-    def compose(self, one, two):
-        if not one[2]:
-            return [max(one[0], two[0]), min(one[1], two[1]), *two[2:]]
-        bounds = [min(two[4], max(two[3], self._enter(one[2], bound, two))) for bound in one[3:]]
-        return [one[0], one[1], two[2] or one[2], *bounds]
+        pre_max, pre_min, last_side, floor, ceiling = summary
+        line = max(line, pre_max) if side > 0 else min(line, pre_min) if side < 0 else line
+        return [last_side or side, min(ceiling, max(floor, line))]
 
-    def run(self, rows: pd.DataFrame, state) -> list[np.ndarray]:
+    def run(self, rows, state):
         side, line = state
         out = []
         for outside, rise_to, fall_to in self._levels(rows):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 SERIES = ("pair", "timeframe")
 BLOCK_ROWS = 65_536
-LAYOUT_COLUMNS = ("pos", "block", "core")
+LAYOUT_COLUMNS = ("pos", "series_rows", "block", "core")
 
 
 def bar_seconds(timeframe: Column | str = "timeframe") -> Column:
@@ -48,7 +48,7 @@ def bar_chunk(rows: int = BLOCK_ROWS) -> Column:
 def with_position(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], chunk: Column
 ) -> DataFrame:
-    """Add ``pos``, the 0-based row number inside each series.
+    """Add ``pos``, the 0-based row number inside each series, and its length ``series_rows``.
 
     Rows are numbered inside (series, chunk) tasks and shifted by the number of
     rows in earlier chunks, a running sum over one small row per chunk. ``chunk``
@@ -60,7 +60,12 @@ def with_position(
     starts = (
         tagged.groupBy(*keys, "_chunk")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_chunk", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        .select(
+            *keys,
+            "_chunk",
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"),
+            F.sum("_n").over(Window.partitionBy(*keys)).alias("series_rows"),
+        )
     )
     inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     numbered = tagged.withColumn("_row", F.row_number().over(inside))

@@ -20,7 +20,7 @@ from tidebars.operators.recursive import (
     alpha_of_span,
     macd_lookback,
     warm_up,
-    with_macd,
+    with_macd_crosses,
 )
 from tidebars.operators.series import BLOCK_ROWS, SERIES, Panel, bar_blocks, carry_last, core_rows
 from tidebars.session import stage
@@ -138,9 +138,7 @@ def _macd_reach(p: Mapping) -> int:
     {"fast_period": 12, "slow_period": 26, "signal_period": 9}, reach=_macd_reach, rules=_MACD_RULES
 )
 def macd_crossover(df, panel, p, rows):
-    df = with_macd(df, panel, fast=p["fast_period"], slow=p["slow_period"], signal=p["signal_period"])
-    above, below = crosses(panel, "macd", "macd_signal")
-    df = df.withColumns({"_above": above, "_below": below})
+    df = with_macd_crosses(df, panel, fast=p["fast_period"], slow=p["slow_period"], signal=p["signal_period"])
     return _signals(
         df, F.col("_above") & tradable(), F.col("_below") & tradable(), "macd_cross_long", "macd_cross_short"
     )
@@ -151,13 +149,15 @@ def macd_exits(bars: DataFrame, *, block_rows: int = BLOCK_ROWS, **overrides) ->
     system = REGISTRY["macd_crossover"]
     p = system.parameters(overrides)
     back = system.lookback(p)
-    panel = Panel()
     blocks = bar_blocks(bars, rows=max(block_rows, 4 * back), back=back)
-    blocks = with_macd(blocks, panel, fast=p["fast_period"], slow=p["slow_period"], signal=p["signal_period"])
-    above, below = crosses(panel, "macd", "macd_signal")
-    marked = blocks.select("*", below.alias("exit_long"), above.alias("exit_short"))
-    marked = marked.withColumn("exit_tag", F.when(F.col("exit_long") | F.col("exit_short"), "opposite_cross"))
-    return core_rows(marked).drop("macd", "macd_signal")
+    crossed = with_macd_crosses(
+        blocks, Panel(), fast=p["fast_period"], slow=p["slow_period"], signal=p["signal_period"]
+    )
+    opposite = F.when(F.col("_below") | F.col("_above"), "opposite_cross")
+    marked = crossed.withColumns(
+        {"exit_long": F.col("_below"), "exit_short": F.col("_above"), "exit_tag": opposite}
+    )
+    return core_rows(marked).drop("macd", "macd_signal", "_above", "_below")
 
 
 @_system(
@@ -375,17 +375,18 @@ def turtle_channel(df, panel, p, rows):
 )
 def turtle_vhf(df, panel, p, rows):
     n = p["vhf_length"]
-    df = _turtle(df, panel, p["entry_length"])
-    df = df.withColumn("_step", F.abs(F.col("close") - panel.lag("close")))
-    df = df.withColumns(
-        {
-            "_reach": panel.trailing(F.max, "close", n) - panel.trailing(F.min, "close", n),
-            "_path": panel.trailing(F.sum, "_step", n, missing=1),
-        }
-    )
-    df = df.withColumn("_vhf", F.when(F.col("_path") != 0, F.col("_reach") / F.col("_path")))
-    df = df.withColumn("_vhf_before", panel.lag("_vhf"))
-    df = run_recurrence(df, panel, EwmWithGaps("_vhf", "_vhf_ema", span=p["vhf_ema_length"]), rows=rows)
+
+    def inputs(df):
+        df = _turtle(df, panel, p["entry_length"])
+        df = df.withColumn("_step", F.abs(F.col("close") - panel.lag("close")))
+        reach = panel.trailing(F.max, "close", n) - panel.trailing(F.min, "close", n)
+        path = panel.trailing(F.sum, "_step", n, missing=1)
+        df = df.withColumns({"_reach": reach, "_path": path})
+        df = df.withColumn("_vhf", F.when(F.col("_path") != 0, F.col("_reach") / F.col("_path")))
+        return df.withColumn("_vhf_before", panel.lag("_vhf")).drop("_step", "_reach", "_path")
+
+    machine = EwmWithGaps("_vhf", "_vhf_ema", span=p["vhf_ema_length"])
+    df = run_recurrence(df, panel, machine, inputs=inputs, rows=rows)
     trending = (F.col("_vhf") > F.col("_vhf_ema")) & (F.col("_vhf") > F.col("_vhf_before"))
     return _signals(
         df,
@@ -452,19 +453,22 @@ def volume_coloured_bars(df, panel, p, rows):
 )
 def follow_line(df, panel, p, rows):
     n, width = p["bb_period"], p["bb_deviation"]
-    df = df.withColumns(
-        {
-            "_mid": panel.trailing(F.avg, "close", n),
-            "_dev": panel.trailing(F.stddev_pop, "close", n),
-            "true_range": true_range(panel),
-        }
-    )
-    outside = F.when(F.col("close") > F.col("_mid") + F.col("_dev") * width, 1).when(
-        F.col("close") < F.col("_mid") - F.col("_dev") * width, -1
-    )
-    df = df.withColumn("outside", outside)
-    df = run_recurrence(df, panel, FollowLine(atr_period=p["atr_period"]), rows=rows, lead_in=1)
-    df = stage(df.drop("_mid", "_dev", "true_range", "outside"))  # read twice below
+
+    def inputs(df):
+        df = df.withColumns(
+            {
+                "_mid": panel.trailing(F.avg, "close", n),
+                "_dev": panel.trailing(F.stddev_pop, "close", n) * width,
+                "true_range": true_range(panel),
+            }
+        )
+        above, below = F.col("_mid") + F.col("_dev"), F.col("_mid") - F.col("_dev")
+        outside = F.when(F.col("close") > above, 1).when(F.col("close") < below, -1)
+        return df.withColumn("outside", outside).drop("_mid", "_dev")
+
+    machine = FollowLine(atr_period=p["atr_period"])
+    df = run_recurrence(df, panel, machine, inputs=inputs, rows=rows, lead_in=1)
+    df = stage(df.drop("true_range", "outside"))  # read twice below
     # the line before a series' first bar counts as 0
     before = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(panel.lag("follow_line"))
     df = df.withColumn("_move", F.signum(F.col("follow_line") - before))
@@ -519,23 +523,24 @@ def progressive_trend_tracker(df, panel, p, rows):
     # the extreme over `period` windows of `faster_period` bars is one longer window
     n = p["faster_period"] + p["period"] - 1
     sides = {"upper": (F.max, "high"), "lower": (F.min, "low")}
-    df = df.withColumns({f"_{s}": panel.trailing(agg, c, n) for s, (agg, c) in sides.items()})
-    df = df.withColumns({f"_{s}_step": F.col(f"_{s}") - panel.lag(f"_{s}") for s in sides})
-    gain = lambda c: F.when(c > 0, c).otherwise(F.lit(0.0))
-    df = df.withColumns(
-        {f"_{s}_{d}": gain(F.col(f"_{s}_step") * sign) for s in sides for d, sign in (("up", 1), ("down", -1))}
-    )
-    total = lambda c: panel.trailing(F.sum, c, _CMO_ROWS, missing=n)
-    df = df.withColumns({f"{c}_sum": total(c) for s in sides for c in (f"_{s}_up", f"_{s}_down")})
     alpha = alpha_of_span(p["ma_period"])
+    gain = lambda c: F.when(c > 0, c).otherwise(F.lit(0.0))
+    total = lambda c: panel.trailing(F.sum, gain(c), _CMO_ROWS, missing=n)
+
+    def inputs(df):
+        df = df.withColumns({f"_{s}": panel.trailing(agg, c, n) for s, (agg, c) in sides.items()})
+        df = df.withColumns({f"_{s}_step": F.col(f"_{s}") - panel.lag(f"_{s}") for s in sides})
+        sums = {f"_{s}_up": total(F.col(f"_{s}_step")) for s in sides}
+        sums |= {f"_{s}_down": total(-F.col(f"_{s}_step")) for s in sides}
+        df = df.withColumns(sums)
+        weights = {}
+        for s in sides:
+            up, down = F.col(f"_{s}_up"), F.col(f"_{s}_down")
+            weights[f"_{s}_weight"] = F.when(up + down != 0, F.abs((up - down) / (up + down)) * alpha)
+        return df.withColumns(weights).drop(*sums, *(f"_{s}_step" for s in sides))
 
-    def weight(side: str) -> Column:
-        up, down = F.col(f"_{side}_up_sum"), F.col(f"_{side}_down_sum")
-        return F.coalesce(F.when(up + down != 0, F.abs((up - down) / (up + down)) * alpha), F.lit(0.0))
-
-    df = df.withColumns({f"_{s}_weight": weight(s) for s in sides})
     machine = Vidya({f"_{s}_ma": (f"_{s}", f"_{s}_weight") for s in sides})
-    df = run_recurrence(df, panel, machine, rows=rows, lead_in=_tracker_back(p))
+    df = run_recurrence(df, panel, machine, inputs=inputs, rows=rows, lead_in=_tracker_back(p))
     spread = {
         s: panel.trailing(F.stddev_pop, f"_{s}", p["ma_period"], missing=n - 1) * p["stddev_multiplier"]
         for s in sides
