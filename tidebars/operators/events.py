@@ -38,26 +38,70 @@ def period_label(date: Column, train_end, validation_end) -> Column:
     )
 
 
+_LEADS_PER_SPAN = 12
+
+
+def _span_levels(horizons: Sequence[int]) -> list[tuple[int, list[int]]]:
+    """Spans to build from copies of a shorter one: (shorter span, spans built from it)."""
+    levels, base, left = [], 1, list(horizons)
+    while left:
+        reach = base * _LEADS_PER_SPAN
+        level = [h for h in left if h <= reach] or [reach]
+        levels.append((base, level))
+        left, base = [h for h in left if h > reach], level[-1]
+    return levels
+
+
 def forward_columns(blocks: DataFrame, panel: Panel, horizons: Sequence[int]) -> DataFrame:
     """Add next open and, per horizon, exit close, extremes and contiguity of the bars ahead.
 
-    All frames share the blocks' partitioning and order. Contiguity compares a
-    running count of broken edges with its value h bars on: equal means every edge
-    between is one bar long.
+    All windows share the blocks' partitioning and order. The extreme of a long span
+    is put together from a few leads of a shorter one, so a row costs a few leads
+    instead of one comparison per bar ahead; extremes of an unfinished horizon are
+    missing. Contiguity compares a running count of broken edges with its value h
+    bars on: equal means every edge between is one bar long.
     """
-    step = F.unix_micros("date") - F.unix_micros(panel.lag("date"))
-    broken = F.coalesce(step != bar_seconds() * 1_000_000, F.lit(False)).cast("int")
-    running = panel.window.rowsBetween(Window.unboundedPreceding, 0)
-    df = blocks.withColumn("_broken", broken).withColumn("_breaks", F.sum("_broken").over(running))
-    added: dict[str, Column] = {"next_open": panel.lead("open")}
+    horizons = sorted(set(horizons))
+    levels = _span_levels(horizons)
+    sides = {"max_high": ("high", F.greatest), "min_low": ("low", F.least)}
+    helpers: set[str] = set()
+    df = blocks
+    for depth in range(max(len(levels), 3)):
+        new: dict[str, Column] = {}
+        if depth == 0:
+            new["_step"] = F.unix_micros("date") - F.unix_micros(panel.lag("date"))
+            new["next_open"] = panel.lead("open")
+            new |= {f"exit_close_{h}": panel.lead("close", h) for h in horizons}
+        elif depth == 1:
+            broken = F.coalesce(F.col("_step") != bar_seconds() * 1_000_000, F.lit(False)).cast("int")
+            running = panel.window.rowsBetween(Window.unboundedPreceding, 0)
+            new["_breaks"] = F.sum(broken).over(running)
+        elif depth == 2:
+            new |= {f"_breaks_{h}": panel.lead("_breaks", h) for h in horizons}
+        spans: dict[str, Column] = {}
+        if depth < len(levels):
+            base, level = levels[depth]
+            for name, (bar, pick) in sides.items():
+                source = f"{name}_{base}" if depth else bar
+                first = 0 if depth else 1  # spans start at the next row
+                offsets = {
+                    h: sorted({*range(first, h - base + first, base), h - base + first}) for h in level
+                }
+                leads = {k: f"_{name}_{base}_{k}" for k in sorted({k for o in offsets.values() for k in o})}
+                new |= {column: panel.lead(source, k) if k else F.col(source) for k, column in leads.items()}
+                helpers |= set(leads.values())
+                for h, places in offsets.items():
+                    parts = [F.col(leads[k]) for k in places]
+                    spans[f"{name}_{h}"] = pick(*parts) if len(parts) > 1 else parts[0]
+        df = df.withColumns(new).withColumns(spans) if spans else df.withColumns(new)
+    finished = {}
     for h in horizons:
-        ahead = panel.window.rowsBetween(1, h)
-        exit_close = panel.lead("close", h)
-        added[f"exit_close_{h}"] = exit_close
-        added[f"max_high_{h}"] = F.when(exit_close.isNotNull(), F.max("high").over(ahead))
-        added[f"min_low_{h}"] = F.when(exit_close.isNotNull(), F.min("low").over(ahead))
-        added[f"contiguous_{h}"] = F.coalesce(panel.lead("_breaks", h) == F.col("_breaks"), F.lit(False))
-    return df.withColumns(added).drop("_broken", "_breaks")
+        exists = F.col(f"exit_close_{h}").isNotNull()
+        finished |= {f"{name}_{h}": F.when(exists, F.col(f"{name}_{h}")) for name in sides}
+        finished[f"contiguous_{h}"] = F.coalesce(F.col(f"_breaks_{h}") == F.col("_breaks"), F.lit(False))
+    extra = {f"{name}_{h}" for _, level in levels for h in level for name in sides if h not in horizons}
+    internal = [*helpers, *extra, "_step", "_breaks", *(f"_breaks_{h}" for h in horizons)]
+    return df.withColumns(finished).drop(*internal)
 
 
 def directional_performance(

@@ -10,7 +10,7 @@ same values as on the uncut series. Only ``core`` rows are results.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -141,33 +141,51 @@ class Panel:
         frame = self.window.rowsBetween(-(n - 1) - shift, -shift)
         return F.when(F.col("pos") >= n - 1 + shift + missing, aggregate(col).over(frame))
 
-    def median(self, col, n: int, *, shift: int = 0, missing: int = 0) -> Column:
-        return self.trailing(lambda c: F.percentile(c, 0.5), col, n, shift=shift, missing=missing)
+    def values(self, col, n: int, *, shift: int = 0, missing: int = 0) -> Column:
+        """The values of a full window as an array, for ``median_of``."""
+        return self.trailing(F.collect_list, col, n, shift=shift, missing=missing)
 
 
-def carry_last(blocks: DataFrame, panel: Panel, value: Column, name: str, *, inclusive: bool) -> DataFrame:
-    """Add the latest non-missing ``value`` at or before (strictly before) each core row.
+def median_of(values: Column, n: int) -> Column:
+    """Median of a window of ``n`` values; missing if any of them is.
 
-    Inside a block this is a streaming window; what a block inherits comes from
-    the last value of earlier blocks, one row per block.
+    Collecting a window is cheap and sorting it is not, so evaluate this under a
+    ``when`` that rules most rows out.
     """
-    own = blocks.withColumn("_value", F.when(F.col("core"), value))
-    last_of_block = (
-        own.filter("core")
-        .groupBy(*panel.block_keys)
-        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("pos"))).alias("_last"))
-    )
+    ordered = F.array_sort(values)
+    middle = (F.get(ordered, F.lit((n - 1) // 2)) + F.get(ordered, F.lit(n // 2))) / 2
+    return F.when(F.size(values) == n, middle)
+
+
+def carry_last(
+    blocks: DataFrame,
+    panel: Panel,
+    derive: Callable[[DataFrame], DataFrame],
+    value: str,
+    name: str,
+    *,
+    rows: int,
+) -> DataFrame:
+    """Add the latest non-missing ``value`` strictly before each core row.
+
+    ``derive`` adds ``value`` to the blocks. Inside a block the latest value is a
+    streaming window; what a block of a longer series inherits comes from the last
+    value of each earlier block.
+    """
+    several = derive(blocks.filter(F.col("series_rows") > rows)).filter("core")
+    present = F.when(F.col(value).isNotNull(), F.col("pos"))
+    last_of_block = several.groupBy(*panel.block_keys).agg(F.max_by(value, present).alias("_last"))
     before = (
         Window.partitionBy(*panel.keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     )
     inherited = last_of_block.select(
         *panel.block_keys, F.last("_last", ignorenulls=True).over(before).alias("_inherited")
     )
-    end = 0 if inclusive else -1
-    inside = panel.window.rowsBetween(Window.unboundedPreceding, end)
+    inside = panel.window.rowsBetween(Window.unboundedPreceding, -1)
+    own = derive(blocks).withColumn("_core_value", F.when(F.col("core"), F.col(value)))
     return (
-        own.withColumn("_inside", F.last("_value", ignorenulls=True).over(inside))
+        own.withColumn("_inside", F.last("_core_value", ignorenulls=True).over(inside))
         .join(inherited, panel.block_keys, "left")
         .withColumn(name, F.coalesce("_inside", "_inherited"))
-        .drop("_value", "_inside", "_inherited")
+        .drop("_core_value", "_inside", "_inherited")
     )

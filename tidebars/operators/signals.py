@@ -22,7 +22,15 @@ from tidebars.operators.recursive import (
     warm_up,
     with_macd_crosses,
 )
-from tidebars.operators.series import BLOCK_ROWS, SERIES, Panel, bar_blocks, carry_last, core_rows
+from tidebars.operators.series import (
+    BLOCK_ROWS,
+    SERIES,
+    Panel,
+    bar_blocks,
+    carry_last,
+    core_rows,
+    median_of,
+)
 from tidebars.session import stage
 
 SIGNAL_COLUMNS = ("long_signal", "short_signal", "tag")
@@ -282,23 +290,21 @@ def compression_expansion(df, panel, p, rows):
     df = df.withColumns(
         {
             "_before": panel.lag("_width"),
-            "_usual_width": panel.median("_width", base, shift=n + 1, missing=n - 1),
-            "_usual_range": panel.median("_range", n, shift=1, missing=1),
+            "_widths": panel.values("_width", base, shift=n + 1, missing=n - 1),
+            "_ranges": panel.values("_range", n, shift=1, missing=1),
         }
     )
-    squeezed = F.col("_before") <= F.col("_usual_width") * p["compression_ratio"]
-    expanding = F.col("_range") >= F.col("_usual_range") * p["expansion_ratio"]
     close = F.col("close")
+    up = _all(close >= band(F.col("_roof"), buffer), close_location() >= strong, tradable())
+    down = _all(close <= band(F.col("_floor"), -buffer), close_location() <= 1.0 - strong, tradable())
+    squeezed = F.col("_before") <= median_of(F.col("_widths"), base) * p["compression_ratio"]
+    expanding = F.col("_range") >= median_of(F.col("_ranges"), n) * p["expansion_ratio"]
+    df = df.withColumns({"_up": up, "_down": down})
+    df = df.withColumn("_ready", F.when(F.col("_up") | F.col("_down"), squeezed & expanding))
     return _signals(
         df,
-        _all(squeezed, expanding, close >= band(F.col("_roof"), buffer), close_location() >= strong, tradable()),
-        _all(
-            squeezed,
-            expanding,
-            close <= band(F.col("_floor"), -buffer),
-            close_location() <= 1.0 - strong,
-            tradable(),
-        ),
+        F.col("_up") & F.col("_ready"),
+        F.col("_down") & F.col("_ready"),
         "compression_expansion_long",
         "compression_expansion_short",
     )
@@ -321,21 +327,27 @@ def compression_expansion(df, panel, p, rows):
 )
 def bos_choch(df, panel, p, rows):
     n, buffer, strong = p["lookback"], p["break_buffer_bps"], p["close_strength_fraction"]
-    df = df.withColumns(
-        {
-            "_range": relative_range(panel),
-            "_roof": panel.trailing(F.max, "high", n, shift=1),
-            "_floor": panel.trailing(F.min, "low", n, shift=1),
-        }
-    )
-    df = df.withColumn("_usual_range", panel.median("_range", n, shift=1, missing=1))
-    displaced = F.col("_range") >= F.col("_usual_range") * p["displacement_ratio"]
-    close = F.col("close")
-    up = _all(close >= band(F.col("_roof"), buffer), displaced, close_location() >= strong, tradable())
-    down = _all(close <= band(F.col("_floor"), -buffer), displaced, close_location() <= 1.0 - strong, tradable())
-    # a bar breaking both ways is ignored
-    df = df.withColumn("_break", F.when(up & ~down, 1).when(down & ~up, -1))
-    df = carry_last(df, panel, F.col("_break"), "_structure", inclusive=False)
+
+    def breaks(df):
+        df = df.withColumns(
+            {
+                "_range": relative_range(panel),
+                "_roof": panel.trailing(F.max, "high", n, shift=1),
+                "_floor": panel.trailing(F.min, "low", n, shift=1),
+            }
+        )
+        close = F.col("close")
+        up = _all(close >= band(F.col("_roof"), buffer), close_location() >= strong, tradable())
+        down = _all(close <= band(F.col("_floor"), -buffer), close_location() <= 1.0 - strong, tradable())
+        df = df.withColumns({"_ranges": panel.values("_range", n, shift=1, missing=1), "_up": up, "_down": down})
+        # a bar breaking both ways is ignored
+        side = F.when(F.col("_up") & ~F.col("_down"), 1).when(F.col("_down") & ~F.col("_up"), -1)
+        displaced = F.col("_range") >= median_of(F.col("_ranges"), n) * p["displacement_ratio"]
+        df = df.withColumn("_side", side)
+        moved = F.when(F.col("_side").isNotNull(), F.when(displaced, F.col("_side")))
+        return df.withColumn("_break", moved).drop("_range", "_roof", "_floor", "_ranges", "_up", "_down", "_side")
+
+    df = carry_last(df, panel, breaks, "_break", "_structure", rows=rows)
     known = F.col("_structure").isNotNull()
     side = lambda sign, name: F.when(F.col("_structure") == sign, f"bos_{name}").otherwise(f"choch_{name}")
     return _signals(
@@ -469,11 +481,14 @@ def follow_line(df, panel, p, rows):
     machine = FollowLine(atr_period=p["atr_period"])
     df = run_recurrence(df, panel, machine, inputs=inputs, rows=rows, lead_in=1)
     df = stage(df.drop("true_range", "outside"))  # read twice below
-    # the line before a series' first bar counts as 0
-    before = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(panel.lag("follow_line"))
-    df = df.withColumn("_move", F.signum(F.col("follow_line") - before))
-    moved = F.when(F.col("_move") != 0, F.col("_move"))
-    df = carry_last(df, panel, moved, "_trend_before", inclusive=False)
+
+    def moves(df):
+        # the line before a series' first bar counts as 0
+        before = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(panel.lag("follow_line"))
+        df = df.withColumn("_step", F.signum(F.col("follow_line") - before))
+        return df.withColumn("_move", F.when(F.col("_step") != 0, F.col("_step"))).drop("_step")
+
+    df = carry_last(df, panel, moves, "_move", "_trend_before", rows=rows)
     return _signals(
         df,
         _all(F.col("_trend_before") == -1, F.col("_move") == 1, tradable()),
