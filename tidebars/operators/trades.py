@@ -38,7 +38,8 @@ def adjusted_trades(trades: DataFrame, slippage_bps_round_trip: float = 4.0) ->
     missing = sorted({"pair", "profit_ratio"} - set(trades.columns))
     if missing:
         raise ValueError("Backtest trades missing columns: " + ", ".join(missing))
-    run = [F.col(c) if c in trades.columns else F.lit(None).cast("string").alias(c) for c in RUN]
+    # reports name no timeframe: an absent run key is one empty value, not a missing one
+    run = [F.col(c) if c in trades.columns else F.lit("").alias(c) for c in RUN]
     optional = [
         (F.col(c) if c in trades.columns else F.lit(None)).cast(t).alias(c) for c, t in OPTIONAL.items()
     ]
