@@ -97,6 +97,15 @@ def test_dirty_files(spark, tmp_path):
     pdf.drop(columns="volume").to_feather(tmp_path / "CCC_USDT_USDT-1m-futures.feather")
     with pytest.raises(Exception, match="missing columns: volume"):
         market_files.load_bars(spark, str(tmp_path)).collect()
+    (tmp_path / "CCC_USDT_USDT-1m-futures.feather").write_bytes(b"damaged")
+    (tmp_path / "DDD_USDT_USDT-1m-futures.parquet").write_bytes(b"damaged")
+    (tmp_path / "EEE_USDT_USDT-1m-futures.json").write_text("{damaged")
+    (tmp_path / "BBB_USDT_USDT-1m-futures.json").unlink()
+    save(tmp_path, "FFF", "1m", walk("FFF", 5, 1, gaps=0), "parquet")
+    rows = market_files.load_bars(spark, str(tmp_path), skip_unreadable=True).collect()
+    assert {r.pair[:3] for r in rows} == {"AAA", "FFF"}
+    with pytest.raises(Exception):
+        market_files.load_bars(spark, str(tmp_path)).collect()
 
 
 def test_study_from_files(spark, data_dir, tmp_path):

@@ -206,5 +206,5 @@ def pair_coverage(bars: DataFrame) -> DataFrame:
 def unusable_files(files: DataFrame, coverage: DataFrame) -> DataFrame:
     """Error rows of files without a bar in the study range; they never stop a run."""
     return files.join(coverage, list(FILE), "left_anti").select(
-        "pair", "file", F.lit("No candles inside requested timerange").alias("error")
+        "pair", "file", F.lit("No readable candles inside requested timerange").alias("error")
     )

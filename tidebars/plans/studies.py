@@ -163,7 +163,9 @@ def run_event_study(
     )
     sinks.prepare_fresh_dir(spark, output_dir)
 
-    bars = market_files.in_range(market_files.load_bars(spark, data_dir, timeframe), first, last)
+    # one damaged file must not stop the study of the others: it ends up in ``errors``
+    bars = market_files.load_bars(spark, data_dir, timeframe, skip_unreadable=True)
+    bars = market_files.in_range(bars, first, last)
     bars = stage(bars.join(files.select("pair", "file"), ["pair", "file"], "left_semi"))
     coverage = stage(quality.pair_coverage(bars).join(files.select("pair", "file", "size_bytes"), ["pair", "file"]))
     errors = quality.unusable_files(files, coverage)

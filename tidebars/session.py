@@ -13,7 +13,7 @@ _staged: list[str] = []
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the settings results depend on: every timestamp is read as UTC."""
+    """Pin the setting results depend on: every timestamp is read as UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
 

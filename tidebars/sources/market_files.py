@@ -91,8 +91,10 @@ def _epoch_or_text(value: Column) -> Column:
     )
 
 
-def _read_parquet(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    df = spark.read.option("pathGlobFilter", f"{glob}.parquet").parquet(folder)
+def _read_parquet(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
+    # damaged footers can only be passed over if all are looked at, which is a job of its own
+    options = {"pathGlobFilter": f"{glob}.parquet", "ignoreCorruptFiles": skip, "mergeSchema": skip}
+    df = spark.read.options(**options).parquet(folder)
     _require_columns(df.columns, "parquet market data")
     return df.select(
         F.col("_metadata.file_path").alias("path"),
@@ -102,23 +104,33 @@ def _read_parquet(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     )
 
 
-def _read_feather(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+def _decode_feather(path: str, content: bytes) -> pd.DataFrame:
+    from pyarrow import feather
+
+    table = feather.read_table(io.BytesIO(content))
+    table = table.rename_columns([name.lower() for name in table.column_names])
+    _require_columns(table.column_names, path.rsplit("/", 1)[-1])
+    frame = table.select(list(COLUMNS)).to_pandas()
+    out = pd.DataFrame({"path": path, "row_index": range(len(frame))})
+    out["date"] = pd.to_datetime(frame["date"], utc=True).astype("datetime64[us, UTC]")
+    for column in COLUMNS[1:]:
+        out[column] = pd.to_numeric(frame[column], errors="coerce").astype(float)
+    return out
+
+
+def _read_feather(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
     """One task decodes one file and passes it on in batches."""
     rows_per_batch = 65_536
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import feather
-
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"]):
-                table = feather.read_table(io.BytesIO(content.as_py()))
-                table = table.rename_columns([name.lower() for name in table.column_names])
-                _require_columns(table.column_names, path.rsplit("/", 1)[-1])
-                frame = table.select(list(COLUMNS)).to_pandas()
-                out = pd.DataFrame({"path": path, "row_index": range(len(frame))})
-                out["date"] = pd.to_datetime(frame["date"], utc=True).astype("datetime64[us, UTC]")
-                for column in COLUMNS[1:]:
-                    out[column] = pd.to_numeric(frame[column], errors="coerce").astype(float)
+                try:
+                    out = _decode_feather(path, content.as_py())
+                except (ValueError, pa.ArrowException):
+                    if not skip:
+                        raise
+                    continue
                 for start in range(0, len(out), rows_per_batch):
                     yield pa.RecordBatch.from_pandas(
                         out.iloc[start : start + rows_per_batch], schema=arrow_schema, preserve_index=False
@@ -131,7 +143,7 @@ def _read_feather(spark: SparkSession, folder: str, glob: str) -> DataFrame:
     return _binary(spark, folder, f"{glob}.feather").select("path", "content").mapInArrow(decode, _RAW)
 
 
-def _read_json(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+def _read_json(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
     """Files holding one array of ``[date, o, h, l, c, v]`` rows or of records; gzip by name."""
     text = (
         spark.read.option("pathGlobFilter", f"{glob}.{{json,json.gz}}")
@@ -146,6 +158,9 @@ def _read_json(spark: SparkSession, folder: str, glob: str) -> DataFrame:
         listed,
         F.transform(named, lambda m: F.array(*[F.try_element_at(by_name(m), F.lit(c)) for c in COLUMNS])),
     )
+    if not skip:
+        problem = F.concat(F.lit("no bars can be read from "), F.col("path"))
+        cells = F.coalesce(cells, F.raise_error(problem).cast("array<array<string>>"))
     rows = text.select("path", F.posexplode(cells).alias("row_index", "cell"))
     cell = lambda i: F.get("cell", F.lit(i))
     return rows.select(
@@ -168,8 +183,13 @@ def clean_bars(raw: DataFrame, keys=FILE_KEYS) -> DataFrame:
     return whole.groupBy(*keys, "date").agg(*last)
 
 
-def load_bars(spark: SparkSession, folder: str, timeframe: str | None = None) -> DataFrame:
-    """Bars of all market files of a folder, in any mix of formats."""
+def load_bars(
+    spark: SparkSession, folder: str, timeframe: str | None = None, *, skip_unreadable: bool = False
+) -> DataFrame:
+    """Bars of all market files of a folder, in any mix of formats.
+
+    With ``skip_unreadable`` a damaged file has no bars instead of failing the job.
+    """
     prepare(spark)
     _require_folder(spark, folder)
     found = discover(spark, folder, timeframe)
@@ -179,7 +199,7 @@ def load_bars(spark: SparkSession, folder: str, timeframe: str | None = None) ->
     if not readers:
         raw = spark.createDataFrame([], _RAW)
     else:
-        raw = reduce(DataFrame.unionByName, [read(spark, folder, glob) for read in readers])
+        raw = reduce(DataFrame.unionByName, [read(spark, folder, glob, skip_unreadable) for read in readers])
     return clean_bars(with_file_identity(raw))
 
 
