@@ -94,12 +94,16 @@ def _epoch_or_text(value: Column) -> Column:
 def _read_parquet(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
     # damaged footers can only be passed over if all are looked at, which is a job of its own
     options = {"pathGlobFilter": f"{glob}.parquet", "ignoreCorruptFiles": skip, "mergeSchema": skip}
+    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")  # how pandas writes dates
     df = spark.read.options(**options).parquet(folder)
     _require_columns(df.columns, "parquet market data")
+    date = F.col("date")
+    if df.select("date").schema[0].dataType.typeName() == "long":
+        date = F.timestamp_micros(F.expr("date div 1000"))
     return df.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.row_index").alias("row_index"),
-        F.col("date").cast("timestamp").alias("date"),
+        date.cast("timestamp").alias("date"),
         *[F.col(c).try_cast("double").alias(c) for c in COLUMNS[1:]],
     )
 
