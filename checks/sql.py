@@ -6,7 +6,7 @@ series and recurrences row by row, so agreement checks the distributed forms.
 
 from __future__ import annotations
 
-from checks.settings import CUTOFF, END, HOLDOUT, HORIZONS, START, STUDY, TRAIN_END, VALIDATION_END
+from checks.settings import HORIZONS, STUDY, TRAIN_END, VALIDATION_END
 
 SERIES = "PARTITION BY pair ORDER BY date"
 

@@ -85,6 +85,12 @@ def test_custom_signal(spark):
     assert {r.direction for r in rows} == {"long"} and sum(r.events for r in rows) == 5
 
 
+def test_overlapping_custom_signals_are_refused(spark):
+    signals = marked(spark, frame([2.0] * 9, [1.0] * 9, [1.5] * 9), long=[3], short=[3])
+    with pytest.raises(Exception, match="cannot overlap"):
+        ev.marked_events(signals, StudyConfig(horizons_bars=(1,)), *FAR).collect()
+
+
 def events_table(spark, moments, returns, holding, *, timeframe="1m"):
     pdf = pd.DataFrame(
         {"pair": "X", "timeframe": timeframe, "direction": "long", "period": "train", "horizon_bars": holding,

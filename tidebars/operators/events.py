@@ -21,7 +21,7 @@ from tidebars.operators.series import (
     bar_seconds,
     date_chunk,
 )
-from tidebars.operators.signals import require_bars, signal_blocks
+from tidebars.operators.signals import reject_overlap, require_bars, signal_blocks
 from tidebars.session import stage
 
 P_VALUE_METHOD = "student_t_one_sided_non_overlapping_events"
@@ -188,9 +188,9 @@ def system_events(
 def marked_events(
     signals: DataFrame, config: StudyConfig, train_end, validation_end, *, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """Events of any bars that carry ``long_signal`` and ``short_signal``."""
+    """Events of any bars that carry ``long_signal`` and ``short_signal``; a bar may not have both."""
     require_bars(signals)
-    blocks = bar_blocks(signals, rows=block_rows, ahead=max(config.horizons_bars))
+    blocks = bar_blocks(reject_overlap(signals), rows=block_rows, ahead=max(config.horizons_bars))
     return signal_events(blocks, config, train_end, validation_end)
 
 
