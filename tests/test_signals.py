@@ -61,6 +61,12 @@ def test_positions_and_halo(spark, panel):
     assert (middle.pos.min(), middle.pos.max()) == (293, 410)
 
 
+def test_stored_positions_are_used(panel):
+    placed = with_position(panel, SERIES, ["date"], bar_chunk())
+    again = compute_signals(placed, "turtle_vhf", block_rows=64)
+    assert again.exceptAll(compute_signals(panel, "turtle_vhf")).isEmpty()
+
+
 def test_liquidity_sweep(spark):
     pdf = frame(
         [101, 102, 103, 104, 105, 103, 106.2], [99, 100, 101, 102, 103, 98, 101], [100, 101, 102, 103, 104, 101.5, 103]

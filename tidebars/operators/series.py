@@ -99,10 +99,15 @@ def into_blocks(df: DataFrame, *, rows: int = BLOCK_ROWS, back: int = 0, ahead:
 def bar_blocks(
     bars: DataFrame, *, rows: int = BLOCK_ROWS, back: int = 0, ahead: int = 0, keys: Sequence[str] = SERIES
 ) -> DataFrame:
-    """Position bars by date and cut every series into blocks."""
+    """Position bars by date and cut every series into blocks.
+
+    Bars stored with the columns of ``with_position`` keep them; drop the two columns
+    after filtering such bars.
+    """
     if back > rows // 4:
         rows = 4 * back  # keep the copied share of a block small
-    positioned = bars if "pos" in bars.columns else with_position(bars, keys, ["date"], bar_chunk(rows))
+    stored = {"pos", "series_rows"} <= set(bars.columns)
+    positioned = bars if stored else with_position(bars, keys, ["date"], bar_chunk(rows))
     return into_blocks(positioned, rows=rows, back=back, ahead=ahead)
 
 

@@ -615,7 +615,7 @@ def signal_blocks(
     parameters = chosen.parameters(overrides)
     back = chosen.lookback(parameters)
     rows = max(block_rows, 4 * back)  # keep the copied share of a block small
-    base = [c for c in (*SERIES, *BAR_COLUMNS, "pos") if c in bars.columns]
+    base = [c for c in (*SERIES, *BAR_COLUMNS, "pos", "series_rows") if c in bars.columns]
     blocks = bar_blocks(bars.select(*base), rows=rows, back=back, ahead=ahead)
     kept = blocks.columns
     return chosen.build(blocks, Panel(), parameters, rows).select(*kept, *SIGNAL_COLUMNS)
