@@ -34,7 +34,10 @@ def test_blocks_do_not_change_signals(panel, system):
     assert whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty()
 
 
-@pytest.mark.parametrize("system", ["liquidity_sweep_reclaim", "bos_choch", "turtle_vhf", "follow_line"])
+@pytest.mark.parametrize(
+    "system",
+    ["liquidity_sweep_reclaim", "breakout_retest", "bos_choch", "turtle_vhf", "follow_line", "progressive_trend_tracker"],
+)
 def test_no_look_ahead(panel, system):
     assert system_violations(panel, system, ["2026-01-01 05:00", "2026-01-01 10:00"], block_rows=64).isEmpty()
 
