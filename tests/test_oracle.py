@@ -13,7 +13,7 @@ def connection():
     return oracle.connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_matches_sql(spark, connection, name):
     actual = oracle.spark_table(contract.queries()[name](spark, SF))
     assert actual == oracle.duckdb_table(connection, contract.oracle_sql()[name])
