@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,3 +44,20 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     return keyed.join(wanted, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(
         *[keyed[f"`{c}`"] for c in docs.columns]
     )
+
+
+def remainder(id_col: Column, divisor: int) -> Column:
+    """crc32 of the identifier as text, modulo; missing for a missing identifier."""
+    return F.crc32(id_col.cast("string").cast("binary")) % divisor
+
+
+def text_blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """The whole text in blocks that end at white space where there is any within reach,
+    so that one very long text is never held several times over."""
+    at = 0
+    while at < len(text):
+        end = min(at + size, len(text))
+        while end < len(text) and not text[end - 1].isspace() and end < at + 2 * size:
+            end += 1
+        yield text[at:end]
+        at = end

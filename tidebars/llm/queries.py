@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidebars.llm.documents import read_table
 from tidebars.llm.exact_dedup import exact_duplicates
+from tidebars.llm.language import fit_language, identify_language
 from tidebars.llm.pieces import encode_pieces, piece_digests
+from tidebars.llm.quality import fit_quality, score_quality
 from tidebars.llm.sharding import shard_documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +23,13 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by a model of words and n-grams."""
+    documents = read_table(spark, sf_dir, "documents")
+    return identify_language(documents, fit_language(documents))
+
+
 @query
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts, the row with the largest id staying."""
@@ -45,3 +54,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     return piece_digests(encode_pieces(read_table(spark, sf_dir, "documents"), model))
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by its nearest labelled neighbours."""
+    documents = read_table(spark, sf_dir, "documents")
+    return score_quality(documents, fit_quality(documents, read_table(spark, sf_dir, "labels")))
