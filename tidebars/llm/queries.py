@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tidebars.llm.decontaminate import contained_items
 from tidebars.llm.documents import read_table
 from tidebars.llm.exact_dedup import exact_duplicates
 from tidebars.llm.language import fit_language, identify_language
@@ -49,6 +50,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
 
 
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items whose shingles of five words lie in a document by 80 % or more."""
+    found = contained_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "shingles", "containment")
+
+
+_WORDS = "list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\p{L}\\p{N}_]+'), lambda x: x <> '')"
+_SHINGLES = "SELECT DISTINCT id, list_slice(w, i, i + 4) AS shingle FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM {}) s"
+ORACLE["op7_decontamination"] = f"""WITH items AS (SELECT item_id AS id, {_WORDS} AS w FROM benchmark), texts AS (SELECT doc_id AS id, {_WORDS} AS w FROM documents),
+ a AS ({_SHINGLES.format("items")}), b AS ({_SHINGLES.format("texts")}), n AS (SELECT id, count(*) AS shingles FROM a GROUP BY id)
+SELECT b.id AS doc_id, a.id AS item_id, count(*) AS shared, any_value(n.shingles) AS shingles, count(*) / any_value(n.shingles) AS containment
+FROM a JOIN b ON a.shingle = b.shingle JOIN n ON n.id = a.id
+GROUP BY b.id, a.id HAVING count(*) >= 0.8 * any_value(n.shingles) - 1e-9
+"""
+
+
 @query
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts."""
