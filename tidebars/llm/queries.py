@@ -14,6 +14,7 @@ from tidebars.llm.language import fit_language, identify_language
 from tidebars.llm.pieces import encode_pieces, piece_digests
 from tidebars.llm.quality import fit_quality, score_quality
 from tidebars.llm.sharding import shard_documents
+from tidebars.llm.simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,6 +45,12 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@query
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates by fingerprints of three-word shingles within three bits."""
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards of almost equal row counts."""
