@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidebars.llm.decontaminate import contained_items
 from tidebars.llm.documents import read_table
@@ -13,6 +14,7 @@ from tidebars.llm.exact_dedup import exact_duplicates
 from tidebars.llm.language import fit_language, identify_language
 from tidebars.llm.pieces import encode_pieces, piece_digests
 from tidebars.llm.quality import fit_quality, score_quality
+from tidebars.llm.secret_scan import find_secrets
 from tidebars.llm.sharding import shard_documents
 from tidebars.llm.simhash import near_duplicates
 
@@ -25,6 +27,14 @@ def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return build
 
 
+@query
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by pattern and by randomness of tokens."""
+    found = find_secrets(read_table(spark, sf_dir, "documents"))
+    digest = F.sha2("base_spans", 256).alias("base_sha256")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans", "n_random")
+
+
 @query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document by a model of words and n-grams."""
