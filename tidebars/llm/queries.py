@@ -12,6 +12,7 @@ from tidebars.llm.decontaminate import contained_items
 from tidebars.llm.documents import read_table
 from tidebars.llm.exact_dedup import exact_duplicates
 from tidebars.llm.language import fit_language, identify_language
+from tidebars.llm.licenses import scan_licenses
 from tidebars.llm.pieces import encode_pieces, piece_digests
 from tidebars.llm.quality import fit_quality, score_quality
 from tidebars.llm.secret_scan import find_secrets
@@ -67,6 +68,21 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read_table(spark, sf_dir, "documents"), shards=16)
 
 
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures."""
+    return scan_licenses(read_table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        "n_words",
+        F.size("base_starts").cast("long").alias("n_base"),
+        F.array_min("base_starts").cast("long").alias("first_word"),
+        F.array_max("base_starts").cast("long").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items whose shingles of five words lie in a document by 80 % or more."""
