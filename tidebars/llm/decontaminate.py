@@ -12,6 +12,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -145,6 +146,17 @@ class ItemIndex:
             yield words, np.fromiter(map(hashes.__getitem__, words), _U, len(words))
 
 
+def item_blocks(benchmark: DataFrame, threshold: float, width: int, block_bytes: int) -> Iterator[Broadcast[ItemIndex]]:
+    """The distinct items in blocks of about ``block_bytes`` of text by hash, indexed and broadcast."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
+    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    for block in range(blocks):
+        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
+        rows = sorted(((r.item_id, r.text) for r in own.toLocalIterator()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+        yield benchmark.sparkSession.sparkContext.broadcast(ItemIndex.build(rows, width, threshold))
+
+
 def contained_items(
     docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
@@ -153,23 +165,16 @@ def contained_items(
     Containment is the share of the item's distinct shingles of ``width`` words that
     occur in the document, checked on the words themselves, at least ``threshold``.
     An item of fewer words is one shingle of all its words; items without words, or
-    missing ones, never match, nor do missing and empty texts. Repeated rows of
-    documents give repeated rows of results; repeated items (same id and text) count
-    once; items that share an id are judged each and the largest containment is given.
+    missing ones, never match, nor do missing and empty texts. Each pair of ids comes
+    once: of documents or of items that share an id, each is judged by itself and the
+    largest containment is given.
 
     The items are the query set. They are broadcast in blocks of about ``block_bytes``
     of text by id hash, and each block meets every document in one pass without a
     shuffle; a benchmark of usual size is one block. Extra columns are ignored.
     """
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    texts, context = ids_and_texts(docs), docs.sparkSession.sparkContext
-    parts = []
-    for block in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        rows = sorted(((r.item_id, r.text) for r in own.toLocalIterator()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
-        index = context.broadcast(ItemIndex.build(rows, width, threshold))
+    texts, parts = ids_and_texts(docs), []
+    for index in item_blocks(benchmark, threshold, width, block_bytes):
 
         def scan(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             hashes = WordHashes()
@@ -186,7 +191,21 @@ def contained_items(
 
         parts.append(texts.mapInArrow(scan, "doc_id long, item_id long, shared long, shingles long"))
     found = reduce(DataFrame.union, parts)
-    if blocks > 1:  # items that share an id may be in different blocks
-        found = found.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("shared", "shingles"), F.col("shared") / F.col("shingles")).alias("best"))
-        found = found.select("doc_id", "item_id", "best.shared", "best.shingles")
-    return found.withColumn("containment", F.col("shared") / F.col("shingles"))
+    best = F.max(F.struct((F.col("shared") / F.col("shingles")).alias("containment"), "shingles", "shared")).alias("best")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.shared", "best.shingles", "best.containment")
+
+
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """The rows of ``docs``, all columns, that contain no benchmark item; no shuffle."""
+    for index in item_blocks(benchmark, threshold, width, block_bytes):
+
+        def clean(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            hashes = WordHashes()
+            for batch in batches:
+                found = [any(index.value.search(t or "", hashes, threshold)) for t in batch.column("text").to_pylist()]
+                yield batch.filter(pa.array([not f for f in found], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

@@ -161,3 +161,17 @@ def score_quality(docs: DataFrame, model: Neighbourhood, neighbours: int = NEIGH
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def keep_quality(docs: DataFrame, model: Neighbourhood, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is ``threshold`` or more; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                terms = np.stack([term_frequencies(t or "") for t in batch.column("text").to_pylist()])
+                yield batch.filter(pa.array(sent.value.score(terms, neighbours) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -20,8 +20,8 @@ from tidebars.session import stage
 SHINGLE_WORDS = 3
 DISTANCE = 3
 SEED = 42
-BLOCKS = 6  # of the 64 bits; two fingerprints within DISTANCE agree in BLOCKS - DISTANCE of them
-BUCKET = 2000  # distinct fingerprints compared in one task at once
+BLOCKS, AGREEING = 6, 3  # of 6 runs of the 64 bits, fingerprints within 3 bits agree in 3 at least
+BUCKET = 20_000  # distinct fingerprints compared in one task at once
 REST_BITS = 12  # a bucket that agrees in all but so many bits has 2^12 fingerprints at most
 _WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 _LOWER = str.maketrans(UPPER, LOWER)
@@ -80,19 +80,14 @@ def _signed(mask: int) -> int:
 
 def _near(prints: np.ndarray, nodes: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
     """A spanning forest of the links within one bucket, each link verified."""
-    root = list(range(len(prints)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
+    label = np.arange(len(prints))
     for i in range(1, len(prints)):
-        for j in np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= distance).tolist():
-            a, b = find(i), find(j)
-            if a != b:
-                root[a] = b
+        near = np.flatnonzero(np.bitwise_count(prints[:i] ^ prints[i]) <= distance)
+        if len(near):
+            groups, first = np.unique(label[near], return_index=True)
+            for group, j in zip(groups.tolist(), near[first].tolist(), strict=True):
                 yield int(nodes[i]), int(nodes[j])
+                label[:i][label[:i] == group] = i
 
 
 def _near_in_runs(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
@@ -120,15 +115,15 @@ def _near_in_runs(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[
         yield links(np.ascontiguousarray(held[0]))
 
 
-def _bucket_links(keyed: DataFrame, distance: int, bucket: int, rest: list[int]) -> list[DataFrame]:
-    """Links between rows (``table, key, print, node``) that agree in table and key.
+def _bucket_links(keyed: DataFrame, distance: int, bucket: int) -> list[DataFrame]:
+    """Links between rows (``table, key, print, node``) that agree in table and key; last, rows left over.
 
     A bucket of two is one comparison; a bucket whose prints differ in no more than
     ``distance`` bits altogether is one star; both come out of one aggregation with
-    map-side combining. Others meet in one task if they are no more than ``bucket``. A
-    larger one is cut again: of the bits its rows may differ in, one of distance + 1
-    runs agrees for any linked pair. What is left to differ shrinks each time, so a
-    bucket ends with a bounded number of distinct fingerprints.
+    map-side combining. Others meet in one task if they are no more than ``bucket``. The
+    rows of larger ones are left to be cut again: of the bits they may differ in, one of
+    distance + 1 runs agrees for any linked pair. What may differ shrinks each time, so
+    buckets end with a bounded number of distinct fingerprints.
     """
     pair = F.struct("print", "node")
     stats = keyed.groupBy("table", "key").agg(
@@ -143,62 +138,57 @@ def _bucket_links(keyed: DataFrame, distance: int, bucket: int, rest: list[int])
     members = stage(keyed.join(more, ["table", "key"]))
     links.append(members.filter("tight").select(F.col("node").alias("a"), F.col("low").alias("b")))
     loose = members.filter("not tight")
-    last = len(rest) <= REST_BITS
-    small = loose if last else loose.filter(F.col("n") <= bucket)
+    few = loose.filter(F.col("n") <= bucket).select("table", "key", "print", "node")
     links.append(
-        small.select("table", "key", "print", "node")
-        .repartition("table", "key")
+        few.repartition("table", "key")
         .sortWithinPartitions("table", "key")
         .mapInArrow(lambda batches: _near_in_runs(batches, distance), "a long, b long")
     )
-    if not last:
-        links.append(loose.filter(F.col("n") > bucket).select("table", "key", "print", "node"))
-    return links
+    return [*links, loose.filter(F.col("n") > bucket).select("table", "key", "print", "node")]
 
 
-def near_links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, bucket: int = BUCKET) -> DataFrame:
-    """Links ``a, b`` that join all distinct fingerprints (``print, node``) within ``distance`` bits.
+def near_links(
+    prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, agreeing: int = AGREEING, bucket: int = BUCKET
+) -> DataFrame:
+    """Links ``a, b`` that join the distinct fingerprints (``print, node``) within ``distance`` bits.
 
-    The links are a subset of all pairs within the distance that leaves every component
-    whole: a group of many near copies gives no more links than rows per table.
+    Every choice of ``agreeing`` of ``blocks`` runs of bits is a table, in which prints
+    meet that agree in those runs. All pairs of at most blocks - agreeing bits meet; of
+    wider ones, up to ``distance``, those meet whose differences fall into few runs. The
+    links are a subset of those pairs that leaves every component whole: a group of many
+    near copies gives no more links than rows in a table.
     """
-    masks = _masks(list(range(64)), blocks, blocks - distance)
+    masks = _masks(list(range(64)), blocks, agreeing)
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)]))
     keyed = prints.select("print", "node", table.alias("t")).select(
         "print", "node", F.col("t.table").alias("table"), F.col("t.mask").bitwiseAND(F.col("print")).alias("key")
     )
-    rest = list(range(64 - min(m.bit_count() for m in masks)))
-    *links, large = _bucket_links(keyed, distance, bucket, rest)
     free = [[b for b in range(64) if not m >> b & 1] for m in masks]
-    while large.limit(1).count():
-        # cut each table's free bits into runs; the sub-bucket agrees in one run more
-        cuts = [(i, [c for c in np.array_split(f, distance + 1) if len(c)]) for i, f in enumerate(free)]
-        cut_rows, new_free = [], []
-        for i, runs in cuts:
-            for run in runs:
-                mask = sum(1 << int(b) for b in run)
-                cut_rows.append((i, len(new_free), _signed(mask)))
-                new_free.append([b for b in free[i] if b not in set(run.tolist())])
-        by_table: dict[int, list] = {}
-        for i, new, mask in cut_rows:
-            by_table.setdefault(i, []).append(F.struct(F.lit(new).alias("table"), F.lit(mask).alias("mask")))
-        choose = F.create_map(*[x for i, c in by_table.items() for x in (F.lit(i), F.array(*c))])
-        again = large.select("print", "node", "key", F.explode(F.try_element_at(choose, F.col("table"))).alias("t"))
+    *links, large = _bucket_links(keyed, distance, bucket)
+    while tables := sorted(r.table for r in large.select("table").distinct().collect()):
+        # cut the free bits of each table that has large buckets; a sub-bucket agrees in one run more
+        choices, left = [], []
+        for i in tables:
+            own = []
+            for run in np.array_split(free[i], distance + 1):
+                own.append(F.struct(F.lit(len(left)).alias("table"), F.lit(_signed(sum(1 << int(b) for b in run))).alias("mask")))
+                left.append([b for b in free[i] if b not in set(run.tolist())])
+            choices += [F.lit(i), F.array(*own)]
+        again = large.select("print", "node", "key", F.explode(F.try_element_at(F.create_map(*choices), F.col("table"))).alias("t"))
         keyed = again.select(
             "print", "node", F.col("t.table").alias("table"),
             F.col("key").bitwiseOR(F.col("t.mask").bitwiseAND(F.col("print"))).alias("key"),
         )
-        free = new_free
-        found = _bucket_links(keyed, distance, bucket, max(free, key=len))
-        if len(max(free, key=len)) <= REST_BITS:
-            links += found
-            break
-        *more, large = found
+        free = left
+        last = max(map(len, free)) <= REST_BITS
+        *more, large = _bucket_links(keyed, distance, 1 << REST_BITS if last else bucket)
         links += more
     return reduce(DataFrame.unionAll, links)
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = SHINGLE_WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, agreeing: int = AGREEING
+) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``docs``.
 
     Rows are linked if their fingerprints differ in ``distance`` bits or fewer;
@@ -214,7 +204,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, distance: int =
     """
     signed = stage(fingerprints(docs, width))
     nodes = stage(signed.groupBy("print").agg(F.min("doc_id").alias("least")).withColumn("node", F.col("print")))
-    roots = components(near_links(nodes.select("print", "node"), distance))
+    roots = components(near_links(nodes.select("print", "node"), distance, blocks, agreeing))
     joined = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = joined.select("print", "root").join(named, "root").select("print", "component_id")
