@@ -13,6 +13,7 @@ from tidebars.llm.documents import read_table
 from tidebars.llm.exact_dedup import exact_duplicates
 from tidebars.llm.language import fit_language, identify_language
 from tidebars.llm.licenses import scan_licenses
+from tidebars.llm.phrases import remove_repeats
 from tidebars.llm.pieces import encode_pieces, piece_digests
 from tidebars.llm.quality import fit_quality, score_quality
 from tidebars.llm.secret_scan import find_secrets
@@ -107,6 +108,26 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(encode_pieces(read_table(spark, sf_dir, "documents"), model))
 
 
+@query
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left when repeated passages of 35 words and more are removed."""
+    left = remove_repeats(read_table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op9_substring_dedup"] = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+ windows AS (SELECT r, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM t WHERE len(w) >= 35)),
+ again AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) AS n FROM windows) WHERE n > 1),
+ each AS (SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM t),
+ reach AS (SELECT e.r, e.p, e.word, a.i AS start FROM each e ASOF LEFT JOIN again a ON e.r = a.r AND e.p >= a.i),
+ judged AS (SELECT r, p, word, coalesce(p < start + 35, false) AS gone FROM reach),
+ kept AS (SELECT r, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS left_ FROM judged GROUP BY r)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (r)
+"""
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by its nearest labelled neighbours."""
