@@ -69,15 +69,16 @@ class PatriciaTrie:
             n = len(child.label) if rest.startswith(child.label) else shared_prefix(child.label, rest)
             if n < len(child.label):
                 fork = _Node(child.label[:n])
+                self.held += 200
                 child.label = child.label[n:]
                 fork.children[child.label[0]] = child
                 node.children[rest[0]] = child = fork
             rest, node = rest[n:], child
         node.own(owner)
 
-    def spill(self, down_to: int = -1) -> Iterator[tuple[int, int, bytes, int | None]]:
-        """Terminals of the oldest subtrees, until no more than ``down_to`` bytes are held."""
-        while self.subtrees and self.held > down_to:
+    def spill(self, down_to: int | None = None) -> Iterator[tuple[int, int, bytes, int | None]]:
+        """Terminals of the oldest subtrees, until no more than ``down_to`` bytes are held; or of all."""
+        while self.subtrees and (down_to is None or self.held > down_to):
             key = next(iter(self.subtrees))
             stack = [(b"", self.subtrees.pop(key))]
             while stack:
