@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +20,7 @@ MAX_WORDS = 50_000  # most frequent words kept; the same bound holds for n-grams
 LONGEST_GRAM = 5
 UNDETERMINED = "und"
 HELD_OUT, HELD_OUT_REMAINDER = 4, 2
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 _RUN = re.compile(r"[^\W\d_]+")
 _COUNTED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -49,11 +49,13 @@ class WordModel:
 
     languages: list[str]
     words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
+    grams: dict[str, int]  # row of each n-gram in gram_scores
+    gram_scores: np.ndarray
+    memo: dict[str, int] = field(default_factory=dict)  # row of each word in memo_scores
+    memo_scores: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+        return self.__dict__ | {"memo": {}, "memo_scores": None}
 
     def word_score(self, word: str) -> np.ndarray:
         """A known word by its own log frequencies; else the mean over its longest known n-grams."""
@@ -61,24 +63,33 @@ class WordModel:
         if known is not None:
             return known
         for n in range(LONGEST_GRAM, 0, -1):
-            found = [self.grams[g] for g in grams(word, n) if g in self.grams]
-            if found:
-                return np.mean(found, 0)
+            rows = [r for g in grams(word, n) if (r := self.grams.get(g)) is not None]
+            if rows:
+                return self.gram_scores[rows].mean(0)
         return np.zeros(len(self.languages))
 
+    def _rows(self, words: Iterable[str]) -> list[int]:
+        """Places of the words' scores, which are worked out once while remembered."""
+        rows = list(map(self.memo.get, words))
+        if None in rows:
+            for i, word in enumerate(words):
+                if rows[i] is None:
+                    rows[i] = self.memo[word] = len(self.memo)
+                    if rows[i] == len(self.memo_scores):
+                        self.memo_scores = np.concatenate([self.memo_scores, np.zeros_like(self.memo_scores)])
+                    self.memo_scores[rows[i]] = self.word_score(word)
+        return rows
+
     def predict(self, text: str) -> tuple[str, float]:
         """The language of the highest sum over words, and its share by softmax."""
         counts = word_counts(text)
         if not counts or not self.languages:
             return UNDETERMINED, 0.0
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        total = np.zeros(len(self.languages))
-        for word, n in counts.items():
-            score = self.memo.get(word)
-            if score is None:
-                score = self.memo[word] = self.word_score(word)
-            total += n * score
+        if self.memo_scores is None or len(self.memo) > MEMO_WORDS:
+            self.memo, self.memo_scores = {}, np.zeros((4096, len(self.languages)))
+        rows = self._rows(counts)
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        total = times @ self.memo_scores[rows]
         best = int(total.argmax())
         return self.languages[best], float(1.0 / np.exp(np.maximum(total - total[best], -700)).sum())
 
@@ -121,7 +132,7 @@ def fit_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_w
     ).filter((remainder(F.col("doc_id"), HELD_OUT) != HELD_OUT_REMAINDER) & F.col("lang").isNotNull())
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     if not sizes:
-        return WordModel([], {}, {})
+        return WordModel([], {}, {}, np.zeros((0, 0)))
     languages = sorted(r["lang"] for r in sizes)
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
     drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < F.try_element_at(share, F.col("lang"))
@@ -149,8 +160,7 @@ def fit_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_w
         own_length = lengths == n
         scores[own_length] = _log_frequencies(by_gram[own_length], by_gram[own_length].sum(0), own_length.sum())
     kept = sorted(range(len(names)), key=lambda i: (-by_gram[i].sum(), names[i]))[:max_words]
-    table = {names[i]: scores[i] for i in kept}
-    return WordModel(languages, own, table)
+    return WordModel(languages, own, {names[i]: row for row, i in enumerate(kept)}, scores[kept])
 
 
 def identify_language(docs: DataFrame, model: WordModel) -> DataFrame:
