@@ -146,6 +146,20 @@ def test_exact_median(spark):
     assert result == {"hot": pytest.approx(float(np.median(values)), abs=1e-300), "a": 1.5, "b": -3.0, "c": 5.0}
 
 
+def test_rows_without_p_value_are_not_joined(spark):
+    """90 % of the rows have no p-value: none of them may pass the join's exchange."""
+    df = spark.range(2_000).selectExpr("id", "IF(id % 10 = 0, (id + 1) / 4000D, NULL) AS p")
+    adjusted = benjamini_hochberg(df, "p", "q")
+    rows = {r.id: (r.p, r.q) for r in adjusted.collect()}
+    assert len(rows) == 2_000 and all((p is None) == (q is None) for p, q in rows.values())
+    known = sorted(p for p, _ in rows.values() if p is not None)
+    raw = [p * len(known) / (i + 1) for i, p in enumerate(known)]
+    want = {p: min(1.0, *raw[i:]) for i, p in enumerate(known)}
+    assert all(abs(want[p] - q) < 1e-12 for p, q in rows.values() if p is not None)
+    plan = adjusted._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull" in plan[plan.index("Join LeftOuter") :]
+
+
 def test_benjamini_hochberg(spark):
     df = spark.createDataFrame([(0.01,), (0.04,), (0.03,), (0.5,), (None,), (1.0,), (0.0,)], "p double")
     q = {r.p: r.q for r in benjamini_hochberg(df, "p", "q").collect()}

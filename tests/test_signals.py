@@ -34,6 +34,25 @@ def test_blocks_do_not_change_signals(panel, system):
     assert whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty()
 
 
+@pytest.fixture(scope="module")
+def standing(spark):
+    """A long series whose price stands still again and again, for longer than any average remembers."""
+    pdf = walk("STILL", 16_000, 9, gaps=0.0)
+    for start in (1_000, 6_000, 11_000):
+        still = slice(start, start + 3_500)
+        price = pdf.loc[start, "close"]
+        pdf.loc[pdf.index[still], ["open", "high", "low", "close"]] = price
+    return to_spark(spark, pdf).cache()
+
+
+@pytest.mark.parametrize("system", ["macd_crossover", "follow_line", "turtle_vhf", "progressive_trend_tracker"])
+def test_blocks_do_not_change_signals_of_a_price_that_stands_still(standing, system):
+    whole = compute_signals(standing, system)
+    for rows in (1_500, 4_096):
+        cut = compute_signals(standing, system, block_rows=rows)
+        assert whole.exceptAll(cut).isEmpty() and cut.exceptAll(whole).isEmpty(), rows
+
+
 @pytest.mark.parametrize(
     "system",
     ["liquidity_sweep_reclaim", "breakout_retest", "bos_choch", "turtle_vhf", "follow_line", "progressive_trend_tracker"],

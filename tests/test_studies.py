@@ -139,7 +139,7 @@ def test_study_from_files(spark, data_dir, tmp_path):
     listed = dict(reversed(line.split("  ")) for line in (tmp_path / "run" / "SHA256SUMS.txt").read_text().splitlines())
     manifest = (tmp_path / "run" / "run_manifest.json").read_bytes()
     assert listed["run_manifest.json"] == hashlib.sha256(manifest).hexdigest()
-    with pytest.raises(FileExistsError, match="fresh run directory"):
+    with pytest.raises(FileExistsError, match="in use"):
         studies.run_event_study(spark, data_dir, out, START, END, system="turtle_channel", config=config)
 
     both = studies.run_comparison(spark, [f"{out}/discovery_tests.csv"], str(tmp_path / "compared"), global_rate=1.0)
@@ -282,6 +282,16 @@ def test_drawdown_in_blocks(spark):
             assert found[pair] == pytest.approx((equity / equity.cummax() - 1).min(), abs=1e-12), pair
 
 
+def test_drawdown_of_a_run_too_long_for_a_product(spark):
+    """20 000 wins of 5 % are more than a double can hold; the loss of half that follows is half."""
+    df = spark.range(20_001).selectExpr(
+        "'s' AS strategy", "'1m' AS timeframe", "'A' AS pair", "IF(id < 20000, 0.05D, -0.5D) AS profit_ratio",
+        "CAST(NULL AS BOOLEAN) AS is_short", "timestamp_seconds(1767225600 + id * 60) AS close_date", "id AS trade_no")
+    for size in (1_000, 65_536):
+        found = tm.max_drawdown(tm.adjusted_trades(df, 0.0), ["pair"], block_rows=size).first()
+        assert found.max_drawdown_compounded == pytest.approx(-0.5, abs=1e-9)
+
+
 def test_suite_status(spark):
     runs = spark.createDataFrame([(100, 0.001, 1.2), (100, -0.001, 0.9), (0, None, None)], "n int, e double, p double")
     of = lambda **kw: [r[0] for r in runs.select(tm.smoke_status(F.col("n"), F.col("e"), F.col("p"), **kw)).collect()]
@@ -329,7 +339,7 @@ def test_fresh_folder(spark, tmp_path):
     sinks.prepare_fresh_dir(spark, str(tmp_path / "new"))
     sinks.prepare_fresh_dir(spark, str(tmp_path / "new"))
     (tmp_path / "new" / "old.csv").write_text("x")
-    with pytest.raises(FileExistsError, match="fresh run directory"):
+    with pytest.raises(FileExistsError, match="in use"):
         sinks.prepare_fresh_dir(spark, str(tmp_path / "new"))
-    with pytest.raises(FileExistsError, match="not a directory"):
+    with pytest.raises(FileExistsError, match="in use"):
         sinks.prepare_fresh_dir(spark, str(tmp_path / "new" / "old.csv"))

@@ -69,8 +69,9 @@ def benjamini_hochberg(df: DataFrame, p_value: str, name: str, family: Sequence[
     """Step-up adjusted p-values, per family; rows with a missing p-value get none.
 
     q = min over p' >= p of p' * m / rank(p'), at most 1. Distinct p-values are
-    ranked bucket by bucket. The certain cases p = 0 and p = 1, which may hold any
-    share of the rows, are answered without the join.
+    ranked bucket by bucket. Rows without a p-value and the certain cases p = 0 and
+    p = 1, which may be any share of the rows, leave before the join and come back by
+    union.
     """
     family = list(family)
     counted = (
@@ -113,10 +114,11 @@ def benjamini_hochberg(df: DataFrame, p_value: str, name: str, family: Sequence[
             F.col("_later"),
         ).alias("_q"),
     )
-    certain = F.col(p_value).isin(0.0, 1.0)
-    marked = df.withColumn("_p", F.when(~certain, F.col(p_value)))
-    return (
-        marked.join(adjusted.filter("_p > 0 and _p < 1"), [*family, "_p"], "left")
-        .withColumn(name, F.when(certain, F.col(p_value)).otherwise(F.col("_q")))
-        .drop("_p", "_q")
+    settled = F.col(p_value).isNull() | F.col(p_value).isin(0.0, 1.0)
+    looked_up = (
+        df.filter(~settled)
+        .withColumn("_p", F.col(p_value))
+        .join(adjusted.filter("_p > 0 and _p < 1"), [*family, "_p"], "left")
+        .select(*df.columns, F.col("_q").alias(name))
     )
+    return looked_up.unionAll(df.filter(settled).select(*df.columns, F.col(p_value).alias(name)))

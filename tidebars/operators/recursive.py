@@ -16,9 +16,14 @@ def alpha_of_span(span: float) -> float:
     return 2.0 / (span + 1.0)
 
 
+#: Averages closer than this share of the price are one value. What history is left in an
+#: average after its warm-up, and rounding, stay far below, so where a series is cut cannot matter.
+SAME_VALUE = 1e-12
+
+
 def warm_up(alpha: float) -> int:
-    """Rows after which an exponential average has forgotten its start to double precision."""
-    return 0 if alpha >= 1.0 else ceil(log(1e-17) / log(1.0 - alpha))
+    """Rows after which what is left of an exponential average's start is below any rounding."""
+    return 0 if alpha >= 1.0 else ceil(log(1e-20) / log(1.0 - alpha))
 
 
 def ewm(values: np.ndarray, alpha: float) -> np.ndarray:
@@ -33,7 +38,9 @@ def with_macd_crosses(blocks: DataFrame, panel: Panel, *, fast: int, slow: int,
     """Add ``macd``, ``macd_signal`` and whether one crosses ``_above`` or ``_below`` the other.
 
     Closes are never missing, so an average started ``warm_up`` rows before a
-    block agrees with one started at the first bar; no state is carried.
+    block agrees with one started at the first bar but for rounding. Rounding would
+    decide crosses where the price stands still and both averages run together, so a
+    gap under ``SAME_VALUE`` of the price counts as none, in short and long series.
     """
     kept = blocks.columns
 
@@ -48,13 +55,14 @@ def with_macd_crosses(blocks: DataFrame, panel: Panel, *, fast: int, slow: int,
             average[start:end] = ewm(spread, alpha_of_span(signal))
         average[pos < slow + signal - 2] = np.nan
         gap = line - average  # comparisons with a missing side are false
+        gap[np.abs(gap) <= SAME_VALUE * np.abs(close)] = 0.0
         before = np.roll(gap, 1)
         before[starts] = np.nan
         return pdf.assign(
             macd=line,
             macd_signal=average,
-            _above=(line > average) & (before <= 0),
-            _below=(line < average) & (before >= 0),
+            _above=(gap > 0) & (before <= 0),
+            _below=(gap < 0) & (before >= 0),
         )
 
     schema = f"{ddl(blocks, kept)}, {doubles(['macd', 'macd_signal'])}, _above boolean, _below boolean"

@@ -18,6 +18,7 @@ from tidebars.operators.recursive import (
     FollowLine,
     Vidya,
     alpha_of_span,
+    SAME_VALUE,
     macd_lookback,
     warm_up,
     with_macd_crosses,
@@ -485,7 +486,9 @@ def follow_line(df, panel, p, rows):
     def moves(df):
         # the line before a series' first bar counts as 0
         before = F.when(F.col("pos") == 0, F.lit(0.0)).otherwise(panel.lag("follow_line"))
-        df = df.withColumn("_step", F.signum(F.col("follow_line") - before))
+        step = F.col("follow_line") - before
+        moved = F.abs(step) > SAME_VALUE * F.abs(before)
+        df = df.withColumn("_step", F.when(moved, F.signum(step)).when(step.isNotNull(), 0.0))
         return df.withColumn("_move", F.when(F.col("_step") != 0, F.col("_step"))).drop("_step")
 
     df = carry_last(df, panel, moves, "_move", "_trend_before", rows=rows)

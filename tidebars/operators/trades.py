@@ -60,9 +60,10 @@ def direction_of(is_short: Column) -> Column:
 def max_drawdown(trades: DataFrame, keys: Sequence[str], *, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Deepest fall of compounded equity below its running maximum, per group.
 
-    Trades are taken in the order pair, close, open. Equity and maximum are running
-    values inside blocks; what a block starts from is a running product and maximum
-    over one row per block. The running maximum starts at the first trade's equity.
+    Trades are taken in the order pair, close, open. Equity is kept as a logarithm and
+    a sign, so that no run is too long for it; logarithms and their extremes are running
+    values inside blocks, and a block starts from sums and extremes over one row per
+    block. The running maximum starts at the first trade's equity.
     """
     keys = list(keys)
     place = F.coalesce("pair", F.lit("\U0010ffff"))
@@ -79,26 +80,44 @@ def max_drawdown(trades: DataFrame, keys: Sequence[str], *, block_rows: int = BL
     blocks = into_blocks(with_position(rows, keys, order, F.struct(place, day)), rows=block_rows)
     block_keys = [*keys, "block"]
     so_far = Window.partitionBy(*block_keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    grown = blocks.withColumn("_growth", F.product(F.col("adjusted") + 1).over(so_far))
+    growth = F.col("adjusted") + 1
+    size = F.when(growth == 0, F.lit(float("-inf"))).otherwise(F.log(F.abs(growth)))
+    grown = blocks.withColumns(
+        {"_log": F.sum(size).over(so_far), "_odd": F.sum((growth < 0).cast("int")).over(so_far) % 2}
+    )
     earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     entry = (
         grown.groupBy(*block_keys)
         .agg(
-            F.max_by("_growth", "pos").alias("_total"),
-            F.max("_growth").alias("_most"),
-            F.min("_growth").alias("_least"),
+            F.max_by(F.struct("_log", "_odd"), "pos").alias("_total"),
+            *[f(F.when(F.col("_odd") == odd, F.col("_log"))).alias(f"_{name}{odd}") for odd in (0, 1) for name, f in (("most", F.max), ("least", F.min))],
+        )
+        .withColumns(
+            {
+                "_from": F.coalesce(F.sum("_total._log").over(earlier), F.lit(0.0)),
+                "_flip": F.coalesce(F.sum("_total._odd").over(earlier), F.lit(0)) % 2,
+            }
         )
-        .withColumn("_entry", F.coalesce(F.product("_total").over(earlier), F.lit(1.0)))
-        .withColumn("_top", F.col("_entry") * F.when(F.col("_entry") >= 0, F.col("_most")).otherwise(F.col("_least")))
-        .select(*block_keys, "_entry", F.max("_top").over(earlier).alias("_peak"))
+        # equity above zero by its largest logarithm, below zero by its least
+        .withColumn("_top", F.col("_from") + F.when(F.col("_flip") == 0, F.col("_most0")).otherwise(F.col("_most1")))
+        .withColumn("_under", F.col("_from") + F.when(F.col("_flip") == 0, F.col("_least1")).otherwise(F.col("_least0")))
+        .select(*block_keys, "_from", "_flip", F.max("_top").over(earlier).alias("_top"), F.min("_under").over(earlier).alias("_under"))
     )
-    equity = F.col("_entry") * F.col("_growth")
-    return (
+    level, below = F.col("_from") + F.col("_log"), (F.col("_flip") + F.col("_odd")) % 2 == 1
+    signed = (
         grown.join(entry, block_keys)
-        .withColumn("_equity", equity)
-        .withColumn("_high", F.greatest("_peak", F.max("_equity").over(so_far)))
-        .groupBy(*keys)
-        .agg(F.min(F.try_divide(F.col("_equity"), F.col("_high")) - 1).alias("max_drawdown_compounded"))
+        .withColumns({"_level": level, "_below": below})
+        .withColumns(
+            {
+                "_top": F.greatest("_top", F.max(F.when(~F.col("_below"), F.col("_level"))).over(so_far)),
+                "_under": F.least("_under", F.min(F.when(F.col("_below"), F.col("_level"))).over(so_far)),
+            }
+        )
+    )
+    to_top = F.when(F.col("_below"), -1).otherwise(1) * F.exp(F.col("_level") - F.col("_top"))
+    share = F.when(F.col("_top") > float("-inf"), to_top).when(F.col("_top").isNull(), F.exp(F.col("_level") - F.col("_under")))
+    return (
+        signed.groupBy(*keys).agg(F.min(share - 1).alias("max_drawdown_compounded"))
     )
 
 
