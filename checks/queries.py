@@ -274,7 +274,7 @@ def o6_universe_batch(spark, sf):
 
 @query(
     "a20_universe_fingerprint",
-    f"""WITH {CATALOG} SELECT timeframe, sha256(string_agg(pair || '|' || status, chr(10) ORDER BY pair, status)) AS fingerprint FROM catalog GROUP BY timeframe""",
+    f"WITH {CATALOG}, {sql.tree('timeframe', "pair || '|' || status", 'catalog')}",
 )
 def a20_universe_fingerprint(spark, sf):
     rows = catalog_of(spark, sf).withColumn("value", F.col("status"))
@@ -283,7 +283,7 @@ def a20_universe_fingerprint(spark, sf):
 
 @query(
     "a20_file_fingerprint",
-    f"""WITH {CATALOG} SELECT timeframe, sha256(string_agg(pair || '|' || file || '|' || CAST(size_bytes AS VARCHAR), chr(10) ORDER BY pair)) AS fingerprint FROM catalog GROUP BY timeframe""",
+    f"WITH {CATALOG}, {sql.tree('timeframe', "pair || '|' || file || '|' || CAST(size_bytes AS VARCHAR)", 'catalog')}",
 )
 def a20_file_fingerprint(spark, sf):
     return identity.file_fingerprint(catalog_of(spark, sf), ["timeframe"])
@@ -291,7 +291,7 @@ def a20_file_fingerprint(spark, sf):
 
 @query(
     "a20_pair_list_fingerprint",
-    "SELECT event_type, sha256(string_agg(pair, '' ORDER BY pair)) AS fingerprint FROM (SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) || chr(10) AS pair FROM events) GROUP BY event_type",
+    f"WITH names AS (SELECT DISTINCT event_type, CAST(user_id AS VARCHAR) AS pair FROM events), {sql.tree('event_type', 'pair', 'names')}",
 )
 def a20_pair_list_fingerprint(spark, sf):
     pairs = read_events(spark, sf).select("event_type", F.col("user_id").cast("string").alias("pair")).distinct()

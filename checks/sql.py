@@ -472,3 +472,10 @@ def drawdown_cte(keys: str, source: str = "tr") -> str:
 eq AS (SELECT *, product(1 + r) OVER ({order}) AS equity FROM {source}),
 pk AS (SELECT *, max(equity) OVER ({order}) AS peak FROM eq),
 dd AS (SELECT {keys}, round(min(equity / peak - 1), 9) AS max_drawdown_compounded FROM pk GROUP BY ALL)"""
+
+
+def tree(by: str, line: str, table: str) -> str:
+    """Tree fingerprint of a table's lines, the last two parts of a WITH query."""
+    return f"""leaves AS (SELECT {by}, sha256({line}) AS h FROM {table}),
+ branches AS (SELECT {by}, substr(h, 1, 3) AS k, sha256(string_agg(h, chr(10) ORDER BY h)) AS d FROM leaves GROUP BY {by}, substr(h, 1, 3))
+ SELECT {by}, sha256(string_agg(d, chr(10) ORDER BY k)) AS fingerprint FROM branches GROUP BY {by}"""

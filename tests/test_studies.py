@@ -126,8 +126,11 @@ def test_study_from_files(spark, data_dir, tmp_path):
                          minimum_holdout_events=1, validation_fdr=1.0)
     result = studies.run_event_study(spark, data_dir, out, START, END, system="turtle_channel", config=config,
                                      catalog_dir=catalog_dir)
-    payload = "\n".join(f"{r.pair}|{r.value}" for r in sorted(selection, key=lambda r: r.pair))
-    assert result["universe_fingerprint"] == hashlib.sha256(payload.encode()).hexdigest()
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    leaves = sorted(digest(f"{r.pair}|{r.value}") for r in selection)
+    branches = [digest("\n".join(h for h in leaves if h[:3] == k)) for k in sorted({h[:3] for h in leaves})]
+    assert result["universe_fingerprint"] == digest("\n".join(branches))
+    assert result["universe_fingerprint_basis"] == "source_sha256_v1+tree_v1"
     assert (result["pairs_analyzed"], result["pairs_failed"]) == (4, 0)
     assert result["hypotheses_tested"] == 16
     tests = spark.read.csv(f"{out}/discovery_tests.csv", header=True)
@@ -151,7 +154,7 @@ def test_study_from_files(spark, data_dir, tmp_path):
     assert (later["pairs_analyzed"], later["pairs_failed"]) == (4, 1)
     errors = spark.read.csv(str(tmp_path / "late" / "errors.csv"), header=True).collect()
     assert [r.pair for r in errors] == ["EEE/USDT:USDT"]
-    assert later["universe_fingerprint_basis"] == identity.FILE_METADATA_BASIS
+    assert later["universe_fingerprint_basis"] == identity.FILE_METADATA_BASIS + identity.TREE
 
 
 def test_catalog_rules(spark):

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +16,9 @@ SOURCE_HASH_BASIS = "source_sha256_v1"
 METADATA_BASIS = "catalog_metadata_fallback_v1"
 EMPTY_BASIS = "empty_catalog_selection_v1"
 FILE_METADATA_BASIS = "market_file_metadata_v1"
+#: Added to the basis of a fingerprint, which is a tree digest and not one hash over all lines.
+TREE = "+tree_v1"
+_PREFIX = 3  # hexadecimal digits: 4096 branches of a fingerprint
 
 
 def git_blob_sha1(content: Column) -> Column:
@@ -31,44 +33,18 @@ def metadata_fingerprint(columns: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256)
 
 
-def sorted_digest(df: DataFrame, by: Sequence[str], order: Sequence[str], line: Column, name: str,
-                  *, final_newline: bool = False) -> DataFrame:
-    """SHA-256 of the group's lines joined by newlines in ``order``.
+def tree_digest(df: DataFrame, by: Sequence[str], line: Column, name: str) -> DataFrame:
+    """SHA-256 over a group's lines as a tree, whatever their order and number.
 
-    The digest is defined over one sequence, so a group is one task; it streams
-    through the hash and is never held in memory. Meant for one line per market
-    file, not for bars.
+    Each line is hashed; hashes that begin with the same ``_PREFIX`` digits are sorted,
+    joined by newlines and hashed; so are these digests in order of their prefix. No
+    task holds more than one prefix of one group, or one digest per prefix.
     """
-    by = list(by) or ["_all"]
-    rows = df.withColumn("_all", F.lit(0)).select(*by, *[o for o in order if o not in by], line.alias("_line"))
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, running = None, None
-
-        def closed():
-            if final_newline:
-                running.update(b"\n")
-            return pd.DataFrame([[*key, running.hexdigest()]], columns=[*by, name])
-
-        for pdf in batches:
-            for *head, text in pdf[[*by, "_line"]].itertuples(index=False, name=None):
-                if head != key:
-                    if running is not None:
-                        yield closed()
-                    key, running = head, hashlib.sha256()
-                else:
-                    running.update(b"\n")
-                running.update(text.encode("utf-8"))
-        if running is not None:
-            yield closed()
-
-    ddl = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in by)
-    return (
-        rows.repartition(*by)
-        .sortWithinPartitions(*by, *order)
-        .mapInPandas(digest, f"{ddl}, `{name}` string")
-        .drop("_all")
-    )
+    hashed = df.select(*by, F.sha2(line, 256).alias("_line"))
+    branch = F.sha2(F.array_join(F.array_sort(F.collect_list("_line")), "\n"), 256)
+    branches = hashed.groupBy(*by, F.substring("_line", 1, _PREFIX).alias("_prefix")).agg(branch.alias("_digest"))
+    ordered = F.array_sort(F.collect_list(F.struct("_prefix", "_digest")))
+    return branches.groupBy(*by).agg(F.sha2(F.array_join(ordered["_digest"], "\n"), 256).alias(name))
 
 
 def check_catalog_range(summary: dict, timeframe: str, start, end) -> None:
@@ -111,9 +87,8 @@ def selection_basis(selection: DataFrame) -> DataFrame:
 
 
 def universe_fingerprint(selection: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Digest of ``pair|value`` lines in pair order."""
-    line = F.concat_ws("|", "pair", "value")
-    return sorted_digest(selection, by, ["pair", "value"], line, "fingerprint")
+    """Tree digest of ``pair|value`` lines."""
+    return tree_digest(selection, by, F.concat_ws("|", "pair", "value"), "fingerprint")
 
 
 def check_known_pairs(pairs: DataFrame, selection: DataFrame) -> None:
@@ -123,14 +98,14 @@ def check_known_pairs(pairs: DataFrame, selection: DataFrame) -> None:
 
 
 def file_fingerprint(files: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Digest of ``pair|file|size`` lines in pair order, for runs without a catalog."""
+    """Tree digest of ``pair|file|size`` lines, for runs without a catalog."""
     line = F.concat_ws("|", "pair", "file", F.col("size_bytes").cast("string"))
-    return sorted_digest(files, by, ["pair", "file"], line, "fingerprint")
+    return tree_digest(files, by, line, "fingerprint")
 
 
 def pair_list_fingerprint(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Digest of the pair names, one per line with a final newline."""
-    return sorted_digest(pairs, by, ["pair"], F.col("pair"), "fingerprint", final_newline=True)
+    """Tree digest of the pair names."""
+    return tree_digest(pairs, by, F.col("pair"), "fingerprint")
 
 
 def digest_of(df: DataFrame) -> str:

@@ -159,7 +159,7 @@ def run_event_study(
         data_start=first.isoformat(),
         data_end=last.isoformat(),
         universe_fingerprint=fingerprint,
-        universe_fingerprint_basis=basis,
+        universe_fingerprint_basis=basis + identity.TREE,
     )
     sinks.prepare_fresh_dir(spark, output_dir)
 
@@ -205,7 +205,7 @@ def run_event_study(
         "data_start": spec.data_start,
         "data_end": spec.data_end,
         "universe_fingerprint": fingerprint,
-        "universe_fingerprint_basis": basis,
+        "universe_fingerprint_basis": basis + identity.TREE,
         "bar_minutes": minutes,
         "horizons_bars": list(config.horizons_bars),
         "holding_minutes": [minutes * h for h in config.horizons_bars],
