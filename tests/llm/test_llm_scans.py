@@ -9,7 +9,7 @@ from odd_documents import empty, odd, plain
 from pyspark.sql import functions as F
 
 from tidebars.llm.documents import read_table
-from tidebars.llm.licenses import BASE, RULES, scan_licenses
+from tidebars.llm.licenses import BASE, RULES, _any_of, scan_licenses
 from tidebars.llm.secret_scan import find_secrets
 from tidebars.llm.spans import match_spans, running_sums
 
@@ -121,4 +121,5 @@ def test_licenses(spark):
 @pytest.mark.parametrize("rule", RULES, ids=lambda r: f"{r.label}-{r.priority}")
 def test_every_rule_can_match_only_with_its_keyword(rule):
     assert rule.keyword == rule.keyword.lower() and re.compile(rule.pattern)
+    assert re.compile(f"(?:^| ){_any_of({r.keyword for r in RULES})}").search(f"a {rule.keyword} b")
     assert len(RULES) > 200
