@@ -17,7 +17,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # What a license is called in running text, as regular expressions over lower-case words
 # joined by single spaces, and the label it gets; the more particular name comes first.
-# The first word is a keyword every match must contain.
+# Between the two stands a keyword every match must have at the start of a word.
 NAMES: tuple[tuple[str, str, str], ...] = (
     ("agpl-3.0", "affero", r"(?:gnu )?affero general public license(?: (?:version|v) ?3(?: 0)?)?|gnu affero gpl(?: v?3)?"),
     ("agpl-3.0", "agpl", r"agpl ?(?:v ?)?3(?: 0)?"),
@@ -36,15 +36,18 @@ NAMES: tuple[tuple[str, str, str], ...] = (
     ("apache-2.0", "apache", r"apache license(?: (?:version|v))? ?2(?: 0)?|apache 2(?: 0)? license"),
     ("apache-1.1", "apache", r"apache software license(?: (?:version|v))? ?1 1"),
     ("apache-1.0", "apache", r"apache license(?: (?:version|v))? ?1 0"),
-    ("mit", "mit", r"(?:the )?mit license(?: mit)?"),
-    ("mit-0", "mit", r"mit no attribution"),
+    ("mit", "mit license", r"(?:the )?mit license(?: mit)?"),
+    ("mit-0", "mit no attribution", r"mit no attribution"),
     ("mit-x11", "x11", r"(?:mit )?x11 license"),
     ("bsd-2-clause", "bsd", r"(?:simplified|2 clause|two clause|freebsd) bsd license|bsd 2 clause"),
     ("bsd-3-clause", "bsd", r"(?:new|modified|revised|3 clause|three clause) bsd license|bsd 3 clause"),
     ("bsd-4-clause", "bsd", r"(?:original|4 clause|four clause) bsd license|bsd 4 clause"),
-    ("0bsd", "bsd", r"(?:zero clause|0 clause|free public) bsd license|0bsd"),
-    ("bsd", "bsd", r"bsd licen[cs]e|berkeley software distribution license"),
-    ("isc", "isc", r"isc license|internet systems consortium license"),
+    ("0bsd", "bsd", r"(?:zero clause|0 clause|free public) bsd license"),
+    ("0bsd", "0bsd", r"0bsd"),
+    ("bsd", "bsd", r"bsd licen[cs]e"),
+    ("bsd", "berkeley", r"berkeley software distribution license"),
+    ("isc", "isc", r"isc license"),
+    ("isc", "internet systems", r"internet systems consortium license"),
     ("mpl-2.0", "mozilla", r"mozilla public license(?: (?:version|v))? ?2(?: 0)?"),
     ("mpl-1.1", "mozilla", r"mozilla public license(?: (?:version|v))? ?1 1"),
     ("mpl-1.0", "mozilla", r"mozilla public license(?: (?:version|v))? ?1 0"),
@@ -102,7 +105,8 @@ NAMES: tuple[tuple[str, str, str], ...] = (
     ("upl-1.0", "universal permissive", r"universal permissive license"),
     ("blueoak-1.0.0", "blue oak", r"blue oak model license"),
     ("mulan-psl-2.0", "mulan", r"mulan (?:psl|permissive software license)(?: v? ?2)?"),
-    ("openrail", "rail", r"(?:bigscience |creativeml )?open ?rail(?: m)?(?: license)?"),
+    ("openrail", "openrail", r"(?:bigscience |creativeml )?openrail(?: m)?(?: license)?"),
+    ("openrail", "open rail", r"(?:bigscience |creativeml )?open rail(?: m)?(?: license)?"),
     ("llama", "llama", r"llama ?[1-4]?(?: [0-9])? community license"),
 )
 # How a name is introduced; {} stands for it. A rule is a form of a name.
@@ -157,19 +161,32 @@ def _rules() -> tuple[Rule, ...]:
 RULES = _rules()
 
 
+def _whole_words(pattern: str) -> str:
+    return rf"(?<![^ ])(?:{pattern})(?![^ ])"
+
+
 def _detections(text: Column) -> Column:
-    """Intervals of all rules whose keyword the text has, in order of start, the longer first.
+    """Intervals of all rules that match, in order of start, the longer first.
 
-    The rules are one constant array, so the plan has a single matching expression.
+    The forms of a name are tried where its keyword stands in the text and the bare name
+    matches; a sentence where its keyword stands. The rules are one constant array, so
+    the plan has a single matching expression.
     """
-    table = [
-        F.struct(
-            F.lit(r.keyword).alias("keyword"), F.lit(-r.priority).alias("minus_priority"), F.lit(place).alias("place"),
-            F.lit(r.label).alias("label"), F.lit(rf"(?<![^ ])(?:{r.pattern})(?![^ ])").alias("pattern"),
+    places = {(r.priority, r.pattern): i for i, r in enumerate(RULES)}
+
+    def constant(label: str, rank: int, pattern: str) -> Column:
+        return F.struct(
+            F.lit(-rank).alias("minus_priority"), F.lit(places[rank, pattern]).alias("place"), F.lit(label).alias("label"),
+            F.lit(_whole_words(pattern)).alias("pattern"),
         )
-        for place, r in enumerate(RULES)
+
+    groups = [(word, name, [constant(label, rank, form.format(name)) for rank, form in FORMS]) for label, word, name in NAMES]
+    groups += [(word, pattern, [constant(label, rank, pattern)]) for label, word, rank, pattern in SENTENCES]
+    table = [
+        F.struct(F.lit(word).alias("keyword"), F.lit(_whole_words(gate)).alias("gate"), F.array(*rules).alias("rules"))
+        for word, gate, rules in groups
     ]
-    wanted = F.filter(F.array(*table), lambda r: F.contains(text, r["keyword"]))
+    wanted = F.filter(F.array(*table), lambda g: F.contains(text, g["keyword"]) & F.regexp_like(text, g["gate"]))
 
     def found(rule: Column) -> Column:
         return F.transform(
@@ -180,7 +197,7 @@ def _detections(text: Column) -> Column:
             ),
         )
 
-    return F.array_sort(F.flatten(F.transform(wanted, found)))
+    return F.array_sort(F.flatten(F.transform(F.flatten(F.transform(wanted, lambda g: g["rules"])), found)))
 
 
 def _kept(detections: Column) -> Column:
@@ -208,6 +225,16 @@ def _kept(detections: Column) -> Column:
     return F.aggregate(detections, start, step)
 
 
+def _any_of(words: set[str]) -> str:
+    """A pattern of any of the words that looks at each letter once: alternatives by first letter."""
+    if "" in words:
+        return ""
+    by_letter: dict[str, set[str]] = {}
+    for word in words:
+        by_letter.setdefault(word[0], set()).add(word[1:])
+    return "(?:" + "|".join(letter + _any_of(rest) for letter, rest in sorted(by_letter.items())) + ")"
+
+
 def _phrase_starts(words: Column, phrase: str) -> Column:
     """Word places where the phrase's words follow each other."""
     first, *rest = phrase.split(" ")
@@ -243,8 +270,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     starts = [F.when(gated & F.contains(F.col("text"), F.lit(p)), let(words, _starts_of(p))).otherwise(none).alias(label) for p, label in BASE]
     spaces = F.length("text") - F.length(F.replace(F.col("text"), F.lit(" ")))
     n_words = F.when(F.col("text") == "", 0).otherwise(spaces + 1).cast("long")
-    keywords = sorted({r.keyword for r in RULES})
-    some = F.col("text").rlike("|".join(keywords))
+    some = F.col("text").rlike(f"(?:^| ){_any_of({r.keyword for r in RULES})}")
     nothing = F.array().cast("array<struct<start:int,minus_end:int,minus_priority:int,place:int,label:string>>")
     scanned = normal.select(
         "doc_id", n_words.alias("n_words"), *starts, F.when(some, _detections(F.col("text"))).otherwise(nothing).alias("detections")
