@@ -78,6 +78,14 @@ def test_a_large_group_of_near_copies_loses_no_link(spark, bucket):
     assert found == {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
 
 
+def test_tables_that_lose_pairs_are_refused(spark):
+    values = [0, sum(1 << b for b in (0, 10, 20, 30, 40, 50, 60))]  # 7 bits apart, one in each of 7 runs
+    prints = spark.createDataFrame([(x, x) for x in values], "print long, node long")
+    with pytest.raises(ValueError, match="agree in 0 only"):
+        near_links(prints, distance=7, blocks=7, agreeing=2)
+    assert near_links(prints, distance=7, blocks=9, agreeing=2).distinct().count() == 1
+
+
 ITEMS = [
     (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"),
     (1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron"),

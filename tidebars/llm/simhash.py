@@ -153,11 +153,13 @@ def near_links(
     """Links ``a, b`` that join the distinct fingerprints (``print, node``) within ``distance`` bits.
 
     Every choice of ``agreeing`` of ``blocks`` runs of bits is a table, in which prints
-    meet that agree in those runs. All pairs of at most blocks - agreeing bits meet; of
-    wider ones, up to ``distance``, those meet whose differences fall into few runs. The
-    links are a subset of those pairs that leaves every component whole: a group of many
-    near copies gives no more links than rows in a table.
+    meet that agree in those runs. All pairs of at most blocks - agreeing bits meet, so
+    that must be no less than ``distance``. The links are a subset of those pairs that
+    leaves every component whole: a group of many near copies gives no more links than
+    rows in a table.
     """
+    if not 0 < agreeing <= blocks - distance:
+        raise ValueError(f"of {blocks} runs, pairs of {distance} bits agree in {max(blocks - distance, 0)} only, not in {agreeing}")
     masks = _masks(list(range(64)), blocks, agreeing)
     table = F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.lit(_signed(m)).alias("mask")) for i, m in enumerate(masks)]))
     keyed = prints.select("print", "node", table.alias("t")).select(
