@@ -11,9 +11,9 @@ from odd_documents import empty, odd, plain
 
 from tidebars.llm.components import components
 from tidebars.llm.decontaminate import contained_items, drop_contaminated
-from tidebars.llm.documents import read_table
+from tidebars.llm.documents import read_table, text_blocks
 from tidebars.llm.phrases import remove_repeats, sequence_hashes, sliding
-from tidebars.llm.simhash import near_duplicates, near_links
+from tidebars.llm.simhash import fingerprint, near_duplicates, near_links
 
 SMALL = "/root/testdata/sf0.001"
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -78,6 +78,23 @@ def test_a_large_group_of_near_copies_loses_no_link(spark, bucket):
     assert found == {x: min(g) for g in groups.values() if len(g) > 1 for x in g}
 
 
+def test_blocks_cut_no_word():
+    for sign in "\x1c\x1f\x85\xa0\u2003\u2028\u3000":
+        text = f"ab{sign}cd ef\tg{'h' * 30}\x0b{sign}i  j{sign}"
+        for size in range(1, 20):
+            blocks = list(text_blocks(text, size))
+            assert "".join(blocks) == text and [w for b in blocks for w in SPACED.findall(b)] == SPACED.findall(text)
+
+
+@pytest.mark.parametrize("word", ["left\xa0right", "x" * (5 << 19)])
+def test_a_word_at_a_cut_stays_whole(spark, word):
+    before = ("w" * 1023 + " ") * 1024
+    text = before[: (1 << 20) - 6] + " " + word + " and words after it"  # U+00A0 is the last sign of the first block
+    assert fingerprint(text) == _fingerprint(text)
+    left = remove_repeats(odd(spark, [(1, text)])).first()
+    assert (left.n_words, left.n_removed + len(SPACED.findall(left.kept))) == (len(SPACED.findall(text)),) * 2
+
+
 def test_tables_that_lose_pairs_are_refused(spark):
     values = [0, sum(1 << b for b in (0, 10, 20, 30, 40, 50, 60))]  # 7 bits apart, one in each of 7 runs
     prints = spark.createDataFrame([(x, x) for x in values], "print long, node long")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_ID = "no id"
+_SEPARATOR = re.compile(r"[ \t-\r]")
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,12 +54,12 @@ def remainder(id_col: Column, divisor: int) -> Column:
 
 
 def text_blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
-    """The whole text in blocks that end at white space where there is any within reach,
-    so that one very long text is never held several times over."""
+    """The whole text in blocks that end after one of the six separators of words, so
+    that one very long text is never held several times over and no word is cut. A block
+    takes in its last word however long that is."""
     at = 0
     while at < len(text):
-        end = min(at + size, len(text))
-        while end < len(text) and not text[end - 1].isspace() and end < at + 2 * size:
-            end += 1
+        cut = _SEPARATOR.search(text, min(at + size, len(text)) - 1)
+        end = cut.end() if cut else len(text)
         yield text[at:end]
         at = end
