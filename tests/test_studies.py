@@ -7,6 +7,7 @@ import zipfile
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from bars import walk
 from pyspark.sql import functions as F
@@ -108,6 +109,26 @@ def test_dirty_files(spark, tmp_path):
         market_files.load_bars(spark, str(tmp_path)).collect()
 
 
+def test_torn_and_mixed_files(spark, tmp_path):
+    pdf = walk("AAA", 4000, 3, gaps=0).assign(date=lambda d: d.date.astype("datetime64[ms, UTC]"))
+    save(tmp_path, "AAA", "1m", pdf, "parquet")
+    torn = tmp_path / "BBB_USDT_USDT-1m-futures.parquet"
+    pdf[["date", "open", "high", "low", "close", "volume"]].to_parquet(torn, row_group_size=1000)
+    group = pq.ParquetFile(torn).metadata.row_group(3)
+    first = min(group.column(i).dictionary_page_offset or group.column(i).data_page_offset for i in range(6))
+    content = bytearray(torn.read_bytes())
+    content[first : first + 400] = b"\xff" * 400
+    torn.write_bytes(content)
+    save(tmp_path, "CCC", "1m", pdf.assign(volume=pdf["volume"].astype(str), date=pdf["date"].astype(str)), "parquet")
+    rows = market_files.load_bars(spark, str(tmp_path), skip_unreadable=True).groupBy("pair").count().collect()
+    assert {(r.pair[:3], r["count"]) for r in rows} == {("AAA", 4000), ("CCC", 4000)}
+    config = StudyConfig(horizons_bars=(1,), minimum_train_events=5, minimum_validation_events=2, minimum_holdout_events=1)
+    result = studies.run_event_study(spark, str(tmp_path), str(tmp_path / "out"), START, "2026-01-04", system="turtle_channel", config=config)
+    assert (result["pairs_analyzed"], result["pairs_failed"]) == (2, 1)
+    errors = spark.read.csv(str(tmp_path / "out" / "errors.csv"), header=True).collect()
+    assert [r.pair for r in errors] == ["BBB/USDT:USDT"] and "timerange" not in errors[0].error
+
+
 def test_study_from_files(spark, data_dir, tmp_path):
     catalog_dir, out = str(tmp_path / "catalog"), str(tmp_path / "run")
     summary = studies.write_catalog(spark, data_dir, catalog_dir, START, END, timeframes=("1m", "5m"))

@@ -203,8 +203,8 @@ def pair_coverage(bars: DataFrame) -> DataFrame:
     )
 
 
-def unusable_files(files: DataFrame, coverage: DataFrame) -> DataFrame:
-    """Error rows of files without a bar in the study range; they never stop a run."""
-    return files.join(coverage, list(FILE), "left_anti").select(
-        "pair", "file", F.lit("No readable candles inside requested timerange").alias("error")
-    )
+def unusable_files(files: DataFrame, coverage: DataFrame, problems: DataFrame) -> DataFrame:
+    """Error rows of files that cannot be read or have no bar in the study range; they never stop a run."""
+    without = files.join(coverage, list(FILE), "left_anti").join(problems, ["pair", "file"], "left")
+    error = F.coalesce("problem", F.lit("No readable candles inside requested timerange"))
+    return without.select("pair", "file", error.alias("error"))

@@ -164,11 +164,11 @@ def run_event_study(
     sinks.prepare_fresh_dir(spark, output_dir)
 
     # one damaged file must not stop the study of the others: it ends up in ``errors``
-    bars = market_files.load_bars(spark, data_dir, timeframe, skip_unreadable=True)
+    bars, problems = market_files.load_whole_files(spark, data_dir, timeframe)
     bars = market_files.in_range(bars, first, last)
     bars = stage(bars.join(files.select("pair", "file"), ["pair", "file"], "left_semi"))
     coverage = stage(quality.pair_coverage(bars).join(files.select("pair", "file", "size_bytes"), ["pair", "file"]))
-    errors = quality.unusable_files(files, coverage)
+    errors = quality.unusable_files(files, coverage, problems)
     summary = stage(
         study_summary(bars.drop("file"), system, config, train_end, validation_end, **parameters)
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import io
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.config import as_utc
-from tidebars.session import prepare
+from tidebars.session import prepare, stage
 
 # Fixed naming pattern of the files and fixed column names of their contents.
 FILE_PATTERN = r"^(.+)-([^-]+)-futures\.(feather|parquet|json|json\.gz)$"
 COLUMNS = ("date", "open", "high", "low", "close", "volume")
 FILE_KEYS = ("pair", "timeframe", "file")
 _RAW = "path string, row_index bigint, date timestamp, " + ", ".join(f"{c} double" for c in COLUMNS[1:])
+_RAW += ", problem string"  # why a file cannot be read, in a row of its own
+_DAMAGE = (ValueError, TypeError, OSError, pa.ArrowException)
 
 
 def file_name(path: Column) -> Column:
@@ -92,10 +94,10 @@ def _epoch_or_text(value: Column) -> Column:
 
 
 def _read_parquet(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
-    # damaged footers can only be passed over if all are looked at, which is a job of its own
-    options = {"pathGlobFilter": f"{glob}.parquet", "ignoreCorruptFiles": skip, "mergeSchema": skip}
+    if skip:  # Spark would keep the whole row groups of a torn file, and one schema for all
+        return _read_each(spark, folder, f"{glob}.parquet", _decode_parquet, skip)
     spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")  # how pandas writes dates
-    df = spark.read.options(**options).parquet(folder)
+    df = spark.read.option("pathGlobFilter", f"{glob}.parquet").parquet(folder)
     _require_columns(df.columns, "parquet market data")
     date = F.col("date")
     if df.select("date").schema[0].dataType.typeName() == "long":
@@ -105,46 +107,73 @@ def _read_parquet(spark: SparkSession, folder: str, glob: str, skip: bool) -> Da
         F.col("_metadata.row_index").alias("row_index"),
         date.cast("timestamp").alias("date"),
         *[F.col(c).try_cast("double").alias(c) for c in COLUMNS[1:]],
+        F.lit(None).cast("string").alias("problem"),
     )
 
 
-def _decode_feather(path: str, content: bytes) -> pd.DataFrame:
-    from pyarrow import feather
-
-    table = feather.read_table(io.BytesIO(content))
+def _bar_columns(table: pa.Table, path: str, start: int = 0) -> pd.DataFrame:
     table = table.rename_columns([name.lower() for name in table.column_names])
     _require_columns(table.column_names, path.rsplit("/", 1)[-1])
     frame = table.select(list(COLUMNS)).to_pandas()
-    out = pd.DataFrame({"path": path, "row_index": range(len(frame))})
+    out = pd.DataFrame({"path": path, "row_index": range(start, start + len(frame))})
     out["date"] = pd.to_datetime(frame["date"], utc=True).astype("datetime64[us, UTC]")
     for column in COLUMNS[1:]:
         out[column] = pd.to_numeric(frame[column], errors="coerce").astype(float)
+    out["problem"] = None
     return out
 
 
-def _read_feather(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
-    """One task decodes one file and passes it on in batches."""
+def _decode_feather(path: str, content: bytes) -> Iterator[pd.DataFrame]:
+    from pyarrow import feather
+
+    yield _bar_columns(feather.read_table(io.BytesIO(content)), path)
+
+
+def _decode_parquet(path: str, content: bytes) -> Iterator[pd.DataFrame]:
+    """Row group by row group, once all of them have been read to the rows the footer names."""
+    from pyarrow import parquet
+
+    file = parquet.ParquetFile(io.BytesIO(content))
+    names = [name for name in file.schema_arrow.names if name.lower() in COLUMNS]
+    groups = lambda: (file.read_row_group(i, columns=names) for i in range(file.num_row_groups))
+    _bar_columns(file.schema_arrow.empty_table(), path)
+    rows = sum(len(_bar_columns(table, path)) for table in groups())
+    if rows != file.metadata.num_rows:
+        raise ValueError(f"{rows} of {file.metadata.num_rows} rows can be read")
+    start = 0
+    for table in groups():
+        yield _bar_columns(table, path, start)
+        start += len(table)
+
+
+def _read_each(spark: SparkSession, folder: str, glob: str, decoder: Callable, skip: bool) -> DataFrame:
+    """One task decodes one file and passes it on in batches; a file is read whole or not at all."""
     rows_per_batch = 65_536
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch["path"].to_pylist(), batch["content"]):
                 try:
-                    out = _decode_feather(path, content.as_py())
-                except (ValueError, pa.ArrowException):
+                    for out in decoder(path, content.as_py()):
+                        for start in range(0, len(out), rows_per_batch):
+                            yield pa.RecordBatch.from_pandas(
+                                out.iloc[start : start + rows_per_batch], schema=arrow_schema, preserve_index=False
+                            )
+                except _DAMAGE as damage:
                     if not skip:
                         raise
-                    continue
-                for start in range(0, len(out), rows_per_batch):
-                    yield pa.RecordBatch.from_pandas(
-                        out.iloc[start : start + rows_per_batch], schema=arrow_schema, preserve_index=False
-                    )
+                    yield pa.RecordBatch.from_pylist([{"path": path, "problem": " ".join(str(damage).split())}], schema=arrow_schema)
 
     arrow_schema = pa.schema(
         [("path", pa.string()), ("row_index", pa.int64()), ("date", pa.timestamp("us", "UTC"))]
         + [(c, pa.float64()) for c in COLUMNS[1:]]
+        + [("problem", pa.string())]
     )
-    return _binary(spark, folder, f"{glob}.feather").select("path", "content").mapInArrow(decode, _RAW)
+    return _binary(spark, folder, glob).select("path", "content").mapInArrow(decode, _RAW)
+
+
+def _read_feather(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
+    return _read_each(spark, folder, f"{glob}.feather", _decode_feather, skip)
 
 
 def _read_json(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
@@ -162,16 +191,17 @@ def _read_json(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataF
         listed,
         F.transform(named, lambda m: F.array(*[F.try_element_at(by_name(m), F.lit(c)) for c in COLUMNS])),
     )
+    problem = F.concat(F.lit("no bars can be read from "), F.col("path"))
     if not skip:
-        problem = F.concat(F.lit("no bars can be read from "), F.col("path"))
         cells = F.coalesce(cells, F.raise_error(problem).cast("array<array<string>>"))
-    rows = text.select("path", F.posexplode(cells).alias("row_index", "cell"))
+    rows = text.select("path", F.when(cells.isNull(), problem).alias("problem"), F.posexplode_outer(cells).alias("row_index", "cell"))
     cell = lambda i: F.get("cell", F.lit(i))
     return rows.select(
         "path",
         F.col("row_index").cast("long").alias("row_index"),
         _epoch_or_text(cell(0)).alias("date"),
         *[cell(i).try_cast("double").alias(c) for i, c in enumerate(COLUMNS[1:], 1)],
+        "problem",
     )
 
 
@@ -187,13 +217,7 @@ def clean_bars(raw: DataFrame, keys=FILE_KEYS) -> DataFrame:
     return whole.groupBy(*keys, "date").agg(*last)
 
 
-def load_bars(
-    spark: SparkSession, folder: str, timeframe: str | None = None, *, skip_unreadable: bool = False
-) -> DataFrame:
-    """Bars of all market files of a folder, in any mix of formats.
-
-    With ``skip_unreadable`` a damaged file has no bars instead of failing the job.
-    """
+def _raw_bars(spark: SparkSession, folder: str, timeframe: str | None, skip: bool) -> DataFrame:
     prepare(spark)
     _require_folder(spark, folder)
     found = discover(spark, folder, timeframe)
@@ -203,8 +227,25 @@ def load_bars(
     if not readers:
         raw = spark.createDataFrame([], _RAW)
     else:
-        raw = reduce(DataFrame.unionByName, [read(spark, folder, glob, skip_unreadable) for read in readers])
-    return clean_bars(with_file_identity(raw))
+        raw = reduce(DataFrame.unionByName, [read(spark, folder, glob, skip) for read in readers])
+    return with_file_identity(raw)
+
+
+def load_bars(
+    spark: SparkSession, folder: str, timeframe: str | None = None, *, skip_unreadable: bool = False
+) -> DataFrame:
+    """Bars of all market files of a folder, in any mix of formats.
+
+    With ``skip_unreadable`` a file that cannot be read whole has no bars instead of
+    failing the job.
+    """
+    return clean_bars(_raw_bars(spark, folder, timeframe, skip_unreadable))
+
+
+def load_whole_files(spark: SparkSession, folder: str, timeframe: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bars of the files that can be read whole, and ``pair, file, problem`` of the others."""
+    raw = stage(_raw_bars(spark, folder, timeframe, skip=True))
+    return clean_bars(raw), raw.filter(F.col("problem").isNotNull()).select("pair", "file", "problem")
 
 
 def in_range(bars: DataFrame, start, end) -> DataFrame:
