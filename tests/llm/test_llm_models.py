@@ -70,3 +70,12 @@ def test_neighbours_vote_by_similarity(spark):
     want = sum(w * model.labels[i] for w, i in zip(weights, order, strict=True)) / sum(weights)
     got = score_quality(docs.filter("doc_id = 7"), model).first().score
     assert abs(got - want) < 1e-6
+
+
+def test_all_letters_of_a_run_decide(spark):
+    a, b, shared = "qxzvj" * 60, "mnlrw" * 60, "ooeea" * 60
+    texts = [(i, shared + (a if i % 2 else b), "aa" if i % 2 else "bb") for i in range(40)]
+    model = fit_language(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    found = identify_language(odd(spark, [(100, "u" + shared + a[1:]), (101, "u" + shared + b[1:])]), model)
+    assert {(r.doc_id, r.lang_pred) for r in found.collect()} == {(100, "aa"), (101, "bb")}
+    assert [*grams("ab" * 300, 5)][-1] == "abab$" and len([*grams("a" * 300, 1)]) == 302

@@ -9,15 +9,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.llm.documents import ids_and_texts, remainder, text_blocks
+from tidebars.session import stage
 
 SAMPLE_PER_LANGUAGE = 4000  # labelled rows the model is fitted on, about, for each language
 MAX_LANGUAGES = 200
 MAX_WORDS = 50_000  # most frequent words kept; the same bound holds for n-grams
 LONGEST_GRAM = 5
+BLOCK_GRAMS = 1 << 16  # of one word, worked on at once
+WEIGHT = 1 << 20  # damped counts are summed as integers, so that their order does not matter
 UNDETERMINED = "und"
 HELD_OUT, HELD_OUT_REMAINDER = 4, 2
 MEMO_WORDS = 400_000
@@ -38,9 +41,16 @@ def word_counts(text: str) -> Counter[str]:
     return counts
 
 
+def gram_blocks(word: str, n: int) -> Iterator[list[str]]:
+    """The n-grams of the whole word in blocks, however long it is."""
+    marked = f"^{word}$"
+    count = len(marked) - n + 1
+    for start in range(0, count, BLOCK_GRAMS):
+        yield [marked[i : i + n] for i in range(start, min(start + BLOCK_GRAMS, count))]
+
+
 def grams(word: str, n: int) -> list[str]:
-    marked = f"^{word[:200]}$"  # no word of a language is that long
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+    return [g for block in gram_blocks(word, n) for g in block]
 
 
 @dataclass
@@ -63,9 +73,13 @@ class WordModel:
         if known is not None:
             return known
         for n in range(LONGEST_GRAM, 0, -1):
-            rows = [r for g in grams(word, n) if (r := self.grams.get(g)) is not None]
-            if rows:
-                return self.gram_scores[rows].mean(0)
+            total, found = np.zeros(len(self.languages)), 0
+            for block in gram_blocks(word, n):
+                rows = [r for g in block if (r := self.grams.get(g)) is not None]
+                total += self.gram_scores[rows].sum(0)
+                found += len(rows)
+            if found:
+                return total / found
         return np.zeros(len(self.languages))
 
     def _rows(self, words: Iterable[str]) -> list[int]:
@@ -124,7 +138,7 @@ def fit_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_w
 
     Only rows with a language whose crc32(doc_id) mod 4 is not 2 are used. Spark counts
     the words; the driver gets the ``max_words`` most frequent of them, with counts per
-    language, and derives the n-grams from these. Of more than ``MAX_LANGUAGES`` labels
+    language, and the n-grams Spark counts in these. Of more than ``MAX_LANGUAGES`` labels
     the most frequent count. Without such rows the model knows no language.
     """
     rows = docs.select(
@@ -145,22 +159,48 @@ def fit_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_w
     scores = _log_frequencies(counts, counts.sum(0), len(words))
     # A word of one occurrence tells little; it goes through its n-grams as an unseen one does.
     own = {w: s for w, s, n in zip(words, scores, counts.sum(1), strict=True) if n > 1}
-    places: dict[str, int] = {}
-    of_gram, of_word = [], []
-    for i, word in enumerate(words):
-        for n in range(1, LONGEST_GRAM + 1):
-            found = [places.setdefault(g, len(places)) for g in grams(word, n)]
-            of_gram += found
-            of_word += [i] * len(found)
-    damped = np.log1p(counts)[of_word]
-    by_gram = np.stack([np.bincount(of_gram, weights=c, minlength=len(places)) for c in damped.T], axis=1)
-    names, lengths = list(places), np.fromiter(map(len, places), np.int64, len(places))
-    scores = np.zeros_like(by_gram)
-    for n in range(1, LONGEST_GRAM + 1):
-        own_length = lengths == n
-        scores[own_length] = _log_frequencies(by_gram[own_length], by_gram[own_length].sum(0), own_length.sum())
-    kept = sorted(range(len(names)), key=lambda i: (-by_gram[i].sum(), names[i]))[:max_words]
-    return WordModel(languages, own, {names[i]: row for row, i in enumerate(kept)}, scores[kept])
+    known, gram_scores = _fit_grams(docs.sparkSession, words, counts, max_words)
+    return WordModel(languages, own, known, gram_scores)
+
+
+def _fit_grams(spark: SparkSession, words: list[str], counts: np.ndarray, most: int) -> tuple[dict[str, int], np.ndarray]:
+    """The ``most`` heaviest n-grams of the words and their scores; Spark counts them over whole words."""
+    damped = np.rint(np.log1p(counts) * WEIGHT).astype(np.int64)
+    names = [f"n{i}" for i in range(counts.shape[1])]
+    schema = pa.schema([("gram", pa.string()), ("length", pa.int64()), *((x, pa.int64()) for x in names)])
+    columns = "gram string, length long, " + ", ".join(f"{x} long" for x in names)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def out() -> pa.RecordBatch:
+            weights = np.array(list(held.values()), np.int64).reshape(-1, len(names))
+            found = [pa.array(list(held), pa.string()), pa.array(list(map(len, held)), pa.int64())]
+            held.clear()
+            return pa.RecordBatch.from_arrays([*found, *map(pa.array, weights.T)], schema=schema)
+
+        for batch in batches:
+            weights = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
+            for word, weight in zip(batch.column(0).to_pylist(), weights, strict=True):
+                for n in range(1, LONGEST_GRAM + 1):
+                    for block in gram_blocks(word, n):
+                        for gram, times in Counter(block).items():
+                            held[gram] = held.get(gram, 0) + times * weight
+                        if len(held) > 100_000:
+                            yield out()
+        yield out()
+
+    table = spark.createDataFrame(pa.table([pa.array(words, pa.string()), *map(pa.array, damped.T)], names=["word", *names]))
+    found = table.repartition(spark.sparkContext.defaultParallelism).mapInArrow(count, columns)
+    by_gram = stage(found.groupBy("gram", "length").agg(*[F.sum(x).alias(x) for x in names]))
+    sizes = {r["length"]: r for r in by_gram.groupBy("length").agg(F.count("*").alias("kinds"), *[F.sum(x).alias(x) for x in names]).collect()}
+    top = by_gram.orderBy(F.desc(sum((F.col(x) for x in names), F.lit(0))), "gram").limit(most).toPandas()
+    weights, lengths = top[names].to_numpy(np.float64) / WEIGHT, top["length"].to_numpy()
+    scores = np.zeros_like(weights)
+    for n, r in sizes.items():
+        totals = np.array([r[x] for x in names], np.float64) / WEIGHT
+        scores[lengths == n] = _log_frequencies(weights[lengths == n], totals, r["kinds"])
+    return {g: i for i, g in enumerate(top["gram"])}, scores
 
 
 def identify_language(docs: DataFrame, model: WordModel) -> DataFrame:
