@@ -1,4 +1,4 @@
-"""The ten training-data operators as registered queries with production parameters."""
+"""The training-data operators as registered queries with production parameters."""
 
 from __future__ import annotations
 
@@ -13,12 +13,15 @@ from tidebars.llm.documents import read_table
 from tidebars.llm.exact_dedup import exact_duplicates
 from tidebars.llm.language import fit_language, identify_language
 from tidebars.llm.licenses import scan_licenses
+from tidebars.llm.mixing import mix_sources, taken_words
 from tidebars.llm.phrases import remove_repeats
 from tidebars.llm.pieces import encode_pieces, piece_digests
+from tidebars.llm.prefix_trie import conversation_trie
 from tidebars.llm.quality import fit_quality, score_quality
 from tidebars.llm.secret_scan import find_secrets
 from tidebars.llm.sharding import shard_documents
 from tidebars.llm.simhash import near_duplicates
+from tidebars.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +136,41 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by its nearest labelled neighbours."""
     documents = read_table(spark, sf_dir, "documents")
     return score_quality(documents, fit_quality(documents, read_table(spark, sf_dir, "labels")))
+
+
+@query
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mixture of all sources by weights 5, 2, 1 takes of each document."""
+    return taken_words(mix_sources(read_table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened components of every embedding."""
+    return whiten(read_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of rebuilt conversations."""
+    return conversation_trie(read_table(spark, sf_dir, "conversations"))
+
+
+# crc32 bit by bit: a number of 0 and more takes in a byte, -1 shifts one bit out
+_CRC = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''),
+  lambda ch: [ord(ch)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+ORACLE["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS v, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p FROM conversations WHERE conv_id IS NOT NULL),
+ own AS (SELECT c, list(v ORDER BY p) AS vs FROM t GROUP BY c),
+ fam AS (SELECT c, vs, c - c % 5 AS b, {_CRC} % 9 AS h FROM own),
+ built AS (SELECT f.c, list_concat(coalesce(list_slice(o.vs, 1, f.h), []), coalesce(list_slice(f.vs, f.h + 1, len(f.vs)), [])) AS s FROM fam f LEFT JOIN own o ON o.c = f.b),
+ pre AS (SELECT c, len(s) AS len, d, list_slice(s, 1, d) AS k, CASE WHEN d > 0 THEN s[d].t ELSE '' END AS txt FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM built)),
+ nodes AS (SELECT k, d, min(c) AS conv_id, count(*) AS n_convs, any_value(octet_length(encode(txt))) AS b,
+   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (len = d), '')) AS ends_sha256 FROM pre GROUP BY k, d),
+ kids AS (SELECT list_slice(k, 1, d - 1) AS k, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+ full_ AS (SELECT n.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * b AS own_saved FROM nodes n LEFT JOIN kids USING (k, d)),
+ below AS (SELECT list_slice(k, 1, a) AS k, a AS d, count(*) FILTER (n_children = 0) AS n_leaves, sum(own_saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM full_) GROUP BY 1, 2)
+SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, below.n_leaves, below.saved::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_ f JOIN below ON below.k = f.k AND below.d = f.d LEFT JOIN full_ u ON f.d > 0 AND u.d = f.d - 1 AND u.k = list_slice(f.k, 1, f.d - 1)
+"""
