@@ -22,7 +22,7 @@ TEXTS = [
     (11, "x" * 200_000),
     (12, "again and again " * 400),
 ]
-CLASHING = "kept text_sha256 owner print node score held_out predicted k1 k2 w c start n size shard row_number item_id terms quality __x".split()
+CLASHING = "kept text_sha256 owner print node score held_out predicted k1 k2 w c start n size shard row_number item_id terms quality __x __row __id __sha row root text_ key least".split()
 
 
 def odd(spark, texts=TEXTS):

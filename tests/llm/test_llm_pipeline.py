@@ -2,9 +2,9 @@
 
 from collections import Counter
 
-import numpy as np
 from odd_documents import empty, odd, plain
-from test_llm_near import _contained, _fingerprint, _roots
+from test_llm_near import _contained, _roots
+from test_llm_similar import _similar
 
 import corpus_pipeline
 from tidebars.llm.documents import read_table
@@ -32,8 +32,7 @@ def test_stages(spark):
 
     docs, after = after, stage(steps["near dedup"](spark, after, SF))
     rows = sorted(plain(docs))
-    values = np.array([_fingerprint(t) for _, t in rows], np.uint64)
-    roots = _roots(len(rows), [(i, j) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(values[:i] ^ values[i]) <= corpus_pipeline.NEAR_BITS).tolist()])
+    roots = _roots(len(rows), _similar([t for _, t in rows]))
     assert after.columns == columns and sorted(plain(after)) == [rows[i] for i in sorted(set(roots))]
 
     docs, after = after, stage(steps["benchmark decontamination"](spark, after, SF))
@@ -58,3 +57,18 @@ def test_stages_take_odd_rows_and_empty_tables(spark):
         if name == "near dedup":  # empty texts are one group, equal texts another
             assert rows <= len({t for _, t in plain(docs)}) - 1
         assert step(spark, stage(empty(spark)), SF).count() == 0
+
+
+def test_the_near_stage_keeps_clashing_columns_and_row_numbers(spark):
+    texts = [(i, f"{' '.join(f'w{k}' for k in range(60))} end{i % 7}") for i in range(40)] + [(100 + i, f"other{i} text{i} of{i} few{i} words{i} only{i}") for i in range(40)]
+    docs = stage(odd(spark, texts).repartition(7))
+    before = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+    try:  # jobs of one session that pack the same files in other ways
+        for parallelism in ("2", "16"):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", parallelism)
+            kept = corpus_pipeline.near(spark, docs, None)
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", "5")
+            rows = kept.collect()
+            assert {r.doc_id for r in rows} == {0, *range(100, 140)} and {r["__row"] for r in rows} == {"clash"}
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if before is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)

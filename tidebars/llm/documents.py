@@ -34,6 +34,16 @@ def id_key(id_col: Column) -> Column:
     return F.coalesce(id_col.cast("string"), F.lit(NO_ID))
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores after it until no column is called so."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of ``docs`` named by ``decided`` (``doc_id``, ``text_sha256``), of rows named twice one.
 
@@ -41,9 +51,10 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
     repeated rows share one shuffle on (id, digest).
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.withColumns({"__id": id_key(F.col(f"`{id_col}`")), "__sha": F.sha2(text, 256)})
-    wanted = decided.select(id_key(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    return keyed.join(wanted, ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"]).select(
+    names = free_names(docs, "__id", "__sha")
+    keyed = docs.withColumns(dict(zip(names, [id_key(F.col(f"`{id_col}`")), F.sha2(text, 256)], strict=True)))
+    wanted = decided.select(id_key(F.col("doc_id")).alias(names[0]), F.col("text_sha256").alias(names[1]))
+    return keyed.join(wanted, names, "left_semi").dropDuplicates(names).select(
         *[keyed[f"`{c}`"] for c in docs.columns]
     )
 
