@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from checks import sql
 from checks.settings import CUTOFF, END, HORIZONS, START, STUDY, TRAIN_END, VALIDATION_END
 from tidebars.config import ExperimentSpec, RunRequest, StudyConfig
-from tidebars.fixtures import bars_from_events, read_events, trades_from_events
+from tidebars.fixtures import bars_from_events, read_events, tear_file, trades_from_events, write_market_files
 from tidebars.functions.ranking import benjamini_hochberg
 from tidebars.operators import catalog as quality
 from tidebars.operators import discovery as disc
@@ -22,7 +22,7 @@ from tidebars.operators.audit import look_ahead_violations, system_violations
 from tidebars.operators.reuse import requests_table, reusable_runs
 from tidebars.operators.series import Panel, bar_blocks, bar_seconds
 from tidebars.operators.signals import REGISTRY, compute_signals, macd_exits
-from tidebars.plans.studies import comparison_counts
+from tidebars.plans.studies import build_catalog, comparison_counts
 from tidebars.session import prepare, shared_dir, stage
 from tidebars.sinks import write_csv
 from tidebars.sources import market_files
@@ -208,6 +208,61 @@ def a14_a15_catalog(spark, sf):
     return out(catalog_of(spark, sf))
 
 
+MARKET = "pair || '/USDT:USDT'"
+KINDS = f"kinds AS (SELECT event_type AS pair, ['plain', 'text', 'iso', 'torn'][CAST((row_number() OVER (ORDER BY event_type) - 1) % 4 AS INTEGER) + 1] AS kind FROM (SELECT DISTINCT event_type FROM events))"
+
+
+@query(
+    "s2_a22_mixed_files",
+    f"""WITH {sql.HOURLY}, {KINDS} SELECT {MARKET} AS pair, kind, CAST(kind <> 'torn' AS BIGINT) AS readable,
+   CASE WHEN kind = 'torn' THEN 0 ELSE count(*) END AS bars, CASE WHEN kind <> 'torn' THEN {sql.day('min(date)')} END AS first, CASE WHEN kind <> 'torn' THEN {sql.day('max(date)')} END AS last,
+   CASE WHEN kind <> 'torn' THEN round(sum(open + 2 * high + 3 * low + 4 * close), 4) END AS prices, CASE WHEN kind <> 'torn' THEN sum(volume) END AS volume
+ FROM b JOIN kinds USING (pair) WHERE date >= TIMESTAMP '2024-01-03' AND date < TIMESTAMP '2024-01-29' GROUP BY pair, kind""",
+)
+def s2_a22_mixed_files(spark, sf):
+    """Parquet files of several column types and a torn one, read whole or not at all, cut to a range."""
+    bars = stage(hourly(spark, sf))
+    pairs = sorted(r.pair for r in bars.select("pair").distinct().collect())  # five event types
+    kinds = {p: ("plain", "text", "iso", "torn")[i % 4] for i, p in enumerate(pairs)}
+    folder = f"{shared_dir(spark)}/market-{uuid4().hex}"
+    text = {c: F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")}
+    iso = {"date": F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss'+00:00'")}
+    for kind, changed in (("plain", {}), ("torn", {}), ("text", text), ("iso", iso)):
+        own = bars.filter(F.col("pair").isin([p for p, k in kinds.items() if k == kind]))
+        write_market_files(own.withColumns(changed) if changed else own, folder, "1h")
+    for pair in (p for p, k in kinds.items() if k == "torn"):
+        tear_file(spark, f"{folder}/{pair}_USDT_USDT-1h-futures.parquet")
+    files = stage(market_files.discover(spark, folder, "1h"))
+    read, problems = market_files.load_files(spark, files, "2024-01-03", "2024-01-29")
+    found = read.groupBy("pair").agg(
+        F.count(F.lit(1)).alias("bars"), F.min("date").alias("first"), F.max("date").alias("last"),
+        F.round(F.sum(F.expr("open + 2 * high + 3 * low + 4 * close")), 4).alias("prices"), F.sum("volume").alias("volume"),
+    )
+    named = spark.createDataFrame([(f"{p}/USDT:USDT", k) for p, k in kinds.items()], "pair string, kind string")
+    rows = files.join(named, "pair").join(problems.select("pair", "problem"), "pair", "left").join(found, "pair", "left")
+    return out(rows.select("pair", "kind", F.col("problem").isNull().alias("readable"), F.coalesce("bars", F.lit(0)).alias("bars"), "first", "last", "prices", "volume"))
+
+
+@query(
+    "a15_catalog_from_files",
+    f"""WITH {CATALOG} SELECT {MARKET} AS pair, timeframe, pair || '_USDT_USDT-' || timeframe || '-futures.parquet' AS file, extension, candles, expected_candles, {sql.rounded('coverage_ratio')},
+   first_candle, last_candle, gap_count, missing_candles_inside, invalid_ohlc_rows, CAST(ready AS BIGINT) AS research_ready, status, 1 AS hashed FROM catalog WHERE timeframe IN ('1h', '4h')
+ UNION ALL SELECT 'torn/USDT:USDT', '4h', 'torn_USDT_USDT-4h-futures.parquet', 'parquet', 0, 174, 0.0, NULL, NULL, 0, 174, 0, 0, 'empty', 1""",
+)
+def a15_catalog_from_files(spark, sf):
+    """Catalog of a folder whose files of other timeframes are damaged; one wanted file is torn."""
+    folder = f"{shared_dir(spark)}/market-{uuid4().hex}"
+    four = bars_from_events(spark, sf, timeframe="4h")
+    write_market_files(damaged(spark, sf), folder, "1h")
+    write_market_files(four, folder, "4h")
+    one = four.filter("pair = 'click'").withColumn("pair", F.lit("torn"))
+    for timeframe in ("4h", "1d"):
+        write_market_files(one, folder, timeframe)
+        tear_file(spark, f"{folder}/torn_USDT_USDT-{timeframe}-futures.parquet")
+    found = build_catalog(spark, folder, "2024-01-02", "2024-01-31", timeframes=("1h", "4h"), minimum_coverage=0.9, minimum_candles=170)
+    return out(found.withColumn("hashed", F.length("source_sha256") == 64).drop("size_bytes", "source_sha256"))
+
+
 @query(
     "a16_catalog_summary",
     f"""WITH {CATALOG} SELECT status, count(*) AS status_files, (SELECT count(*) FROM catalog) AS files,

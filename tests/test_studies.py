@@ -129,6 +129,39 @@ def test_torn_and_mixed_files(spark, tmp_path):
     assert [r.pair for r in errors] == ["BBB/USDT:USDT"] and "timerange" not in errors[0].error
 
 
+def test_parquet_is_planned_by_footers(spark, tmp_path):
+    pdf = walk("AAA", 4000, 3, gaps=0)
+    plain = pdf[["date", "open", "high", "low", "close", "volume"]].assign(date=lambda d: d["date"].astype("datetime64[ns, UTC]"))
+    plain.to_parquet(tmp_path / "AAA_USDT_USDT-1m-futures.parquet", row_group_size=500)
+    plain.assign(volume=plain["volume"].astype(str)).to_parquet(tmp_path / "BBB_USDT_USDT-1m-futures.parquet")
+    plain.assign(date=plain["date"].astype("datetime64[ms, UTC]")).to_parquet(tmp_path / "CCC_USDT_USDT-1m-futures.parquet")
+    plain.drop(columns="volume").to_parquet(tmp_path / "DDD_USDT_USDT-1m-futures.parquet")
+    plain.assign(date=plain["date"].astype(str)).to_parquet(tmp_path / "EEE_USDT_USDT-1m-futures.parquet")
+    plain.head(0).to_parquet(tmp_path / "FFF_USDT_USDT-1m-futures.parquet")
+    (tmp_path / "GGG_USDT_USDT-1m-futures.parquet").write_bytes(b"PAR1 no footer PAR1")
+    for name in ("AAA_USDT_USDT-5m-futures.parquet", "AAA_USDT_USDT-5m-futures.feather", "AAA_USDT_USDT-5m-futures.json"):
+        (tmp_path / name).write_bytes(b"damaged and never opened")
+    before = spark.conf.get("spark.sql.legacy.parquet.nanosAsLong", None)
+    files = market_files.discover(spark, str(tmp_path), "1m")
+    groups, odd = market_files.group_by_footer(spark, sorted(r.path for r in files.collect()))
+    short = lambda paths: [p.rsplit("/", 1)[-1][:3] for p in paths]
+    assert sorted(short(paths) for _, paths in groups) == [["AAA"], ["BBB"], ["CCC"]] and short(odd) == ["DDD", "EEE", "FFF", "GGG"]
+    bars, problems = market_files.load_files(spark, files, START, pd.Timestamp(START, tz="UTC") + pd.Timedelta(minutes=90))
+    assert {(r.pair[:3], r["count"]) for r in bars.groupBy("pair").count().collect()} == {(p, 90) for p in ("AAA", "BBB", "CCC", "EEE")}
+    first = {r.pair[:3]: r.d for r in bars.groupBy("pair").agg(F.min("date").alias("d")).collect()}
+    assert set(first.values()) == {pd.Timestamp(START)}  # nanoseconds, milliseconds and text alike
+    assert {r.pair[:3] for r in problems.collect()} == {"DDD", "GGG"}
+    assert spark.conf.get("spark.sql.legacy.parquet.nanosAsLong", None) == before
+    keep = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20k")  # row groups of one file go to several tasks
+    try:
+        schema, paths = next(g for g in groups if short(g[1]) == ["AAA"])
+        tasks = market_files._scan(spark, schema, paths, None, None).groupBy(F.spark_partition_id()).count().collect()
+        assert len(tasks) > 1 and sum(r["count"] for r in tasks) == 4000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
+
+
 def test_study_from_files(spark, data_dir, tmp_path):
     catalog_dir, out = str(tmp_path / "catalog"), str(tmp_path / "run")
     summary = studies.write_catalog(spark, data_dir, catalog_dir, START, END, timeframes=("1m", "5m"))

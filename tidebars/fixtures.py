@@ -6,6 +6,8 @@ bar per (pair, time bucket), one trade per event.
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,3 +62,36 @@ def trades_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("event_id") % 7 - 3) / 100).alias("funding_fees"),
         F.col("event_id").alias("trade_no"),
     )
+
+
+def write_market_files(bars: DataFrame, folder: str, timeframe: str, *, row_group_bytes: int = 64 << 10) -> None:
+    """One Parquet file a pair, written by Spark and given its market name; pairs are few."""
+    spark = bars.sparkSession
+    written = f"{folder}/written-{timeframe}-{uuid4().hex}"
+    columns = ["pair", *[c for c in bars.columns if c not in ("pair", "timeframe")]]
+    bars.select(columns).repartition("pair").sortWithinPartitions("pair", "date").write.option(
+        "parquet.block.size", row_group_bytes
+    ).partitionBy("pair").parquet(written)
+    for row in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(written).select("path").collect():
+        pair = row.path.rsplit("/", 2)[1].removeprefix("pair=")
+        target = _path(spark, f"{folder}/{pair}_USDT_USDT-{timeframe}-futures.parquet")
+        if not _file_system(spark, folder).rename(_path(spark, row.path), target):
+            raise OSError(f"cannot name {target}")
+
+
+def tear_file(spark: SparkSession, path: str) -> None:
+    """Take bytes out of the first pages; the footer stays whole."""
+    content = spark.read.format("binaryFile").load(path).first().content
+    stream = _file_system(spark, path).create(_path(spark, path), True)
+    try:
+        stream.write(bytearray(content[:40] + content[140:]))
+    finally:
+        stream.close()
+
+
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -54,15 +54,15 @@ def build_catalog(
     minimum_candles: int = 1_000,
     include_source_sha256: bool = True,
 ) -> DataFrame:
-    """Audit all market files of a folder in one job."""
+    """Audit the market files of the wanted timeframes; files of others are not opened, and a
+    file that cannot be read whole counts as one without bars."""
     prepare(spark)
-    wanted = F.col("timeframe").isin(*timeframes)
-    files = market_files.discover(spark, data_dir).filter(wanted)
+    files = stage(market_files.discover(spark, data_dir).filter(F.col("timeframe").isin(*timeframes)))
+    bars, _ = market_files.load_files(spark, files, start, end)
     if include_source_sha256:
-        files = market_files.with_file_hash(spark, files, data_dir)
+        files = market_files.with_file_hash(spark, files)
     else:
         files = files.withColumn("source_sha256", F.lit(None).cast("string"))
-    bars = market_files.load_bars(spark, data_dir).filter(wanted)
     return quality.assess_files(
         files, bars, start, end, minimum_coverage=minimum_coverage, minimum_candles=minimum_candles
     )
@@ -164,9 +164,8 @@ def run_event_study(
     sinks.prepare_fresh_dir(spark, output_dir)
 
     # one damaged file must not stop the study of the others: it ends up in ``errors``
-    bars, problems = market_files.load_whole_files(spark, data_dir, timeframe)
-    bars = market_files.in_range(bars, first, last)
-    bars = stage(bars.join(files.select("pair", "file"), ["pair", "file"], "left_semi"))
+    bars, problems = market_files.load_files(spark, files, first, last)
+    bars = stage(bars)
     coverage = stage(quality.pair_coverage(bars).join(files.select("pair", "file", "size_bytes"), ["pair", "file"]))
     errors = quality.unusable_files(files, coverage, problems)
     summary = stage(

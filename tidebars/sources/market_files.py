@@ -9,12 +9,16 @@ from __future__ import annotations
 import io
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidebars.config import as_utc
 from tidebars.session import prepare, stage
@@ -57,28 +61,34 @@ def _require_folder(spark: SparkSession, folder: str) -> None:
         raise FileNotFoundError(f"Data directory does not exist: {folder}")
 
 
-def _binary(spark: SparkSession, folder: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.format("binaryFile").load(paths).select("path", "content")
 
 
 def discover(spark: SparkSession, folder: str, timeframe: str | None = None) -> DataFrame:
     """Market files of a folder (not of its subfolders), by pair; contents are not read."""
     _require_folder(spark, folder)
-    listed = _binary(spark, folder, f"*-{timeframe or '*'}-futures.*")
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*-{timeframe or '*'}-futures.*").load(folder)
     found = with_file_identity(listed.select("path", F.col("length").alias("size_bytes"), "modificationTime"))
     if timeframe:
         found = found.filter(F.col("timeframe") == timeframe)
     return found.select(*FILE_KEYS, "extension", "size_bytes", "path").orderBy("pair", "timeframe", "file")
 
 
-def with_file_hash(spark: SparkSession, files: DataFrame, folder: str) -> DataFrame:
-    """Add ``source_sha256``, the digest of each file's bytes."""
-    hashed = _binary(spark, folder, "*-futures.*").select(
-        "path", F.sha2(F.col("content"), 256).alias("source_sha256")
-    )
+def with_file_hash(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Add ``source_sha256``, the digest of each file's bytes; no other file is opened."""
+    paths = _paths(files)
+    if not paths:
+        return files.withColumn("source_sha256", F.lit(None).cast("string"))
+    hashed = _contents(spark, paths).select("path", F.sha2(F.col("content"), 256).alias("source_sha256"))
     return files.join(hashed, "path", "left")
 
 
+def _paths(files: DataFrame) -> list[str]:
+    """The file table's paths: one short row a file, as any explicit list of files needs."""
+    return sorted(row.path for row in files.select("path").toLocalIterator())
+
+
 def _require_columns(names, where: str) -> None:
     missing = sorted(set(COLUMNS) - {name.lower() for name in names})
     if missing:
@@ -93,24 +103,102 @@ def _epoch_or_text(value: Column) -> Column:
     )
 
 
-def _read_parquet(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
-    if skip:  # Spark would keep the whole row groups of a torn file, and one schema for all
-        return _read_each(spark, folder, f"{glob}.parquet", _decode_parquet, skip)
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")  # how pandas writes dates
-    df = spark.read.option("pathGlobFilter", f"{glob}.parquet").parquet(folder)
-    _require_columns(df.columns, "parquet market data")
-    date = F.col("date")
-    if df.select("date").schema[0].dataType.typeName() == "long":
-        date = F.timestamp_micros(F.expr("date div 1000"))
+# -- Parquet by footers -----------------------------------------------------------------
+
+
+@contextmanager
+def _nanos_as_long(spark: SparkSession) -> Iterator[None]:
+    """How pandas writes dates; needed while one file's schema is looked up."""
+    name = "spark.sql.legacy.parquet.nanosAsLong"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def _bar_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """Types of the bar columns of one file if Spark can read them as bars, from its footer."""
+    try:
+        with _nanos_as_long(spark):
+            found = {f.name.lower(): f.dataType for f in spark.read.parquet(path).schema}
+    except Exception as damage:  # not a Parquet file, or types Spark does not know
+        if isinstance(damage, (AnalysisException, Py4JJavaError, PySparkException)):
+            return None
+        raise
+    numbers = (T.NumericType, T.StringType)
+    if not all(isinstance(found.get(c), numbers) for c in COLUMNS[1:]):
+        return None
+    if not isinstance(found.get("date"), (T.TimestampType, T.TimestampNTZType, T.LongType)):
+        return None
+    return T.StructType([T.StructField(c, found[c]) for c in COLUMNS])
+
+
+def _with_moments(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f.name, T.TimestampType() if f.name == "date" else f.dataType) for f in schema])
+
+
+def group_by_footer(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[T.StructType, list[str]]], list[str]]:
+    """Parquet files by the types of their bar columns, and those that need a closer look.
+
+    Row counts come from the footers alone, in one job over all files. Files are then
+    decoded with the types of the first one not yet settled; those that give all the
+    rows of their footer are good and can be scanned split by row groups, pruned and
+    filtered. There is one such job for each distinct set of types. Files that no set of
+    types reads whole are torn, hold no rows or lack a column.
+    """
+    tolerant = spark.read.option("ignoreCorruptFiles", "true")
+    name = F.col("_metadata.file_name").alias("name")
+    if not paths:
+        return [], []
+    footers = tolerant.schema("no_such_column string").parquet(*paths).groupBy(name).count()
+    rows = {r.name: r["count"] for r in footers.toLocalIterator()}
+    short = lambda path: path.rsplit("/", 1)[-1]
+    waiting, odd = [p for p in paths if short(p) in rows], [p for p in paths if short(p) not in rows]
+    groups: list[tuple[T.StructType, list[str]]] = []
+    tried: set[str] = set()
+    while waiting:
+        schema = _bar_schema(spark, waiting[0])
+        if schema is None or schema.json() in tried:
+            odd.append(waiting.pop(0))
+            continue
+        tried.add(schema.json())
+        # Spark reads any 64-bit moment as a long, but only true ones as a moment: those first
+        for own in (_with_moments(schema), schema) if isinstance(schema["date"].dataType, T.LongType) else (schema,):
+            if not waiting:
+                break
+            counts = [F.count(c).alias(f"n_{c}") for c in COLUMNS]  # every column must be decoded to be counted
+            decoded = tolerant.schema(own).parquet(*waiting).groupBy(name).agg(F.count(F.lit(1)).alias("n"), *counts)
+            whole = {r.name for r in decoded.toLocalIterator() if r.n == rows[r.name] and all(r[f"n_{c}"] for c in COLUMNS)}
+            if good := [p for p in waiting if short(p) in whole]:
+                groups.append((own, good))
+            waiting = [p for p in waiting if short(p) not in whole]
+    return groups, sorted(odd)
+
+
+def _scan(spark: SparkSession, schema: T.StructType, paths: list[str], start, end) -> DataFrame:
+    """Bars of files of one schema; the range is cut on the stored column, so that row groups
+    outside it are not read."""
+    df, stored = spark.read.schema(schema).parquet(*paths), F.col("date")
+    nanos = isinstance(schema["date"].dataType, T.LongType)
+    for limit, keep in ((start, Column.__ge__), (end, Column.__lt__)):
+        if limit is not None:
+            moment = as_utc(limit)
+            df = df.filter(keep(stored, F.lit(int(moment.timestamp()) * 10**9 + moment.microsecond * 1000) if nanos else F.lit(moment)))
+    date = F.timestamp_micros(F.expr("date div 1000")) if nanos else stored.cast("timestamp")
     return df.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.row_index").alias("row_index"),
-        date.cast("timestamp").alias("date"),
+        date.alias("date"),
         *[F.col(c).try_cast("double").alias(c) for c in COLUMNS[1:]],
         F.lit(None).cast("string").alias("problem"),
     )
 
 
+# -- files that one task decodes ----------------------------------------------------------
+
+
 def _bar_columns(table: pa.Table, path: str, start: int = 0) -> pd.DataFrame:
     table = table.rename_columns([name.lower() for name in table.column_names])
     _require_columns(table.column_names, path.rsplit("/", 1)[-1])
@@ -146,7 +234,7 @@ def _decode_parquet(path: str, content: bytes) -> Iterator[pd.DataFrame]:
         start += len(table)
 
 
-def _read_each(spark: SparkSession, folder: str, glob: str, decoder: Callable, skip: bool) -> DataFrame:
+def _read_each(spark: SparkSession, paths: list[str], decoder: Callable, skip: bool) -> DataFrame:
     """One task decodes one file and passes it on in batches; a file is read whole or not at all."""
     rows_per_batch = 65_536
 
@@ -169,20 +257,12 @@ def _read_each(spark: SparkSession, folder: str, glob: str, decoder: Callable, s
         + [(c, pa.float64()) for c in COLUMNS[1:]]
         + [("problem", pa.string())]
     )
-    return _binary(spark, folder, glob).select("path", "content").mapInArrow(decode, _RAW)
-
+    return _contents(spark, paths).mapInArrow(decode, _RAW)
 
-def _read_feather(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
-    return _read_each(spark, folder, f"{glob}.feather", _decode_feather, skip)
 
-
-def _read_json(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataFrame:
+def _read_json(spark: SparkSession, paths: list[str], skip: bool) -> DataFrame:
     """Files holding one array of ``[date, o, h, l, c, v]`` rows or of records; gzip by name."""
-    text = (
-        spark.read.option("pathGlobFilter", f"{glob}.{{json,json.gz}}")
-        .text(folder, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("path"), "value")
-    )
+    text = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     records = F.col("value").rlike(r"^\s*\[\s*\{")
     listed = F.when(~records, F.from_json("value", "array<array<string>>"))
     named = F.when(records, F.from_json("value", "array<map<string,string>>"))
@@ -205,9 +285,6 @@ def _read_json(spark: SparkSession, folder: str, glob: str, skip: bool) -> DataF
     )
 
 
-_READERS = {"parquet": _read_parquet, "feather": _read_feather, "json": _read_json, "json.gz": _read_json}
-
-
 def clean_bars(raw: DataFrame, keys=FILE_KEYS) -> DataFrame:
     """Drop incomplete rows and keep the last row of every bar."""
     not_a_number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
@@ -217,35 +294,52 @@ def clean_bars(raw: DataFrame, keys=FILE_KEYS) -> DataFrame:
     return whole.groupBy(*keys, "date").agg(*last)
 
 
-def _raw_bars(spark: SparkSession, folder: str, timeframe: str | None, skip: bool) -> DataFrame:
+def _raw_bars(spark: SparkSession, files: DataFrame, skip: bool, start=None, end=None) -> tuple[DataFrame, DataFrame]:
+    """Raw rows of the listed files, and of these the ones that were decoded file by file.
+
+    No other file is opened. Parquet files that Spark reads whole are scanned by schema;
+    what is decoded in one task a file (Feather, JSON, odd Parquet) is written once.
+    """
     prepare(spark)
-    _require_folder(spark, folder)
-    found = discover(spark, folder, timeframe)
-    present = {row.extension for row in found.select("extension").distinct().collect()}  # at most four
-    readers = {_READERS[extension] for extension in present}
-    glob = f"*-{timeframe or '*'}-futures"
-    if not readers:
-        raw = spark.createDataFrame([], _RAW)
-    else:
-        raw = reduce(DataFrame.unionByName, [read(spark, folder, glob, skip) for read in readers])
-    return with_file_identity(raw)
+    by_kind: dict[str, list[str]] = {}
+    for row in files.select("path", "extension").toLocalIterator():
+        by_kind.setdefault(row.extension, []).append(row.path)
+    groups, odd = group_by_footer(spark, sorted(by_kind.get("parquet", [])))
+    json_files = sorted(by_kind.get("json", []) + by_kind.get("json.gz", []))
+    decoded = [spark.createDataFrame([], _RAW)]
+    if odd:
+        decoded.append(_read_each(spark, odd, _decode_parquet, skip))
+    if feather := sorted(by_kind.get("feather", [])):
+        decoded.append(_read_each(spark, feather, _decode_feather, skip))
+    if json_files:
+        decoded.append(_read_json(spark, json_files, skip))
+    one_by_one = with_file_identity(reduce(DataFrame.unionByName, decoded))
+    if skip:
+        one_by_one = stage(one_by_one)
+    scanned = [with_file_identity(_scan(spark, schema, paths, start, end)) for schema, paths in groups]
+    return reduce(DataFrame.unionByName, [one_by_one, *scanned]), one_by_one
 
 
 def load_bars(
     spark: SparkSession, folder: str, timeframe: str | None = None, *, skip_unreadable: bool = False
 ) -> DataFrame:
-    """Bars of all market files of a folder, in any mix of formats.
+    """Bars of all market files of a folder, in any mix of formats and column types.
 
     With ``skip_unreadable`` a file that cannot be read whole has no bars instead of
     failing the job.
     """
-    return clean_bars(_raw_bars(spark, folder, timeframe, skip_unreadable))
+    prepare(spark)
+    return clean_bars(_raw_bars(spark, discover(spark, folder, timeframe), skip_unreadable)[0])
 
 
-def load_whole_files(spark: SparkSession, folder: str, timeframe: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Bars of the files that can be read whole, and ``pair, file, problem`` of the others."""
-    raw = stage(_raw_bars(spark, folder, timeframe, skip=True))
-    return clean_bars(raw), raw.filter(F.col("problem").isNotNull()).select("pair", "file", "problem")
+def load_files(spark: SparkSession, files: DataFrame, start=None, end=None) -> tuple[DataFrame, DataFrame]:
+    """Bars of those of the listed files (as of ``discover``) that can be read whole, cut to
+    [start, end), and ``pair, timeframe, file, problem`` of the others."""
+    raw, one_by_one = _raw_bars(spark, files, True, start, end)
+    bars = clean_bars(raw.filter(F.col("problem").isNull()))
+    if start is not None and end is not None:
+        bars = in_range(bars, start, end)
+    return bars, one_by_one.filter(F.col("problem").isNotNull()).select(*FILE_KEYS, "problem")
 
 
 def in_range(bars: DataFrame, start, end) -> DataFrame:
