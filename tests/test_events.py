@@ -7,11 +7,12 @@ from bars import frame, to_spark
 from pyspark.sql import functions as F
 
 from tidebars.config import StudyConfig, split_boundaries
-from tidebars.functions.ranking import benjamini_hochberg, exact_median
+from tidebars.functions.ranking import benjamini_hochberg, counted_values, exact_median, middle_buckets, value_bucket
 from tidebars.functions.student_t import upper_tail
 from tidebars.operators import discovery as disc
 from tidebars.operators import events as ev
 from tidebars.operators.series import Panel, bar_blocks
+from tidebars.session import stage
 
 FAR = "2027-01-01", "2027-02-01"
 
@@ -146,6 +147,22 @@ def test_exact_median(spark):
     assert result == {"hot": pytest.approx(float(np.median(values)), abs=1e-300), "a": 1.5, "b": -3.0, "c": 5.0}
 
 
+@pytest.mark.parametrize("small", [0, 1000])
+def test_median_counts_before_it_shuffles(spark, small):
+    """90 % equal values: whether the wanted buckets are broadcast or not, they reach a task as one row a task."""
+    rng = np.random.default_rng(2)
+    values = np.where(rng.random(20_000) < 0.9, 1.25, rng.normal(1.25, 0.5, 20_000))
+    df = spark.createDataFrame(pd.DataFrame({"k": rng.choice(["hot", "hot", "b"], 20_000), "v": values})).repartition(8)
+    rows = df.withColumn("_bucket", value_bucket(F.col("v")))
+    middle = middle_buckets(rows.groupBy("k", "_bucket").agg(F.count(F.lit(1)).alias("_n")), ["k"])
+    counted = counted_values(rows, ["k"], "v", stage(middle.select("k", "_bucket")), small)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert (plan.index("HashAggregate") < plan.index("Join")) == bool(small)  # from the top: values are counted before they are joined, or cut down where they are read
+    assert counted.filter("v = 1.25").count() == 2 and counted.agg(F.sum("_n")).first()[0] >= 17_000
+    expected = df.toPandas().groupby("k").v.median().to_dict()
+    assert {r.k: r.m for r in exact_median(df, ["k"], "v", "m", small).collect()} == expected
+
+
 def test_rows_without_p_value_are_not_joined(spark):
     """90 % of the rows have no p-value: none of them may pass the join's exchange."""
     df = spark.range(2_000).selectExpr("id", "IF(id % 10 = 0, (id + 1) / 4000D, NULL) AS p")

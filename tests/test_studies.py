@@ -333,7 +333,7 @@ def test_drawdown_in_blocks(spark):
                                      "is_short boolean, close_date timestamp, trade_no bigint")
     adjusted = tm.adjusted_trades(df, 0.0)
     for size in (7, 10_000):
-        found = {r.pair: r.max_drawdown_compounded for r in tm.max_drawdown(adjusted, ["pair"], block_rows=size).collect()}
+        found = {r.pair: r.max_drawdown_compounded for r in tm.max_drawdown(adjusted, ["pair"], block_rows=size)[0].collect()}
         for pair, values in returns.items():
             equity = pd.Series(1 + values).cumprod()
             assert found[pair] == pytest.approx((equity / equity.cummax() - 1).min(), abs=1e-12), pair
@@ -345,7 +345,7 @@ def test_drawdown_of_a_run_too_long_for_a_product(spark):
         "'s' AS strategy", "'1m' AS timeframe", "'A' AS pair", "IF(id < 20000, 0.05D, -0.5D) AS profit_ratio",
         "CAST(NULL AS BOOLEAN) AS is_short", "timestamp_seconds(1767225600 + id * 60) AS close_date", "id AS trade_no")
     for size in (1_000, 65_536):
-        found = tm.max_drawdown(tm.adjusted_trades(df, 0.0), ["pair"], block_rows=size).first()
+        found = tm.max_drawdown(tm.adjusted_trades(df, 0.0), ["pair"], block_rows=size)[0].first()
         assert found.max_drawdown_compounded == pytest.approx(-0.5, abs=1e-9)
 
 
@@ -400,3 +400,67 @@ def test_fresh_folder(spark, tmp_path):
         sinks.prepare_fresh_dir(spark, str(tmp_path / "new"))
     with pytest.raises(FileExistsError, match="in use"):
         sinks.prepare_fresh_dir(spark, str(tmp_path / "new" / "old.csv"))
+
+
+def test_drawdown_of_undated_trades_is_spread_and_joined(spark):
+    """100 000 trades without close date; the level over all pairs joins the pairs' summaries."""
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"strategy": "s", "timeframe": "1m", "pair": rng.choice(["hot"] * 8 + ["B", "A"], 100_000), "profit_ratio": rng.normal(0, 0.002, 100_000), "trade_no": range(100_000)})
+    pdf.loc[pdf.index % 5000 == 7, "pair"] = None
+    trades = tm.adjusted_trades(spark.createDataFrame(pdf.astype({"pair": object}).where(pdf.notna(), None), "strategy string, timeframe string, pair string, profit_ratio double, trade_no long"), 0.0)
+    summaries = tm.drawdown_summaries(trades, ["strategy", "pair"])
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"  # else Spark joins ranges as small as these
+    spark.conf.set(coalesce, "false")
+    try:
+        assert summaries.filter("pair = 'hot'").count() >= 4  # of eight shuffle partitions
+    finally:
+        spark.conf.unset(coalesce)
+    fine, coarse = tm.max_drawdown(trades, ["strategy", "pair"], ["strategy"])
+
+    def deepest(r):
+        equity = np.cumprod(1 + r)
+        return (equity / np.maximum.accumulate(equity) - 1).min()
+
+    want = {p: deepest(g.profit_ratio.to_numpy()) for p, g in pdf.assign(pair=pdf.pair.fillna("none")).groupby("pair")}
+    assert {r.pair or "none": pytest.approx(r.max_drawdown_compounded, abs=1e-9) for r in fine.collect()} == want
+    order = pdf.assign(pair=pdf.pair.fillna("\U0010ffff")).sort_values(["pair", "trade_no"], kind="stable")
+    assert coarse.first().max_drawdown_compounded == pytest.approx(deepest(order.profit_ratio.to_numpy()), abs=1e-9)
+
+
+def test_summaries_of_ruined_runs_join(spark):
+    rows = [("s", "1m", p, r, i) for p, rs in {"A": [0.5, -0.2], "B": [-1.0, 0.5], "C": [0.1, -1.5, 0.2], "D": [-1.0]}.items() for i, r in enumerate(rs)]
+    trades = tm.adjusted_trades(spark.createDataFrame(rows, "strategy string, timeframe string, pair string, profit_ratio double, trade_no long"), 0.0)
+    fine, coarse = tm.max_drawdown(trades, ["strategy", "pair"], ["strategy"])
+    found = {r.pair: r.max_drawdown_compounded for r in fine.collect()}
+    assert found["A"] == pytest.approx(-0.2) and found["B"] is None and found["D"] is None
+    assert found["C"] == pytest.approx(-1.6)
+    assert coarse.first().max_drawdown_compounded == pytest.approx(-1.0)
+
+
+def test_metrics_of_levels_add_up(spark):
+    """Every level against the plain statistics of its own trades."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    n = 3000
+    pdf = pd.DataFrame({"strategy": rng.choice(["a", "b"], n), "timeframe": "1h", "pair": rng.choice(["X", "Y", "Z"], n), "profit_ratio": rng.choice([0.01, -0.01, 0.0, 0.003], n) + (rng.random(n) < 0.3) * rng.normal(0, 0.01, n),
+                        "is_short": rng.random(n) < 0.4, "funding_fees": rng.normal(0, 1, n), "trade_no": range(n)})
+    trades = spark.createDataFrame(pdf)
+    lattice = tm.TradeLattice(trades, 0.0)
+    for keys, found in ((["strategy", "pair"], lattice.pairs()), (["strategy"], lattice.overall())):
+        rows = {tuple(r[k] for k in keys): r for r in found.collect()}
+        for key, g in pdf.groupby(keys):
+            r, own = g.profit_ratio, rows[key]
+            assert (own.trades, own.wins, own.draws, own.losses) == (len(g), (r > 0).sum(), (r == 0).sum(), (r < 0).sum())
+            assert own.median_return == pytest.approx(r.median(), abs=1e-15) and own.expectancy == pytest.approx(r.mean())
+            assert own.profit_factor == pytest.approx(r[r > 0].sum() / -r[r < 0].sum()) and own.short_trades == g.is_short.sum()
+            assert own.funding_fees_sum == pytest.approx(g.funding_fees.sum())
+    directions = {(r.strategy, r.pair, r.direction): r for r in lattice.directions().collect()}
+    assert len(directions) == 2 * 4 * 2
+    every = pdf[(pdf.strategy == "a") & pdf.is_short].sort_values(["pair", "trade_no"])
+    equity = np.cumprod(1 + every.profit_ratio.to_numpy())
+    own = directions["a", "__ALL__", "short"]
+    assert own.trades == len(every) and own.median_return == pytest.approx(every.profit_ratio.median(), abs=1e-15)
+    assert own.max_drawdown_compounded == pytest.approx((equity / np.maximum.accumulate(equity) - 1).min())

@@ -13,7 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidebars.session import stage
+
 STEPS_PER_OCTAVE = 4_096
+SMALL_TARGETS = 100_000  # wanted buckets that are broadcast, a few MB
 _SMALLEST_EXPONENT = 1_100  # below the exponent of any double
 
 
@@ -27,42 +30,55 @@ def value_bucket(value: Column, steps: int = STEPS_PER_OCTAVE) -> Column:
     return F.when(value == 0, F.lit(0)).otherwise(F.signum(value) * ordinal).cast("long")
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Median of ``value`` per group, exact for groups of any size.
-
-    Missing values are ignored.
-    """
-    keys = list(keys)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).withColumn("_bucket", value_bucket(F.col(value)))
+def middle_buckets(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``_bucket, _low, _high, _before`` per group: the one or two buckets that hold its middle
+    rows, the 1-based ranks of these, and how many rows lie in lower buckets. ``counts``
+    has the rows ``_n`` of every ``_bucket``."""
     whole = Window.partitionBy(*keys)
     upto = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    middle = (
-        rows.groupBy(*keys, "_bucket")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(whole)})
-        # 1-based ranks of the one or two middle rows
-        .withColumns(
-            {"_low": F.floor((F.col("_total") + 1) / 2), "_high": F.floor((F.col("_total") + 2) / 2)}
-        )
-        .filter("_upto >= _low and _upto - _n < _high")
-        .select(*keys, "_bucket", "_low", "_high", (F.col("_upto") - F.col("_n")).alias("_before"))
+    placed = counts.withColumns({"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(whole)}).withColumns(
+        {"_low": F.floor((F.col("_total") + 1) / 2), "_high": F.floor((F.col("_total") + 2) / 2)}
+    )
+    return placed.filter("_upto >= _low and _upto - _n < _high").select(
+        *keys, "_bucket", "_low", "_high", (F.col("_upto") - F.col("_n")).alias("_before")
     )
+
+
+def counted_values(rows: DataFrame, keys: Sequence[str], value: str, wanted: DataFrame, small: int = SMALL_TARGETS) -> DataFrame:
+    """``_n`` rows of each ``value`` of the buckets that ``wanted`` (read from a small written table) names per group.
+
+    Single rows are never shuffled. Up to ``small`` wanted buckets are broadcast and
+    cut the rows down where they are read; beyond it equal values are counted first.
+    Either way one aggregation with map-side combining carries the rest.
+    """
+    on, by = wanted.columns, [*keys, "_bucket", value]
+    if wanted.count() <= small:
+        return rows.join(F.broadcast(wanted), on).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).join(wanted, on)
+
+
+def median_of(counted: DataFrame, middle: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Median per group from the counted values of its middle buckets."""
     inside = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        rows.join(middle, [*keys, "_bucket"])
-        .groupBy(*keys, "_bucket", value, "_low", "_high", "_before")
-        .agg(F.count(F.lit(1)).alias("_n"))
+    ranked = (
+        counted.join(middle, [*keys, "_bucket"])
         .withColumn("_last", F.col("_before") + F.sum("_n").over(inside))
         .withColumn("_first", F.col("_last") - F.col("_n") + 1)
-        .groupBy(*keys)
-        .agg(
-            (
-                F.max(F.when(F.col("_low").between(F.col("_first"), F.col("_last")), F.col(value)))
-                + F.max(F.when(F.col("_high").between(F.col("_first"), F.col("_last")), F.col(value)))
-            ).alias("_sum")
-        )
-        .select(*keys, (F.col("_sum") / 2).alias(name))
     )
+    at = lambda rank: F.max(F.when(F.col(rank).between(F.col("_first"), F.col("_last")), F.col(value)))
+    return ranked.groupBy(*keys).agg((at("_low") + at("_high")).alias("_sum")).select(*keys, (F.col("_sum") / 2).alias(name))
+
+
+def exact_median(df: DataFrame, keys: Sequence[str], value: str, name: str, small: int = SMALL_TARGETS) -> DataFrame:
+    """Median of ``value`` per group, exact for groups of any size.
+
+    Buckets are counted first; then only values of the buckets that hold a group's
+    middle are counted. Missing values are ignored.
+    """
+    keys = list(keys)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).withColumn("_bucket", value_bucket(F.col(value)))
+    middle = stage(middle_buckets(rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n")), keys))
+    return median_of(counted_values(rows, keys, value, middle.select(*keys, "_bucket"), small), middle, keys, value, name)
 
 
 def benjamini_hochberg(df: DataFrame, p_value: str, name: str, family: Sequence[str] = ()) -> DataFrame:
