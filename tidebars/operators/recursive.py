@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidebars.functions.scans import affine_scan, clamp_scan, last_nonzero
 from tidebars.operators.runs import ddl, doubles, map_runs
 from tidebars.operators.series import Panel
 
@@ -150,22 +151,18 @@ class Vidya:
         return {name: np.nan_to_num(v) if name.endswith("_weight") else v for name, v in rows.items()}
 
     @staticmethod
-    def _walk(x: np.ndarray, w: np.ndarray, past: float) -> list[float]:
-        out = []
-        for value, weight in zip(x.tolist(), w.tolist()):
-            if value != value:
-                out.append(np.nan)
-                past = 0.0
-            else:
-                past = weight * value + (1.0 - weight) * past
-                out.append(past)
+    def _scan(x: np.ndarray, w: np.ndarray, past: float) -> np.ndarray:
+        """Averages of a stretch; after a missing x the past is 0."""
+        gone = np.isnan(x)
+        out = affine_scan(np.where(gone, 0.0, 1.0 - w), np.where(gone, 0.0, w * x), past)
+        out[gone] = np.nan
         return out
 
     def summarise(self, rows):
         numbers = []
         for value, weight in self.series.values():
             x, w = rows[value], rows[weight]
-            reached = self._walk(x, w, 0.0)[-1] if x.size else 0.0
+            reached = self._scan(x, w, 0.0)[-1] if x.size else 0.0
             scale = 0.0 if np.isnan(x).any() else float(np.prod(1.0 - w))
             numbers += [scale, 0.0 if np.isnan(reached) else reached]
         return numbers
@@ -174,10 +171,7 @@ class Vidya:
         return [summary[2 * i] * past + summary[2 * i + 1] for i, past in enumerate(state)]
 
     def run(self, rows, state):
-        return [
-            np.asarray(self._walk(rows[value], rows[weight], past))
-            for (value, weight), past in zip(self.series.values(), state)
-        ]
+        return [self._scan(rows[value], rows[weight], past) for (value, weight), past in zip(self.series.values(), state)]
 
 
 class FollowLine:
@@ -211,23 +205,25 @@ class FollowLine:
         }
 
     @staticmethod
-    def _levels(rows):
-        return zip(rows["outside"].tolist(), rows["rise_to"].tolist(), rows["fall_to"].tolist())
+    def _bounds(rows, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each row clamps the line to: from below on the upper side, from above on the lower."""
+        known = ~np.isnan(rows["rise_to"])
+        low = np.where(known & (side > 0), rows["rise_to"], -np.inf)
+        return low, np.where(known & (side < 0), rows["fall_to"], np.inf)
 
     def summarise(self, rows):
-        pre_max, pre_min, side = -np.inf, np.inf, 0.0
-        floor, ceiling = -np.inf, np.inf
-        for outside, rise_to, fall_to in self._levels(rows):
-            side = outside or side
-            if rise_to != rise_to:
-                continue
-            if side > 0:
-                floor, ceiling = max(floor, rise_to), max(ceiling, rise_to)
-            elif side < 0:
-                floor, ceiling = min(floor, fall_to), min(ceiling, fall_to)
-            else:
-                pre_max, pre_min = max(pre_max, rise_to), min(pre_min, fall_to)
-        return [pre_max, pre_min, side, floor, ceiling]
+        side = last_nonzero(rows["outside"], 0.0)
+        if not side.size:
+            return [-np.inf, np.inf, 0.0, -np.inf, np.inf]
+        before = (side == 0) & ~np.isnan(rows["rise_to"])
+        low, high = self._bounds(rows, side)
+        return [
+            np.max(rows["rise_to"], where=before, initial=-np.inf),
+            np.min(rows["fall_to"], where=before, initial=np.inf),
+            side[-1],
+            clamp_scan(low, high, -np.inf)[-1],
+            clamp_scan(low, high, np.inf)[-1],
+        ]
 
     def apply(self, state, summary):
         side, line = state
@@ -237,10 +233,4 @@ class FollowLine:
 
     def run(self, rows, state):
         side, line = state
-        out = []
-        for outside, rise_to, fall_to in self._levels(rows):
-            side = outside or side
-            if rise_to == rise_to:
-                line = max(rise_to, line) if side > 0 else min(fall_to, line) if side < 0 else line
-            out.append(line)
-        return [np.asarray(out, dtype=float)]
+        return [clamp_scan(*self._bounds(rows, last_nonzero(rows["outside"], side)), line)]
