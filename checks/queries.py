@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from checks import sql
 from checks.settings import CUTOFF, END, HORIZONS, START, STUDY, TRAIN_END, VALIDATION_END
 from tidebars.config import ExperimentSpec, RunRequest, StudyConfig
-from tidebars.fixtures import bars_from_events, read_events, tear_file, trades_from_events, write_market_files
+from tidebars.fixtures import bars_from_events, read_events, tear_file, trades_from_events, write_json_files, write_market_files
 from tidebars.functions.ranking import benjamini_hochberg
 from tidebars.operators import catalog as quality
 from tidebars.operators import discovery as disc
@@ -243,6 +243,27 @@ def s2_a22_mixed_files(spark, sf):
     return out(rows.select("pair", "kind", F.col("problem").isNull().alias("readable"), F.coalesce("bars", F.lit(0)).alias("bars"), "first", "last", "prices", "volume"))
 
 
+FORMATS = f"kinds AS (SELECT event_type AS pair, ['json', 'json.gz', 'parquet'][CAST((row_number() OVER (ORDER BY event_type) - 1) % 3 AS INTEGER) + 1] AS extension FROM (SELECT DISTINCT event_type FROM events))"
+
+
+@query(
+    "s1_s4_json_files",
+    f"""WITH {sql.HOURLY}, {FORMATS} SELECT {MARKET} AS pair, timeframe, extension, {sql.day('date')} AS date, open, high, low, close, volume FROM b JOIN kinds USING (pair)""",
+)
+def s1_s4_json_files(spark, sf):
+    """Bars written as JSON, gzip and Parquet files, listed and read back."""
+    bars = stage(hourly(spark, sf))
+    pairs = sorted(r.pair for r in bars.select("pair").distinct().collect())
+    kinds = ("json", "json.gz", "parquet")
+    folder = f"{shared_dir(spark)}/market-{uuid4().hex}"
+    for i, kind in enumerate(kinds):
+        own = bars.filter(F.col("pair").isin(pairs[i :: len(kinds)]))
+        write_market_files(own, folder, "1h") if kind == "parquet" else write_json_files(own, folder, "1h", kind)
+    listed = market_files.discover(spark, folder, "1h").select("file", "extension")
+    read = market_files.load_bars(spark, folder, "1h").join(listed, "file")
+    return out(read.select("pair", "timeframe", "extension", "date", "open", "high", "low", "close", "volume"))
+
+
 @query(
     "a15_catalog_from_files",
     f"""WITH {CATALOG} SELECT {MARKET} AS pair, timeframe, pair || '_USDT_USDT-' || timeframe || '-futures.parquet' AS file, extension, candles, expected_candles, {sql.rounded('coverage_ratio')},

@@ -169,9 +169,9 @@ def test_study_from_files(spark, data_dir, tmp_path):
     assert summary["status_counts"] == {"ready": 4, "too_short": 2}
     with pytest.raises(FileExistsError, match="already exists"):
         studies.write_catalog(spark, data_dir, catalog_dir, START, END, timeframes=("1m", "5m"))
-    with pytest.raises(ValueError, match="date range"):
+    with pytest.raises(ValueError, match="its bars end at"):
         studies.load_selection(spark, catalog_dir, "1m", START, "2026-01-03")
-    with pytest.raises(ValueError, match="does not include timeframe"):
+    with pytest.raises(ValueError, match="it has no"):
         studies.load_selection(spark, catalog_dir, "4h", START, END)
     selection = studies.load_selection(spark, catalog_dir, "1m", START, END).collect()
     assert {r.basis for r in selection} == {identity.SOURCE_HASH_BASIS} and {len(r.value) for r in selection} == {64}
@@ -310,10 +310,10 @@ def test_trade_reports(spark, tmp_path):
 
     two = archive(tmp_path / "b.zip", r=json.dumps({"strategy": {"A": {"trades": TRADES}, "B": {"trades": []}}}))
     assert reports.read_trades(spark, two, strategy="A").count() == 3
-    for strategy, message in ((None, "strategy_name is required"), ("C", "Strategy not found")):
+    for strategy, message in ((None, "name one of its strategies: A, B"), ("C", "it has no strategy C")):
         with pytest.raises(Exception, match=message):
             reports.read_trades(spark, two, strategy=strategy).collect()
-    with pytest.raises(Exception, match="no JSON report"):
+    with pytest.raises(Exception, match="no strategy results"):
         reports.read_trades(spark, archive(tmp_path / "c.zip", x="{}")).collect()
     import os
 
@@ -321,6 +321,26 @@ def test_trade_reports(spark, tmp_path):
     assert reports.newest_file(spark, str(tmp_path)).endswith("a.zip")
 
 
+def test_the_member_with_most_trades_is_read(tmp_path):
+    small, large = {"strategy": {"A": {"trades": [1]}}}, {"strategy": {"A": {"trades": [1, 2]}, "B": {"trades": {}}, "C": None}}
+    path = archive(tmp_path / "m.zip", note="no JSON", small=json.dumps(small), large=json.dumps(large), list="[1]", odd=json.dumps({"strategy": 5}))
+    with open(path, "rb") as file:
+        sections = reports.report_sections(file.read())
+    assert len(sections) == 4
+    assert reports.choose_section(sections, "A").trades == [1, 2]
+    with pytest.raises(ValueError, match="name one of its strategies: A, B, C; no list of trades for B, C"):
+        reports.choose_section(sections)
+    with pytest.raises(ValueError, match="no list of trades for B"):
+        reports.choose_section(sections, "B")
+
+
+def test_a_catalog_of_another_range_is_refused():
+    summary = {"start_inclusive": "2026-01-01T00:00:00+00:00", "end_exclusive": "2026-02-01T00:00:00+00:00", "timeframes": ["1m", "1h"]}
+    identity.check_catalog_range(summary, "1h", "2026-01-01", "2026-02-01")
+    with pytest.raises(ValueError, match="begin at 2026-01-01 00:00, the study's at 2026-01-02 00:00, and it has no 5m bars"):
+        identity.check_catalog_range(summary, "5m", "2026-01-02", "2026-02-01")
+
+
 def test_drawdown_in_blocks(spark):
     """Equity and its maximum carried over many small blocks, total losses and worse included."""
     import numpy as np

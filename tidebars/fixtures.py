@@ -72,9 +72,26 @@ def write_market_files(bars: DataFrame, folder: str, timeframe: str, *, row_grou
     bars.select(columns).repartition("pair").sortWithinPartitions("pair", "date").write.option(
         "parquet.block.size", row_group_bytes
     ).partitionBy("pair").parquet(written)
+    _name_files(spark, written, folder, timeframe, "parquet")
+
+
+def write_json_files(bars: DataFrame, folder: str, timeframe: str, extension: str) -> None:
+    """One file a pair holding an array of ``[milliseconds, open, high, low, close, volume]`` rows, plain or gzip."""
+    spark = bars.sparkSession
+    written = f"{folder}/written-{timeframe}-{uuid4().hex}"
+    cells = [F.col(c).cast("double") for c in ("open", "high", "low", "close", "volume")]
+    row = F.array(F.unix_millis("date").cast("double"), *cells)
+    rows = bars.groupBy("pair").agg(F.sort_array(F.collect_list(row)).alias("rows"))  # a month of bars a pair
+    rows.select("pair", F.to_json("rows").alias("value")).repartition("pair").write.partitionBy("pair").text(
+        written, compression="gzip" if extension == "json.gz" else "none"
+    )
+    _name_files(spark, written, folder, timeframe, extension)
+
+
+def _name_files(spark: SparkSession, written: str, folder: str, timeframe: str, extension: str) -> None:
     for row in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(written).select("path").collect():
         pair = row.path.rsplit("/", 2)[1].removeprefix("pair=")
-        target = _path(spark, f"{folder}/{pair}_USDT_USDT-{timeframe}-futures.parquet")
+        target = _path(spark, f"{folder}/{pair}_USDT_USDT-{timeframe}-futures.{extension}")
         if not _file_system(spark, folder).rename(_path(spark, row.path), target):
             raise OSError(f"cannot name {target}")
 

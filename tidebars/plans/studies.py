@@ -223,7 +223,7 @@ def run_event_study(
         "created_at_utc": _now(),
         "study": study,
         "experiment": spec.manifest(),
-        "entry_rule": "Signal on closed candle; entry at next candle open",
+        "entry_rule": "A signal counts once its bar has closed; the trade opens with the bar after it",
         "start_inclusive": spec.data_start,
         "end_exclusive": spec.data_end,
         "train_end": train_end.isoformat(),
@@ -267,7 +267,7 @@ def run_comparison(
         "schema_version": 2,
         "created_at_utc": _now(),
         "stage": "cross_system_discovery_only",
-        "holdout_policy": "Holdout columns are rejected fail-closed.",
+        "holdout_policy": "Inputs that hold holdout columns are refused.",
         "fdr_scope": GLOBAL_SCOPE,
         "global_fdr": global_rate,
         "inputs": list(inputs),
