@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.llm.documents import text_blocks
-from tidebars.llm.phrases import _WORD
+from tidebars.llm.phrases import split_words
 from tidebars.llm.running import running_totals
 from tidebars.llm.sharding import Permutation, row_numbers
 from tidebars.session import stage
@@ -155,7 +155,7 @@ def _parts(batches: Iterator[pa.RecordBatch], block_words: int) -> Iterator[pa.R
     for batch in batches:
         rows = []
         for text, rank, offset in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = [w for piece in text_blocks(text) for w in _WORD.findall(piece)]
+            words = [w.decode() for piece in text_blocks(text) for w in split_words(piece)]
             cuts = [0, *range(block_words - offset % block_words, len(words), block_words), len(words)]
             rows += [(rank, (offset + a) // block_words, offset + a, " ".join(words[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
         columns = list(zip(*rows, strict=True)) or [[]] * 4

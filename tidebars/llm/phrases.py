@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -20,8 +19,7 @@ PHRASE = 8
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28  # of the phrase filter; 32 MB at most
 BUCKET_BITS = 1 << 15  # of one bitmap made by Spark
 MEMO_WORDS = 400_000
-SPLIT_ONCE = 1 << 14  # characters of a text whose words are kept for the second look
-_WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+SPLIT_ONCE = 1 << 12  # characters of a text whose words are kept for the second look
 _U = np.uint64
 _FACTORS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
