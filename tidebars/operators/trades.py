@@ -241,8 +241,10 @@ def max_drawdown(trades: DataFrame, keys: Sequence[str], *levels: Sequence[str],
 
 CELL = (*RUN, "pair", "direction")
 CELL_STEPS = 64  # buckets an octave: fewer cells, still few values in a middle one
-_SUMS = ("trades", "wins", "draws", "losses", "returns", "sum_returns", "gain", "loss", "durations", "sum_duration",
-         "spans", "sum_span", "sided", "long_trades", "short_trades", "funding_fees_sum")
+_COUNTS = ("trades", "wins", "draws", "losses", "returns", "durations", "spans", "sided", "long_trades", "short_trades")
+_TOTALS = ("sum_returns", "gain", "loss", "sum_duration", "sum_span", "funding_fees_sum")
+_SUMS = (*_COUNTS, *[f"{part}_{c}" for c in _TOTALS for part in ("coarse", "rest")])
+_UNIT = 2.0**20  # multiples of its inverse add up without rounding far beyond any sum of returns
 
 
 class TradeLattice:
@@ -259,16 +261,22 @@ class TradeLattice:
         self.trades = adjusted.withColumn("direction", direction_of(F.col("is_short")))
         r, short = F.col("adjusted"), F.coalesce("is_short", F.lit(False))
         number = lambda test: F.count(F.when(test, 1))
-        total = lambda value: F.coalesce(F.sum(value), F.lit(0.0))
         elapsed = (F.unix_micros("close_date") - F.unix_micros("open_date")) / 60_000_000
-        sums = [
-            F.count(F.lit(1)), number(r > 0), number(r == 0), number(r < 0), F.count(r), total(r),
-            total(F.when(r > 0, r)), total(F.when(r < 0, -r)), F.count("trade_duration"), total(F.col("trade_duration")),
-            F.count(elapsed), total(elapsed), F.count("is_short"), number(~short), number(short), total(F.col("funding_fees")),
+        counts = [
+            F.count(F.lit(1)), number(r > 0), number(r == 0), number(r < 0), F.count(r), F.count("trade_duration"),
+            F.count(elapsed), F.count("is_short"), number(~short), number(short),
         ]
+        totals = [r, F.when(r > 0, r), F.when(r < 0, -r), F.col("trade_duration"), elapsed, F.col("funding_fees")]
+        sums = [*counts, *[part for value in totals for part in self._parts(value)]]
         self.bucketed = self.trades.withColumn("_bucket", value_bucket(r, CELL_STEPS))
         self.cells = stage(self.bucketed.groupBy(*CELL, "_bucket").agg(*[s.alias(c) for s, c in zip(sums, _SUMS, strict=True)]))
 
+    @staticmethod
+    def _parts(value: Column) -> tuple[Column, Column]:
+        """A sum in two parts, so that it does not depend on how trades are grouped on the way."""
+        coarse = F.rint(value * _UNIT) / _UNIT
+        return F.coalesce(F.sum(coarse), F.lit(0.0)), F.coalesce(F.sum(F.nanvl(value - coarse, F.lit(0.0))), F.lit(0.0))
+
     def _medians(self, levels: Sequence[Sequence[str]]) -> list[DataFrame]:
         counts = self.cells.filter("_bucket IS NOT NULL")
         found = []
@@ -292,7 +300,9 @@ class TradeLattice:
             rows = self.cells
             for key in level:
                 rows = rows.filter(F.col(key).isNotNull())
-            s = rows.groupBy(*level).agg(*[F.sum(c).alias(c) for c in _SUMS])
+            s = rows.groupBy(*level).agg(
+                *[F.sum(c).alias(c) for c in _COUNTS], *[(F.sum(f"coarse_{c}") + F.sum(f"rest_{c}")).alias(c) for c in _TOTALS]
+            )
             mean = lambda total, n: F.when(F.col(n) > 0, F.col(total) / F.col(n))
             known = F.col("sided") > 0
             s = s.withColumns(
