@@ -123,3 +123,11 @@ def test_every_rule_can_match_only_with_its_keyword(rule):
     assert rule.keyword == rule.keyword.lower() and re.compile(rule.pattern)
     assert re.compile(f"(?:^| ){_any_of({r.keyword for r in RULES})}").search(f"a {rule.keyword} b")
     assert len(RULES) > 200
+
+
+def test_a_long_list_of_holders_keeps_its_license(spark):
+    holders = ", ".join(f"the Very Long Institute Number {i}" for i in range(9))
+    text = f"Neither the name of {holders} nor the names of its contributors may be used to endorse or promote products"
+    far = text.replace("may be used", "x " * 300 + "may be used")
+    found = {r.doc_id: r.labels for r in scan_licenses(odd(spark, [(1, text), (2, far)])).collect()}
+    assert "bsd-3-clause" in found[1] and "bsd-3-clause" not in found[2]

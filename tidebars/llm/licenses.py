@@ -121,7 +121,7 @@ SENTENCES: tuple[tuple[str, str, int, str], ...] = (
     ("mit", "above copyright notice", 2, r"the above copyright notice and this permission notice shall be included in all copies"),
     ("isc", "permission to use copy", 3, r"permission to use copy modify and or distribute this software for any purpose with or without fee"),
     ("bsd", "redistribution and use", 3, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "neither the name", 3, r"neither the name of .{1,80}? may be used to endorse or promote products"),
+    ("bsd-3-clause", "neither the name", 3, r"neither the name of .{1,400}? may be used to endorse or promote products"),
     ("bsd-4-clause", "advertising materials", 3, r"all advertising materials mentioning features or use of this software must display"),
     ("apache-2.0", "apache org", 3, r"(?:http|https) www apache org licenses license 2 0"),
     ("apache-2.0", "you may not use this file", 3, r"you may not use this file except in compliance with the license"),
