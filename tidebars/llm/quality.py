@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,18 +42,23 @@ def _class_table() -> np.ndarray:
 _table: list[np.ndarray] = []
 
 
-def term_frequencies(text: str) -> np.ndarray:
+def term_frequencies(text: str, size: int = 1 << 20) -> np.ndarray:
     """Shares of character-class trigrams, hashed to ``TERMS`` terms, and of repetition.
 
     The last entries are the shares of words equal to the word before, of words and of
-    lines that occurred earlier in the text. Works through the text block by block.
+    lines that occurred earlier in the text. Works through the text in blocks of about
+    ``size`` characters; the last two classes, the last word and the hash of the open line
+    go into the next block, so the blocks do not show in the result.
     """
     if not _table:
         _table.append(_class_table())
     out = np.zeros(TERMS + _RATIOS)
     words, lines, seen_words, seen_lines, again, last = 0, 0, set(), set(), 0, None
-    for block in text_blocks(text):
-        classes = _table[0][np.frombuffer(block.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+    tail, line = np.empty(0, np.int64), xxhash.xxh64()
+    for block in text_blocks(text, size):
+        points = np.frombuffer(block.encode("utf-32-le", "surrogatepass"), np.uint32)
+        classes = np.concatenate([tail, _table[0][points]])
+        tail = classes[-2:]
         if len(classes) > 2:
             trigrams = (classes[:-2] * _CLASSES + classes[1:-1]) * _CLASSES + classes[2:]
             out[:TERMS] += np.bincount((trigrams * 2654435761 >> 7) % TERMS, minlength=TERMS)
@@ -62,9 +68,17 @@ def term_frequencies(text: str) -> np.ndarray:
             last = found[-1]
         words += len(found)
         seen_words.update(found)
-        split = block.split("\n")
-        lines += len(split)
-        seen_lines.update(map(hash, split))
+        *closed, rest = block.encode("utf-8", "surrogatepass").split(b"\n")
+        if closed:
+            line.update(closed[0])
+            seen_lines.add(line.intdigest())
+            seen_lines.update(map(xxhash.xxh64_intdigest, closed[1:]))
+            lines += len(closed)
+            line.reset()
+        line.update(rest)
+    if text:
+        lines += 1
+        seen_lines.add(line.intdigest())
     out[:TERMS] /= max(1.0, out[:TERMS].sum())
     out[TERMS:] = again / max(1, words), 1 - len(seen_words) / max(1, words), 1 - len(seen_lines) / max(1, lines)
     return out.astype(np.float32)
