@@ -8,16 +8,17 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidebars.llm.documents import ids_and_texts, remainder, text_blocks
 from tidebars.session import stage
 
 SAMPLE_PER_LANGUAGE = 4000  # labelled rows the model is fitted on, about, for each language
-MAX_LANGUAGES = 200
-MAX_WORDS = 50_000  # most frequent words kept; the same bound holds for n-grams
+MAX_WORDS = 50_000  # words shared out evenly among the languages; the same holds for n-grams
+LEAST_SHARE = 250  # words and n-grams of each language, however many languages there are
 LONGEST_GRAM = 5
 BLOCK_GRAMS = 1 << 16  # of one word, worked on at once
 WEIGHT = 1 << 20  # damped counts are summed as integers, so that their order does not matter
@@ -26,6 +27,7 @@ HELD_OUT, HELD_OUT_REMAINDER = 4, 2
 MEMO_WORDS = 400_000
 _RUN = re.compile(r"[^\W\d_]+")
 _COUNTED = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
+_GRAMS = pa.schema([("lang", pa.int64()), ("gram", pa.string()), ("length", pa.int64()), ("n", pa.int64())])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
@@ -133,74 +135,94 @@ def _log_frequencies(counts: np.ndarray, totals: np.ndarray, kinds: int) -> np.n
     return logs - logs.mean(-1, keepdims=True)
 
 
+def _most_frequent(counts: DataFrame, term: str, share: int) -> DataFrame:
+    """The ``share`` most frequent terms of each language, each term once.
+
+    Ranks are cut in every task before the shuffle, so a task sends ``share`` rows a language at most.
+    """
+    own = Window.partitionBy("lang").orderBy(F.desc("n"), term)
+    return counts.withColumn("place", F.row_number().over(own)).filter(F.col("place") <= share).select(term).distinct()
+
+
+def _matrix(table: pd.DataFrame, term: str, languages: list[str]) -> tuple[list[str], np.ndarray]:
+    """Terms in order, and a row of each with its count in every language."""
+    terms = sorted(set(table[term]))
+    rows, columns = ({x: i for i, x in enumerate(named)} for named in (terms, languages))
+    counts = np.zeros((len(terms), len(languages)))
+    counts[table[term].map(rows).to_numpy(np.int64), table["lang"].map(columns).to_numpy(np.int64)] = table["n"]
+    return terms, counts
+
+
 def fit_language(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, max_words: int = MAX_WORDS) -> WordModel:
     """Fit on a sample by id hash of about ``per_language`` rows of each language.
 
-    Only rows with a language whose crc32(doc_id) mod 4 is not 2 are used. Spark counts
-    the words; the driver gets the ``max_words`` most frequent of them, with counts per
-    language, and the n-grams Spark counts in these. Of more than ``MAX_LANGUAGES`` labels
-    the most frequent count. Without such rows the model knows no language.
+    Only rows with a language whose crc32(doc_id) mod 4 is not 2 are used; every label found
+    there is a language. Spark counts the words; each language gives the same number of its
+    own most frequent words, an equal share of ``max_words`` but ``LEAST_SHARE`` or more, and
+    as many of the n-grams that Spark counts in these words. The driver gets the counts of
+    the words given. Without such rows the model knows no language.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.coalesce("text", F.lit("")).alias("text")
     ).filter((remainder(F.col("doc_id"), HELD_OUT) != HELD_OUT_REMAINDER) & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().collect()  # one row a label
     if not sizes:
         return WordModel([], {}, {}, np.zeros((0, 0)))
     languages = sorted(r["lang"] for r in sizes)
+    words_each = max(LEAST_SHARE, max_words // len(languages))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
     drawn = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)) < F.try_element_at(share, F.col("lang"))
     counted = rows.filter(drawn).mapInArrow(_count, "lang string, word string, n long")
-    each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}") for i, lang in enumerate(languages)]
-    by_word = counted.groupBy("word").agg(F.sum("n").alias("total"), *each)
-    top = by_word.orderBy(F.desc("total"), "word").limit(max_words).toPandas()
-    counts = top[[f"n{i}" for i in range(len(languages))]].to_numpy(np.float64)
-    words = top["word"].tolist()
+    by_word = stage(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words, counts = _matrix(by_word.join(_most_frequent(by_word, "word", words_each), "word").toPandas(), "word", languages)
     scores = _log_frequencies(counts, counts.sum(0), len(words))
     # A word of one occurrence tells little; it goes through its n-grams as an unseen one does.
     own = {w: s for w, s, n in zip(words, scores, counts.sum(1), strict=True) if n > 1}
-    known, gram_scores = _fit_grams(docs.sparkSession, words, counts, max_words)
+    known, gram_scores = _fit_grams(docs.sparkSession, words, counts, words_each)
     return WordModel(languages, own, known, gram_scores)
 
 
 def _fit_grams(spark: SparkSession, words: list[str], counts: np.ndarray, most: int) -> tuple[dict[str, int], np.ndarray]:
-    """The ``most`` heaviest n-grams of the words and their scores; Spark counts them over whole words."""
+    """Scores of the ``most`` heaviest n-grams of each language; Spark counts them over whole words."""
     damped = np.rint(np.log1p(counts) * WEIGHT).astype(np.int64)
-    names = [f"n{i}" for i in range(counts.shape[1])]
-    schema = pa.schema([("gram", pa.string()), ("length", pa.int64()), *((x, pa.int64()) for x in names)])
-    columns = "gram string, length long, " + ", ".join(f"{x} long" for x in names)
+    at, lang = np.nonzero(damped)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
+        held: Counter[tuple[int, str]] = Counter()
 
         def out() -> pa.RecordBatch:
-            weights = np.array(list(held.values()), np.int64).reshape(-1, len(names))
-            found = [pa.array(list(held), pa.string()), pa.array(list(map(len, held)), pa.int64())]
+            rows = [(lang, gram, len(gram), n) for (lang, gram), n in held.items()]
             held.clear()
-            return pa.RecordBatch.from_arrays([*found, *map(pa.array, weights.T)], schema=schema)
+            columns = list(zip(*rows, strict=True)) or [[]] * len(_GRAMS)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _GRAMS, strict=True)], schema=_GRAMS)
 
         for batch in batches:
-            weights = np.stack([c.to_numpy() for c in batch.columns[1:]], axis=1)
-            for word, weight in zip(batch.column(0).to_pylist(), weights, strict=True):
+            for word, lang, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for n in range(1, LONGEST_GRAM + 1):
                     for block in gram_blocks(word, n):
-                        for gram, times in Counter(block).items():
-                            held[gram] = held.get(gram, 0) + times * weight
-                        if len(held) > 100_000:
+                        for gram in block:
+                            held[lang, gram] += weight
+                        if len(held) > 200_000:
                             yield out()
         yield out()
 
-    table = spark.createDataFrame(pa.table([pa.array(words, pa.string()), *map(pa.array, damped.T)], names=["word", *names]))
-    found = table.repartition(spark.sparkContext.defaultParallelism).mapInArrow(count, columns)
-    by_gram = stage(found.groupBy("gram", "length").agg(*[F.sum(x).alias(x) for x in names]))
-    sizes = {r["length"]: r for r in by_gram.groupBy("length").agg(F.count("*").alias("kinds"), *[F.sum(x).alias(x) for x in names]).collect()}
-    top = by_gram.orderBy(F.desc(sum((F.col(x) for x in names), F.lit(0))), "gram").limit(most).toPandas()
-    weights, lengths = top[names].to_numpy(np.float64) / WEIGHT, top["length"].to_numpy()
+    weighed = pa.table([pa.array([words[i] for i in at], pa.string()), pa.array(lang), pa.array(damped[at, lang])], names=["word", "lang", "n"])
+    found = spark.createDataFrame(weighed).repartition(spark.sparkContext.defaultParallelism)
+    by_gram = stage(
+        found.mapInArrow(count, "lang long, gram string, length long, n long").groupBy("lang", "gram", "length").agg(F.sum("n").alias("n"))
+    )
+    chosen = by_gram.join(_most_frequent(by_gram, "gram", most), "gram").toPandas()
+    known, weights = _matrix(chosen, "gram", list(range(counts.shape[1])))
+    weights /= WEIGHT
+    lengths = np.array([len(g) for g in known], np.int64)
     scores = np.zeros_like(weights)
-    for n, r in sizes.items():
-        totals = np.array([r[x] for x in names], np.float64) / WEIGHT
-        scores[lengths == n] = _log_frequencies(weights[lengths == n], totals, r["kinds"])
-    return {g: i for i, g in enumerate(top["gram"])}, scores
+    kinds = {r["length"]: r["kinds"] for r in by_gram.groupBy("length").agg(F.count_distinct("gram").alias("kinds")).collect()}
+    totals = {n: np.zeros(counts.shape[1]) for n in kinds}
+    for r in by_gram.groupBy("length", "lang").agg(F.sum("n").alias("n")).collect():  # five rows a language
+        totals[r["length"]][r["lang"]] = r["n"] / WEIGHT
+    for n in kinds:
+        scores[lengths == n] = _log_frequencies(weights[lengths == n], totals[n], kinds[n])
+    return {g: i for i, g in enumerate(known)}, scores
 
 
 def identify_language(docs: DataFrame, model: WordModel) -> DataFrame:
@@ -211,7 +233,8 @@ def identify_language(docs: DataFrame, model: WordModel) -> DataFrame:
     to the first language by name. ``score`` is the share of the language among all, by
     softmax. A row without identifier is not held out. Repeated rows are judged each; an
     empty table gives no rows; extra columns are ignored. One pass, no shuffle; the
-    broadcast model is bounded by ``MAX_WORDS``.
+    broadcast model has at most the larger of ``MAX_WORDS`` and ``LEAST_SHARE`` a language
+    words, as many n-grams, and a number a language for each.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
