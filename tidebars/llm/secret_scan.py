@@ -20,13 +20,14 @@ LEAST_VALUE = 6
 
 TOKEN = "[A-Za-z0-9+/_-]{20,}={0,2}"
 FALSE_DISCOVERIES = 0.05
-VETO = 0.001  # a token that fails the runs or the serial test at this level is not random
+VETO = 0.001  # a token that fails a runs test or the serial test at this level is not random
 BINS_PER_DECADE = 20
 DECADES = 15
 LENGTH_CLASSES = (20, 24, 32, 40, 48, 64, 96, 128, 256)  # least length of each
 KINDS = ("assign", "access", "hex", "random")
 
 _DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_MARKS = "+/_-"
 
 
 @dataclass(frozen=True)
@@ -65,14 +66,37 @@ def lower_tail(z: Column) -> Column:
     return let(F.abs(z), lambda x: let(tail(x), lambda upper: F.when(z < 0, upper).otherwise(1 - upper)))
 
 
-def _battery(symbols: Column, m: int, unevenness: float) -> Column:
+def class_changes(alphabet: str) -> tuple[float, float, float]:
+    """Changes between lower case, upper case, digits and marks in random symbols: their
+    mean for each pair of neighbours, the variance of one, and the covariance of two in a row."""
+    shares = [sum(a in kind for a in alphabet) / len(alphabet) for kind in (_LOWER, _UPPER, _DIGITS, _MARKS)]
+    mean = 1 - sum(p * p for p in shares)
+    return mean, mean * (1 - mean), sum(p * (1 - p) ** 2 for p in shares) - mean * mean
+
+
+def _class_z(token: Column, alphabet: str) -> Column:
+    """How far the changes of class in a token fall short of those of random symbols.
+
+    Words joined by marks or capitals change class at their ends only.
+    """
+    mean, variance, covariance = class_changes(alphabet)
+    if variance < 1e-12:
+        return F.lit(0.0)
+    kinds = F.translate(token, _LOWER + _UPPER + _DIGITS + _MARKS, "a" * 26 + "A" * 26 + "0" * 10 + "-" * 4)
+    pairs = F.length(token).cast("double") - 1
+    changes = F.length(F.regexp_replace(kinds, r"(.)\1+", "$1")) - 1
+    return (pairs * mean - changes) / F.sqrt(pairs * variance + 2 * (pairs - 1) * covariance)
+
+
+def _battery(symbols: Column, m: int, unevenness: float, class_z: Column) -> Column:
     """p-value of "not random" for places 0..m-1 of a token's symbols in its alphabet.
 
     The chi-squared statistic of an uneven source is about normal with mean m - 1 + L
     and variance 2 (m - 1 + 2 L), L growing with the length; p is the chance that such a
     source looks this even, so a short token is not called random for want of evidence.
-    Runs about the middle of the alphabet and the correlation of neighbours are tested
-    against a random source; a token that fails either is given p = 1.
+    Runs about the middle of the alphabet, runs of one class of characters and the
+    correlation of neighbours are tested against a random source; a token that fails one
+    of them is given p = 1.
     """
     n = F.size(symbols).cast("double")
     counts = F.transform(F.array_distinct(symbols), lambda s: F.size(F.filter(symbols, lambda x: x == s)).cast("double"))
@@ -93,7 +117,7 @@ def _battery(symbols: Column, m: int, unevenness: float) -> Column:
     lagged = F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean))
     serial_z = F.when(power > 0, F.abs(lagged / power + 1 / n) * F.sqrt(n)).otherwise(99.0)
 
-    normal = 2 * (1 - lower_tail(F.greatest(runs_z, serial_z)))
+    normal = 2 * (1 - lower_tail(F.greatest(runs_z, serial_z, class_z)))
     return F.when(normal < VETO, F.lit(1.0)).otherwise(lower_tail(even_z))
 
 
@@ -104,7 +128,7 @@ def not_random(token: Column) -> Column:
         places = F.transform(
             F.sequence(F.lit(1), F.length(token)), lambda i: F.instr(F.lit(e.alphabet), F.substring(token, i, F.lit(1))) - 1
         )
-        return let(places, lambda symbols: _battery(symbols, len(e.alphabet), e.unevenness))
+        return let(places, lambda symbols: _battery(symbols, len(e.alphabet), e.unevenness, _class_z(token, e.alphabet)))
 
     cases = F.when(F.length(token) < 2, F.lit(1.0))
     for e in ENCODINGS:
