@@ -24,7 +24,7 @@ from tidebars.operators.series import Panel, bar_blocks, bar_seconds
 from tidebars.operators.signals import REGISTRY, compute_signals, macd_exits
 from tidebars.plans.studies import build_catalog, comparison_counts
 from tidebars.session import prepare, shared_dir, stage
-from tidebars.sinks import write_csv
+from tidebars.sinks import checksums, write_csv
 from tidebars.sources import market_files
 from tidebars.sources.reports import read_manifests, read_table
 
@@ -714,9 +714,17 @@ def w17_duplicate_hypotheses(spark, sf):
     return out(disc.duplicate_hypotheses(twice).select(*disc.KEYS, "count"))
 
 
+# The identifying fields of SPEC as they are hashed, written out so that SQL can work the identifier out itself.
+SPEC_TEXT = (
+    '{"cost_bps":14.0,"data_end":"2024-01-31","data_start":"2024-01-01","horizon_semantics":"bars","horizons_bars":[1,3,5],'
+    '"parameters":{"entry_length":5},"system_id":"turtle_channel","system_version":"1","timeframe":"12h",'
+    '"universe_fingerprint":"' + 64 * "a" + '","universe_fingerprint_basis":"source_sha256_v1"}'
+)
+
+
 @query(
     "k1_s5_p28_csv_round_trip",
-    f"""{sql.to_summary()}, {sql.discovery_cte()} SELECT '{SPEC.experiment_id}' AS experiment_id, 'turtle_channel' AS system_id, '1' AS system_version,
+    f"""{sql.to_summary()}, {sql.discovery_cte()} SELECT left(sha256('{SPEC_TEXT}'), 16) AS experiment_id, 'turtle_channel' AS system_id, '1' AS system_version,
  '12h' AS timeframe, {sql.KEYS}, {sql.rounded('p_value_validation', 'test_mean_net_return_train')} FROM disc""",
 )
 def k1_s5_p28_csv_round_trip(spark, sf):
@@ -729,6 +737,21 @@ def k1_s5_p28_csv_round_trip(spark, sf):
     return out(back.select(*disc.IDENTITY, *disc.KEYS, "p_value_validation", "test_mean_net_return_train"))
 
 
+@query(
+    "k7_checksums",
+    """WITH l AS (SELECT event_type, user_id, event_type || ',' || user_id || ',' || count(*) || chr(10) AS line FROM events GROUP BY event_type, user_id)
+ SELECT 'event_type=' || event_type AS folder, sha256(string_agg(line, '' ORDER BY user_id)) AS sha256 FROM l GROUP BY event_type""",
+)
+def k7_checksums(spark, sf):
+    """Checksums of a folder that Spark wrote, one file an event type, by the files' own bytes."""
+    path = f"{shared_dir(prepare(spark))}/sums-{uuid4().hex}"
+    counts = read_events(spark, sf).groupBy("event_type", "user_id").count()
+    line = F.concat_ws(",", "event_type", "user_id", "count").alias("value")
+    lines = counts.repartition("event_type").sortWithinPartitions("event_type", "user_id").select("event_type", line)
+    lines.write.partitionBy("event_type").option("compression", "none").text(path)
+    return checksums(spark, path).select(F.regexp_extract("file", "^(event_type=[^/]+)/", 1).alias("folder"), "sha256")
+
+
 # -- trades ------------------------------------------------------------------------------------
 
 
