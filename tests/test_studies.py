@@ -202,6 +202,10 @@ def test_study_from_files(spark, data_dir, tmp_path):
     both = studies.run_comparison(spark, [f"{out}/discovery_tests.csv"], str(tmp_path / "compared"), global_rate=1.0)
     assert both["hypotheses_tested"] == 16 and both["experiments"] == 1
     assert both["global_candidate_rows"] == result["candidate_rows"]
+    listed = (tmp_path / "compared" / "SHA256SUMS.txt").read_text().split()
+    assert hashlib.sha256((tmp_path / "compared" / "comparison_manifest.json").read_bytes()).hexdigest() in listed
+    with pytest.raises(FileExistsError, match="in use"):
+        studies.run_comparison(spark, [f"{out}/discovery_tests.csv"], str(tmp_path / "compared"), global_rate=1.0)
 
     # without a catalog the short file is studied as well, one that is out of range becomes an error row
     later = studies.run_event_study(spark, data_dir, str(tmp_path / "late"), "2026-01-01 01:00", END, config=config)

@@ -250,7 +250,11 @@ def run_event_study(
 def run_comparison(
     spark: SparkSession, inputs: Sequence[str], output_dir: str, *, global_rate: float = 0.10
 ) -> dict:
-    """Correct several experiments' discovery tables together and write what survives."""
+    """Correct several experiments' discovery tables together and write what survives.
+
+    Results get a folder of their own, with the checksums of its files beside them.
+    """
+    sinks.prepare_fresh_dir(spark, output_dir)
     tables = []
     for path in inputs:
         header = spark.read.csv(path, header=True).columns
@@ -274,6 +278,7 @@ def run_comparison(
         **counts.asDict(),
     }
     sinks.write_document(spark, manifest, f"{output_dir}/comparison_manifest.json")
+    sinks.write_checksums(spark, output_dir)
     return manifest
 
 
