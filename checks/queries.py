@@ -11,9 +11,19 @@ from pyspark.sql import functions as F
 
 from checks import sql
 from checks.settings import CUTOFF, END, HORIZONS, START, STUDY, TRAIN_END, VALIDATION_END
-from tidebars.config import ExperimentSpec, RunRequest, StudyConfig
-from tidebars.fixtures import bars_from_events, read_events, tear_file, trades_from_events, write_json_files, write_market_files
-from tidebars.functions.ranking import benjamini_hochberg
+from tidebars.config import ExperimentSpec, RunRequest, StudyConfig, day_range, split_boundaries
+from tidebars.fixtures import (
+    bars_from_events,
+    read_events,
+    tear_file,
+    trades_from_events,
+    write_each,
+    write_feather_files,
+    write_json_files,
+    write_market_files,
+    write_report_archives,
+)
+from tidebars.functions.ranking import benjamini_hochberg, ranked
 from tidebars.operators import catalog as quality
 from tidebars.operators import discovery as disc
 from tidebars.operators import events as ev
@@ -22,11 +32,27 @@ from tidebars.operators.audit import look_ahead_violations, system_violations
 from tidebars.operators.reuse import requests_table, reusable_runs
 from tidebars.operators.series import Panel, bar_blocks, bar_seconds
 from tidebars.operators.signals import REGISTRY, compute_signals, macd_exits
-from tidebars.plans.studies import build_catalog, comparison_counts
+from tidebars.plans.studies import (
+    build_catalog,
+    comparison_counts,
+    load_selection,
+    run_comparison,
+    run_event_study,
+    write_catalog,
+    write_trade_summary,
+)
 from tidebars.session import prepare, shared_dir, stage
-from tidebars.sinks import checksums, write_csv
+from tidebars.sinks import CATALOG_NAME, checksums, write_csv
 from tidebars.sources import market_files
-from tidebars.sources.reports import read_manifests, read_table
+from tidebars.sources.reports import (
+    CATALOG_SCHEMA,
+    folder_of,
+    newest_file,
+    read_manifests,
+    read_pair_lists,
+    read_table,
+    read_trades,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -264,6 +290,58 @@ def s1_s4_json_files(spark, sf):
     return out(read.select("pair", "timeframe", "extension", "date", "open", "high", "low", "close", "volume"))
 
 
+@query(
+    "s3_p1_feather_files",
+    f"""WITH {sql.HOURLY} SELECT {MARKET} AS pair, timeframe, 'feather' AS extension, {sql.day('date')} AS date, open, high, low, close, volume FROM b
+ WHERE date >= TIMESTAMP '2024-01-03' AND date < TIMESTAMP '2024-01-29'""",
+)
+def s3_p1_feather_files(spark, sf):
+    """Feather files whose columns are in capitals, of another order and with one to spare, cut to a range."""
+    folder = f"{shared_dir(prepare(spark))}/market-{uuid4().hex}"
+    columns = [F.col(c).alias(c.upper()) for c in ("volume", "close", "low", "high", "open")]
+    write_feather_files(hourly(spark, sf).select("pair", "timeframe", "date", *columns, F.lit("x").alias("note")), folder, "1h")
+    listed = market_files.discover(spark, folder, "1h").select("file", "extension")
+    read = market_files.load_bars(spark, folder, "1h").join(listed, "file")
+    cut = read.filter("date >= '2024-01-03' and date < '2024-01-29'")
+    return out(cut.select("pair", "timeframe", "extension", "date", "open", "high", "low", "close", "volume"))
+
+
+@query(
+    "k6_catalog_bundle",
+    f"""WITH {CATALOG}, w AS (SELECT * FROM catalog WHERE timeframe IN ('1h', '4h')) SELECT {MARKET} AS pair, timeframe, candles, first_candle, status,
+   CAST(ready AND timeframe = '1h' AS BIGINT) AS selected, (SELECT count(*) FROM w) AS files, (SELECT count(DISTINCT pair) FROM w) AS unique_pairs,
+   (SELECT count(*) FROM w WHERE ready) AS research_ready_files FROM w""",
+)
+def k6_catalog_bundle(spark, sf):
+    """A catalog written with its summary, read back, and its hourly selection."""
+    folder = f"{shared_dir(prepare(spark))}/catalog-{uuid4().hex}"
+    write_market_files(damaged(spark, sf), f"{folder}/data", "1h")
+    write_market_files(bars_from_events(spark, sf, timeframe="4h"), f"{folder}/data", "4h")
+    span = "2024-01-02", "2024-01-31"
+    summary = write_catalog(spark, f"{folder}/data", f"{folder}/out", *span, timeframes=("1h", "4h"), minimum_coverage=0.9, minimum_candles=170)
+    back = read_table(spark, f"{folder}/out/{CATALOG_NAME}", CATALOG_SCHEMA)
+    chosen = load_selection(spark, f"{folder}/out", "1h", *span).select("pair", F.lit("1h").alias("timeframe"), F.lit(True).alias("chosen"))
+    totals = [F.lit(summary[c]).alias(c) for c in ("files", "unique_pairs", "research_ready_files")]
+    rows = back.join(chosen, ["pair", "timeframe"], "left")
+    return out(rows.select("pair", "timeframe", "candles", "first_candle", "status", F.coalesce("chosen", F.lit(False)).alias("selected"), *totals))
+
+
+@query(
+    "p9_f10_boundaries",
+    """WITH d AS (SELECT event_type AS pair, date_trunc('day', min(ts)) AS f, date_trunc('day', max(ts)) + INTERVAL 1 DAY AS l FROM events GROUP BY event_type)
+ SELECT pair, strftime(f, '%Y%m%d') || '-' || strftime(l, '%Y%m%d') AS days, strftime(f + (date_diff('second', f, l) * 3 // 5) * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS train_end,
+  strftime(f + (date_diff('second', f, l) * 4 // 5) * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS validation_end FROM d""",
+)
+def p9_f10_boundaries(spark, sf):
+    """Day range and split of the whole days each event type covers (five types)."""
+    day = lambda c: F.date_trunc("day", c)
+    spans = read_events(spark, sf).groupBy(F.col("event_type").alias("pair")).agg(
+        F.date_format(day(F.min("ts")), "yyyy-MM-dd").alias("first"), F.date_format(day(F.max("ts")) + F.expr("interval 1 day"), "yyyy-MM-dd").alias("last")
+    )
+    rows = [(r.pair, day_range(r.first, r.last), *(f"{m:%Y-%m-%d %H:%M:%S}" for m in split_boundaries(r.first, r.last))) for r in spans.collect()]
+    return spark.createDataFrame(rows, "pair string, days string, train_end string, validation_end string")
+
+
 @query(
     "a15_catalog_from_files",
     f"""WITH {CATALOG} SELECT {MARKET} AS pair, timeframe, pair || '_USDT_USDT-' || timeframe || '-futures.parquet' AS file, extension, candles, expected_candles, {sql.rounded('coverage_ratio')},
@@ -626,6 +704,77 @@ def c4_j4_holdout(spark, sf):
     return out(holdout.select(*disc.KEYS, "discovery_score", *HOLDOUT_WIDE, "holdout_pass"), doubles=HOLDOUT_WIDE)
 
 
+_RANK = "SELECT '{0}' AS listing, row_number() OVER (ORDER BY {1}) AS place, pair, {2} FROM {3}"
+_HYPOTHESIS = "direction, CAST(horizon_bars AS BIGINT) AS horizon_bars"
+
+
+@query(
+    "o1_o4_ranked",
+    f"""{sql.to_summary()}, {sql.discovery_cte()}, hw AS ({sql.wide(('holdout',))}),
+ ho AS (SELECT disc.*, hw.* EXCLUDE ({sql.KEYS}), COALESCE(non_overlapping_events_holdout >= {STUDY['holdout']} AND test_mean_net_return_holdout > 0, FALSE) AS hp
+   FROM disc LEFT JOIN hw USING ({sql.KEYS}) WHERE discovery_pass),
+ two AS (SELECT 'turtle_channel' AS system_id, * FROM disc UNION ALL SELECT 'turtle_strict', * FROM disc)
+ {_RANK.format('candidates', f'discovery_score DESC NULLS LAST, validation_q_value NULLS LAST, {sql.KEYS}', _HYPOTHESIS, 'disc WHERE discovery_pass')}
+ UNION ALL {_RANK.format('holdout', f'hp DESC, mean_net_return_holdout DESC NULLS LAST, {sql.KEYS}', _HYPOTHESIS, 'ho')}
+ UNION ALL {_RANK.format('combined', 'system_id, pair, direction, horizon_bars', _HYPOTHESIS, 'two')}
+ UNION ALL {_RANK.format('catalog', 'timeframe, pair', 'timeframe, CAST(NULL AS BIGINT)', "(SELECT DISTINCT event_type AS pair, t.timeframe FROM events, (VALUES ('1h'), ('4h'), ('1d')) t(timeframe))")}""",
+)
+def o1_o4_ranked(spark, sf):
+    """Places of candidates, holdout rows, combined hypotheses and catalog files in their orders."""
+    summary = stage(summary_of(spark, sf))
+    selected, holdout = disc.candidate_tables(summary, CONFIG)
+    combined = disc.combine_discovery(spark, tagged(spark, sf))
+    listings = {
+        "candidates": (selected, disc.candidate_order()),
+        "holdout": (holdout, disc.holdout_order()),
+        "combined": (combined, disc.combined_order()),
+        "catalog": (catalog_of(spark, sf).withColumns({"direction": F.col("timeframe"), "horizon_bars": F.lit(None).cast("int")}), [F.asc("timeframe"), F.asc("pair")]),
+    }
+    rows = None
+    for name, (table, order) in listings.items():
+        listed = ranked(table, *order, name="place").select(F.lit(name).alias("listing"), "place", "pair", "direction", "horizon_bars")
+        rows = listed if rows is None else rows.unionByName(listed)
+    return out(rows)
+
+
+@query(
+    "k1_k4_k8_study_outputs",
+    f"""{sql.to_summary()}, {sql.discovery_cte()}, hw AS ({sql.wide(('holdout',))}),
+ ho AS (SELECT *, COALESCE(non_overlapping_events_holdout >= {STUDY['holdout']} AND test_mean_net_return_holdout > 0, FALSE) AS hp FROM disc LEFT JOIN hw USING ({sql.KEYS}) WHERE discovery_pass),
+ totals AS (SELECT count(*) AS hypotheses_tested, count(*) FILTER (train_eligible) AS train_eligible_hypotheses, count(*) FILTER (discovery_pass) AS candidate_rows,
+   (SELECT count(*) FROM ho WHERE hp) AS holdout_passed FROM disc)
+ SELECT * FROM (SELECT 'summary_discovery' AS listing, count(*) AS rows, count(DISTINCT pair) AS pairs, round(sum(p_value), 6) AS p_values FROM summary WHERE period <> 'holdout'
+ UNION ALL SELECT 'discovery_tests', count(*), count(DISTINCT pair), round(sum(p_value_validation), 6) FROM disc
+ UNION ALL SELECT 'candidates_train_validation', count(*), count(DISTINCT pair), round(sum(p_value_validation), 6) FROM disc WHERE discovery_pass
+ UNION ALL SELECT 'holdout_report', count(*), count(DISTINCT pair), round(sum(p_value_holdout), 6) FROM ho
+ UNION ALL SELECT 'dataset_coverage', count(DISTINCT user_id), count(DISTINCT user_id), NULL FROM events
+ UNION ALL SELECT 'errors', 0, 0, NULL FROM (SELECT 1)) CROSS JOIN totals""",
+)
+def k1_k4_k8_study_outputs(spark, sf):
+    """A study from market files to its folder: the six tables read back by their headers (one is
+    empty) and the totals of its summary document."""
+    folder = f"{shared_dir(prepare(spark))}/study-{uuid4().hex}"
+    write_market_files(half_daily(spark, sf), f"{folder}/data", "12h")
+    totals = run_event_study(
+        spark, f"{folder}/data", f"{folder}/out", START, END, system="turtle_channel", timeframe="12h", config=CONFIG, entry_length=5
+    )
+    p_values = {"summary_discovery": "p_value", "holdout_report": "p_value_holdout", "dataset_coverage": None, "errors": None}
+    rows = None
+    for name in ("summary_discovery", "discovery_tests", "candidates_train_validation", "holdout_report", "dataset_coverage", "errors"):
+        p = p_values.get(name, "p_value_validation")
+        table = spark.read.csv(f"{folder}/out/{name}.csv", header=True)
+        counted = table.agg(
+            F.lit(name).alias("listing"), F.count(F.lit(1)).alias("rows"), F.countDistinct("pair").alias("pairs"),
+            F.round(F.sum(F.col(p).cast("double")), 6).alias("p_values") if p else F.lit(None).cast("double").alias("p_values"),
+        )
+        rows = counted if rows is None else rows.unionByName(counted)
+    document = spark.read.json(f"{folder}/out/result_summary.json", multiLine=True)
+    names = ("hypotheses_tested", "train_eligible_hypotheses", "candidate_rows", "holdout_passed")
+    if document.first().asDict()["hypotheses_tested"] != totals["hypotheses_tested"]:
+        raise AssertionError("the summary written is not the one returned")
+    return out(rows.crossJoin(F.broadcast(document.select(*names))))
+
+
 @query(
     "a18_result_counts",
     f"""{sql.to_summary()}, {sql.discovery_cte()}, hw AS ({sql.wide(('holdout',))})
@@ -704,6 +853,29 @@ def a19_comparison_counts(spark, sf):
     return out(comparison_counts(stage(corrected)))
 
 
+@query(
+    "k2_comparison_outputs",
+    f"""{sql.to_summary()}, {sql.discovery_cte()}, {GLOBAL}, s AS (SELECT system_id, count(*) AS tested, count(*) FILTER (pass) AS chosen FROM corrected GROUP BY ALL)
+ SELECT system_id, {sql.KEYS}, round(q, 9) AS global_validation_q_value, CAST(pass AS BIGINT) AS candidate, tested, chosen,
+  (SELECT count(*) FROM corrected) AS hypotheses_tested, (SELECT count(DISTINCT pair) FROM corrected WHERE pass) AS unique_candidate_pairs FROM corrected JOIN s USING (system_id)""",
+)
+def k2_comparison_outputs(spark, sf):
+    """Two discovery tables compared from their files; the three tables and the manifest read back."""
+    folder = f"{shared_dir(prepare(spark))}/comparison-{uuid4().hex}"
+    inputs = [f"{folder}/{i}.csv" for i in range(2)]
+    for path, table in zip(inputs, tagged(spark, sf), strict=True):
+        write_csv(table, path)
+    manifest = run_comparison(spark, inputs, f"{folder}/out", global_rate=0.9)
+    key = "system_id string, pair string, direction string, horizon_bars int, holding_minutes int"
+    read = lambda name: spark.read.csv(f"{folder}/out/{name}.csv", header=True)
+    typed = [F.col(c.split()[0]).cast(c.split()[1]) for c in key.split(", ")]
+    rows = read("combined_discovery_tests").select(*typed, F.col("global_validation_q_value").cast("double"))
+    chosen = read("global_candidates_train_validation").select(*typed, F.lit(1).alias("candidate"))
+    systems = read("system_coverage").select("system_id", F.col("hypotheses_tested").cast("long").alias("tested"), F.col("global_candidate_rows").cast("long").alias("chosen"))
+    joined = rows.join(chosen, [c.split()[0] for c in key.split(", ")], "left").fillna(0, ["candidate"]).join(systems, "system_id")
+    return out(joined.withColumns({c: F.lit(manifest[c]) for c in ("hypotheses_tested", "unique_candidate_pairs")}))
+
+
 @query(
     "w17_duplicate_hypotheses",
     f"{sql.to_summary()}, {sql.discovery_cte()} SELECT {sql.KEYS}, CAST(2 AS BIGINT) AS count FROM disc WHERE direction = 'long'",
@@ -790,6 +962,57 @@ def a12_exit_reasons(spark, sf):
     return out(tm.exit_reason_metrics(trades_from_events(spark, sf)))
 
 
+@query(
+    "k3_k4_trade_outputs",
+    f"""WITH {sql.trades_cte()}, p AS (SELECT * REPLACE ('__ALL__' AS pair) FROM tr UNION ALL SELECT * FROM tr)
+ SELECT 'pair_metrics' AS listing, strategy, pair, NULL AS part, count(*) AS trades, round(avg(r), 9) AS expectancy FROM tr GROUP BY ALL
+ UNION ALL SELECT 'direction_metrics', strategy, pair, direction, count(*), round(avg(r), 9) FROM p GROUP BY ALL
+ UNION ALL SELECT 'exit_reason_metrics', strategy, NULL, exit_reason, count(*), round(avg(r), 9) FROM tr GROUP BY ALL
+ UNION ALL SELECT 'overall_metrics', strategy, NULL, NULL, count(*), round(avg(r), 9) FROM tr GROUP BY ALL""",
+)
+def k3_k4_trade_outputs(spark, sf):
+    """The four files of a trade summary, read back."""
+    folder = f"{shared_dir(prepare(spark))}/trades-{uuid4().hex}"
+    write_trade_summary(trades_from_events(spark, sf), folder)
+    parts = {"pair_metrics": None, "direction_metrics": "direction", "exit_reason_metrics": "exit_reason", "overall_metrics": None}
+    rows = None
+    for name, part in parts.items():
+        table = spark.read.json(f"{folder}/{name}.json") if name == "overall_metrics" else spark.read.csv(f"{folder}/{name}.csv", header=True)
+        text = lambda c: (F.col(c) if c in table.columns else F.lit(None)).cast("string")  # noqa: B023, E731
+        listed = table.select(
+            F.lit(name).alias("listing"), "strategy", text("pair").alias("pair"), text(part).alias("part"),
+            F.col("trades").cast("long").alias("trades"), F.col("expectancy").cast("double").alias("expectancy"),
+        )
+        rows = listed if rows is None else rows.unionByName(listed)
+    return out(rows)
+
+
+@query(
+    "s7_s8_report_zip",
+    f"""WITH {sql.trades_cte()}, u AS (SELECT tr.*, user_id, value FROM tr JOIN events ON trade_no = event_id),
+ c AS (SELECT user_id, count(*) FILTER (trade_no % 3 = 0) AS early, count(*) FILTER (trade_no % 3 <> 0) AS late FROM u GROUP BY user_id)
+ SELECT 'user-' || user_id || '.zip' AS archive, CAST(user_id = (SELECT max(user_id) FROM c) AS BIGINT) AS newest, 'main' AS strategy,
+  row_number() OVER (PARTITION BY user_id ORDER BY trade_no) - 1 AS trade_no, pair, round((value - 50) / 1000, 9) AS profit_ratio, CAST(is_short AS BIGINT) AS is_short,
+  {sql.day('open_date')} AS open_date, {sql.day('close_date')} AS close_date, trade_duration, exit_reason, funding_fees
+ FROM u JOIN c USING (user_id) WHERE (trade_no % 3 = 0) = (early >= late)""",
+)
+def s7_s8_report_zip(spark, sf):
+    """An archive for each user, of two reports and other members: the report with more trades is read.
+    The last user's archive is written last, so it is the newest."""
+    folder = f"{shared_dir(prepare(spark))}/reports-{uuid4().hex}"
+    users = read_events(spark, sf).select(F.col("event_id").alias("trade_no"), "user_id")
+    last = users.agg(F.max("user_id").alias("last")).first().last
+    moment = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias(c)
+    trades = trades_from_events(spark, sf).join(users, "trade_no")
+    trades = stage(trades.select("user_id", F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("name"), "trade_no", "pair", "profit_ratio",
+                                 "is_short", moment("open_date"), moment("close_date"), "trade_duration", "exit_reason", "funding_fees"))
+    for own in (f"user_id <> {last}", f"user_id = {last}"):
+        write_report_archives(trades.filter(own).drop("user_id"), folder)
+    newest = newest_file(spark, folder)
+    rows = read_trades(spark, folder, strategy="main").withColumn("newest", F.col("archive") == newest)
+    return out(rows.withColumn("archive", F.regexp_extract("archive", "([^/]+)$", 1)))
+
+
 def _side(side: str) -> str:
     gain, loss = (f"sum(r) FILTER (direction = '{side}' AND r {op} 0)" for op in ("> ", "<"))
     return f"""count(*) FILTER (direction = '{side}') AS {side}_trades, avg(r) FILTER (direction = '{side}') AS {side}_expectancy,
@@ -835,16 +1058,9 @@ def f11_display_cells(spark, sf):
 # -- reuse and audit ------------------------------------------------------------------------------
 
 
-@query(
-    "j5_s6_reusable_runs",
-    """SELECT CAST(n AS BIGINT) AS request, min('run-' || CAST(user_id AS VARCHAR)) AS run FROM (
-   SELECT user_id, user_id % 3 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) WHERE i = 1 AND user_id % 2 = 0 AND user_id % 5 <> 0 GROUP BY n""",
-)
-def j5_s6_reusable_runs(spark, sf):
-    """Manifests written by users' runs, read back from JSON files and matched to three requests."""
-    root = f"{shared_dir(prepare(spark))}/runs-{uuid4().hex}"
-    users = read_events(spark, sf).select("user_id").distinct()
-    manifest = F.to_json(
+def _manifest():
+    """Manifest of the run of a row's user."""
+    return F.to_json(
         F.struct(
             F.concat(F.lit("system_"), (F.col("user_id") % 3).cast("string")).alias("strategy"),
             F.lit("f" * 64).alias("strategy_sha256"),
@@ -856,7 +1072,18 @@ def j5_s6_reusable_runs(spark, sf):
             F.lit(4.0).alias("post_backtest_slippage_bps_round_trip"),
         )
     )
-    users.select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run"), manifest.alias("value")).write.partitionBy(
+
+
+@query(
+    "j5_s6_reusable_runs",
+    """SELECT CAST(n AS BIGINT) AS request, min('run-' || CAST(user_id AS VARCHAR)) AS run FROM (
+   SELECT user_id, user_id % 3 AS n, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events) WHERE i = 1 AND user_id % 2 = 0 AND user_id % 5 <> 0 GROUP BY n""",
+)
+def j5_s6_reusable_runs(spark, sf):
+    """Manifests written by users' runs, read back from JSON files and matched to three requests."""
+    root = f"{shared_dir(prepare(spark))}/runs-{uuid4().hex}"
+    users = read_events(spark, sf).select("user_id").distinct()
+    users.select(F.concat(F.lit("run-"), F.col("user_id").cast("string")).alias("run"), _manifest().alias("value")).write.partitionBy(
         "run"
     ).option("compression", "none").text(root)
     written = read_manifests(spark, root, name="part-*").withColumn("run", F.regexp_extract("run_dir", "run=(run-[0-9]+)$", 1))
@@ -870,6 +1097,31 @@ def j5_s6_reusable_runs(spark, sf):
     return out(found.select("request", F.regexp_extract("run_dir", "run=(run-[0-9]+)$", 1).alias("run")))
 
 
+@query(
+    "s9_j5_pair_lists",
+    """SELECT CAST(n AS BIGINT) AS request, min('run-' || CAST(user_id AS VARCHAR)) AS run FROM (
+   SELECT DISTINCT user_id, user_id % 3 AS n FROM events) WHERE user_id % 2 = 0 AND user_id % 5 <> 0 GROUP BY n""",
+)
+def s9_j5_pair_lists(spark, sf):
+    """Run folders with manifest, pair list and, but for every fifth, an archive; matched to three requests."""
+    root = f"{shared_dir(prepare(spark))}/runs-{uuid4().hex}"
+    users = read_events(spark, sf).select("user_id").distinct()
+    number = F.col("user_id")
+    # blanks and empty lines are no pairs; runs of odd numbers have the same pairs in another order
+    listed = F.when(number % 2 == 0, F.lit(" A\r\n\n\tB \n")).otherwise(F.lit("B\nA"))
+    file = lambda name, text: F.struct(F.lit(name).alias("file"), text.alias("text"))
+    kinds = F.array(file("run_manifest.json", _manifest()), file("pairs.txt", listed), file("backtest/r.zip", F.when(number % 5 != 0, F.lit("zip"))))
+    each = users.select("user_id", F.explode(kinds).alias("f")).filter("f.text is not null")
+    name = F.concat(F.lit("run-"), F.col("user_id").cast("string"), F.lit("/"), F.col("f.file"))
+    write_each(each.select(name.alias("name"), F.encode("f.text", "UTF-8").alias("content")), root)
+    zips = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(root)
+    plain = lambda df: df.withColumn("run_dir", F.regexp_replace("run_dir", "^file:/+", "/"))
+    archives = zips.select(folder_of(folder_of(F.col("path"))).alias("run_dir"))
+    asked = requests_table(spark, [(RunRequest(f"system_{i}", "f" * 64, "1m", START, END), ["A", "B"]) for i in range(3)])
+    found = reusable_runs(asked, plain(read_manifests(spark, root)), plain(read_pair_lists(spark, root)), plain(archives))
+    return out(found.select("request", F.regexp_extract("run_dir", "(run-[0-9]+)$", 1).alias("run")))
+
+
 @query(
     "c6_lookahead_clean",
     "SELECT 'x' AS system, 'x' AS pair, 'x' AS date, CAST(0 AS BIGINT) AS long_full, CAST(0 AS BIGINT) AS long_then FROM events WHERE FALSE",

@@ -488,3 +488,74 @@ def test_metrics_of_levels_add_up(spark):
     own = directions["a", "__ALL__", "short"]
     assert own.trades == len(every) and own.median_return == pytest.approx(every.profit_ratio.median(), abs=1e-15)
     assert own.max_drawdown_compounded == pytest.approx((equity / np.maximum.accumulate(equity) - 1).min())
+
+
+@pytest.mark.parametrize("size", [1, 3, 7, 1 << 16])
+def test_json_is_read_piece_by_piece(size):
+    import io
+
+    stream = reports.JsonStream(io.BytesIO(' [1, 22.5, {"a": "x,]"}, [], null , "é"] '.encode()), size)
+    assert list(stream.elements()) == [1, 22.5, {"a": "x,]"}, [], None, "é"]
+    stream.finish()
+    for wrong in ("[1,2,]", "[1,2", "[1 2]", "[,1]"):
+        with pytest.raises(ValueError):
+            list(reports.JsonStream(io.BytesIO(wrong.encode()), size).elements())
+
+
+def test_sections_of_reports_read_as_a_whole_document_would_be(tmp_path):
+    texts = [
+        '{"x": [{"y": {}}], "strategy": {"A": {"q": 1, "trades": [1, 2, {"z": [3]}]}, "B": {}, "C": 5, "D": {"trades": {}}, "A": {"trades": [7]}}, "e": 0}',
+        '{"strategy": {"A": {"trades": [1]}}, "strategy": {"B": {"trades": [2, 3], "trades": [4]}}}',
+        '{"strategy": {"A": {"trades": [1]}}, "strategy": 5}',
+        '{"strategy": {"A": {"trades": [1,]}}}',
+        '{"strategy": {"A": {"trades": [1]}}} x',
+        "[]", "5", "", "{",
+    ]
+    path = archive(tmp_path / "w.zip", **{f"m{i}": text for i, text in enumerate(texts)})
+    expected = []
+    for i, text in enumerate(texts):
+        try:
+            document = json.loads(text)
+        except ValueError:
+            continue
+        named = document.get("strategy") if isinstance(document, dict) else None
+        for name, body in named.items() if isinstance(named, dict) else ():
+            trades = body.get("trades", []) if isinstance(body, dict) else None
+            expected.append((f"m{i}.json", name, trades if isinstance(trades, list) else None))
+    found = reports.report_sections((tmp_path / "w.zip").read_bytes())
+    assert [(s.member, s.strategy, None if s.trades is None else list(s.trades)) for s in found] == expected
+    assert [len(s.trades) for s in found if s.trades is not None] == [len(e[2]) for e in expected if e[2] is not None]
+
+
+def test_pair_lists_keep_digits_and_lose_blanks(spark, tmp_path):
+    (tmp_path / "pairs.txt").write_text("0XBTC\r\n\r\n\t1000PEPE \n2Z2\n")
+    assert reports.read_pair_lists(spark, str(tmp_path)).first().pairs == ["0XBTC", "1000PEPE", "2Z2"]
+
+
+def test_a_run_that_fails_half_way_leaves_nothing(spark, tmp_path):
+    folder = tmp_path / "run"
+    with pytest.raises(RuntimeError), sinks.one_step(spark, str(folder)) as work:
+        sinks.write_text(spark, "half", f"{work}/half.txt")
+        raise RuntimeError
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["run"] and not list(folder.iterdir())
+    with sinks.one_step(spark, str(folder)) as work:
+        sinks.write_text(spark, "whole", f"{work}/whole.txt")
+        assert not list(folder.iterdir())
+    assert {p.name for p in folder.iterdir() if not p.name.startswith(".")} == {"whole.txt", "SHA256SUMS.txt"}
+    assert (folder / "SHA256SUMS.txt").read_text() == hashlib.sha256(b"whole").hexdigest() + "  whole.txt\n"
+    with pytest.raises(FileExistsError), sinks.one_step(spark, str(folder)):
+        pass
+    with pytest.raises(FileExistsError), sinks.one_step(spark, str(tmp_path / "other")) as work:
+        (tmp_path / "other" / "taken").write_text("x")  # by another run meanwhile
+    assert [p.name for p in (tmp_path / "other").iterdir()] == ["taken"]
+
+
+def test_places_in_an_order(spark):
+    from tidebars.functions.ranking import ranked
+
+    rows = spark.range(5_000).selectExpr("id", "if(id % 7 = 0, null, id * 31 % 97) as v")
+    got = ranked(rows, F.desc_nulls_last("v"), F.asc("id"))
+    assert got.columns == ["id", "v", "rank"]
+    expected = sorted(((r.id, r.v) for r in rows.collect()), key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    assert {r.id: r["rank"] for r in got.collect()} == {id: i for i, (id, _) in enumerate(expected, 1)}
+    assert ranked(rows.limit(0), F.asc("id")).collect() == []

@@ -6,8 +6,17 @@ bar per (pair, time bucket), one trade per event.
 
 from __future__ import annotations
 
+import io
+import json
+import re
+import zipfile
+from collections.abc import Iterator
 from uuid import uuid4
 
+import pandas as pd
+import pyarrow as pa
+from pyarrow import feather
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +97,52 @@ def write_json_files(bars: DataFrame, folder: str, timeframe: str, extension: st
     _name_files(spark, written, folder, timeframe, extension)
 
 
+def write_each(files: DataFrame, folder: str) -> int:
+    """Write ``name, content`` rows as files below a shared folder, each in its task; a task
+    that runs again writes the same bytes. Returns the number of files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = FileSystem.from_uri(re.sub("^file:/+", "/", folder))
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                target = f"{root}/{name}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(target) as stream:
+                    stream.write(content)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return files.select("name", "content").mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def write_feather_files(bars: DataFrame, folder: str, timeframe: str) -> int:
+    """One Feather file a pair (a month of bars)."""
+
+    def content(pdf: pd.DataFrame) -> pd.DataFrame:
+        stream = io.BytesIO()
+        feather.write_feather(pdf.drop(columns=["pair", "timeframe"]).sort_values("date"), stream)
+        return pd.DataFrame({"name": [f"{pdf['pair'][0]}_USDT_USDT-{timeframe}-futures.feather"], "content": [stream.getvalue()]})
+
+    return write_each(bars.groupBy("pair").applyInPandas(content, "name string, content binary"), folder)
+
+
+def write_report_archives(trades: DataFrame, folder: str) -> int:
+    """One report archive for each ``name``: its trades in an early and a late report, beside members that hold none."""
+
+    def content(pdf: pd.DataFrame) -> pd.DataFrame:
+        stream, late = io.BytesIO(), pdf.trade_no % 3 != 0
+        with zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("config.json", "{}")
+            archive.writestr("notes.txt", "no report")
+            archive.writestr("broken.json", '{"strategy": {"main": {"trades": [')
+            for member, own in (("early", pdf[~late]), ("late", pdf[late])):
+                listed = [json.loads(trade) for trade in own.sort_values("trade_no").trade]
+                archive.writestr(f"{member}.json", json.dumps({"strategy": {"other": {"trades": []}, "main": {"trades": listed}}}))
+        return pd.DataFrame({"name": [f"{pdf['name'][0]}.zip"], "content": [stream.getvalue()]})
+
+    text = trades.select("name", "trade_no", F.to_json(F.struct(*[c for c in trades.columns if c != "name"])).alias("trade"))
+    return write_each(text.groupBy("name").applyInPandas(content, "name string, content binary"), folder)
+
+
 def _name_files(spark: SparkSession, written: str, folder: str, timeframe: str, extension: str) -> None:
     for row in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(written).select("path").collect():
         pair = row.path.rsplit("/", 2)[1].removeprefix("pair=")

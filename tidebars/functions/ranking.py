@@ -138,3 +138,26 @@ def benjamini_hochberg(df: DataFrame, p_value: str, name: str, family: Sequence[
         .select(*df.columns, F.col("_q").alias(name))
     )
     return looked_up.unionAll(df.filter(settled).select(*df.columns, F.col(p_value).alias(name)))
+
+
+def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
+    """Add each row's place, from 1, in the given order, which is to be total.
+
+    Rows are cut into ranges of that order, sorted in their range and written once; a
+    row's place is its own in the range plus the rows of the ranges before, of which
+    there is one small row each. No task sees all rows, however many there are. Lists that are
+    only written in order do not need this; it gives places that can be joined and compared.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stage(sorted_rows.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
+    offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    own = F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return (
+        placed.withColumn("_part", part)
+        .join(F.broadcast(offsets), "_part")  # one row a partition
+        .withColumn(name, F.col("_offset") + own)
+        .drop("_id", "_part", "_offset")
+    )

@@ -55,6 +55,21 @@ DISCOVERY_SCOPE = "train_screened_validation_pair_direction_horizon"
 GLOBAL_SCOPE = "all_experiments_train_screened_validation_family"
 
 
+def candidate_order() -> list[Column]:
+    """Best candidates first."""
+    return [F.desc_nulls_last("discovery_score"), F.asc_nulls_last("validation_q_value"), *map(F.asc, KEYS)]
+
+
+def holdout_order() -> list[Column]:
+    """Candidates that hold first, then by their return."""
+    return [F.desc("holdout_pass"), F.desc_nulls_last("mean_net_return_holdout"), *map(F.asc, KEYS)]
+
+
+def combined_order() -> list[Column]:
+    """By system, then hypothesis."""
+    return [F.asc(c) for c in ("system_id", "system_version", "timeframe", "pair", "direction", "horizon_bars")]
+
+
 def met(condition: Column) -> Column:
     return F.coalesce(condition, F.lit(False))
 
@@ -114,9 +129,7 @@ def discovery_table(summary: DataFrame, config: StudyConfig) -> DataFrame:
 
 def candidates(discovery: DataFrame) -> DataFrame:
     """The frozen selection, best first."""
-    return discovery.filter("discovery_pass").orderBy(
-        F.desc_nulls_last("discovery_score"), F.asc_nulls_last("validation_q_value"), *KEYS
-    )
+    return discovery.filter("discovery_pass").orderBy(*candidate_order())
 
 
 def holdout_report(selected: DataFrame, summary: DataFrame, config: StudyConfig) -> DataFrame:
@@ -133,7 +146,7 @@ def holdout_report(selected: DataFrame, summary: DataFrame, config: StudyConfig)
     return (
         selected.join(by_period(revealed, ("holdout",)), list(KEYS), "left")
         .withColumn("holdout_pass", passed)
-        .orderBy(F.desc("holdout_pass"), F.desc_nulls_last("mean_net_return_holdout"), *KEYS)
+        .orderBy(*holdout_order())
     )
 
 
@@ -188,7 +201,7 @@ def combine_discovery(spark: SparkSession, tables: Iterable[DataFrame]) -> DataF
         return spark.createDataFrame([], ", ".join(f"{c} {t}" for c, t in REQUIRED.items()))
     combined = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), checked)
     check_unique(combined)
-    return combined.orderBy("system_id", "system_version", "timeframe", "pair", "direction", "horizon_bars")
+    return combined.orderBy(*combined_order())
 
 
 def global_fdr(combined: DataFrame, *, global_fdr: float = 0.10) -> DataFrame:

@@ -161,89 +161,87 @@ def run_event_study(
         universe_fingerprint=fingerprint,
         universe_fingerprint_basis=basis + identity.TREE,
     )
-    sinks.prepare_fresh_dir(spark, output_dir)
-
-    # one damaged file must not stop the study of the others: it ends up in ``errors``
-    bars, problems = market_files.load_files(spark, files, first, last)
-    bars = stage(bars)
-    coverage = stage(quality.pair_coverage(bars).join(files.select("pair", "file", "size_bytes"), ["pair", "file"]))
-    errors = quality.unusable_files(files, coverage, problems)
-    summary = stage(
-        study_summary(bars.drop("file"), system, config, train_end, validation_end, **parameters)
-    )
-    discovery = stage(discovery_table(summary, config))
-    selected = stage(candidates(discovery))
-    holdout = stage(holdout_report(selected, summary, config))
-    tables = {
-        "summary_discovery": tag_result(summary.filter("period != 'holdout'"), spec),
-        "discovery_tests": tag_result(discovery, spec),
-        "candidates_train_validation": tag_result(selected, spec),
-        "holdout_report": tag_result(holdout, spec),
-        "dataset_coverage": coverage,
-        "errors": errors,
-    }
-    for name, table in tables.items():
-        sinks.write_csv(table, f"{output_dir}/{name}.csv")
+    with sinks.one_step(spark, output_dir) as folder:
+        # one damaged file must not stop the study of the others: it ends up in ``errors``
+        bars, problems = market_files.load_files(spark, files, first, last)
+        bars = stage(bars)
+        coverage = stage(quality.pair_coverage(bars).join(files.select("pair", "file", "size_bytes"), ["pair", "file"]))
+        errors = quality.unusable_files(files, coverage, problems)
+        summary = stage(
+            study_summary(bars.drop("file"), system, config, train_end, validation_end, **parameters)
+        )
+        discovery = stage(discovery_table(summary, config))
+        selected = stage(candidates(discovery))
+        holdout = stage(holdout_report(selected, summary, config))
+        tables = {
+            "summary_discovery": tag_result(summary.filter("period != 'holdout'"), spec),
+            "discovery_tests": tag_result(discovery, spec),
+            "candidates_train_validation": tag_result(selected, spec),
+            "holdout_report": tag_result(holdout, spec),
+            "dataset_coverage": coverage,
+            "errors": errors,
+        }
+        for name, table in tables.items():
+            sinks.write_csv(table, f"{folder}/{name}.csv")
 
-    counts = discovery.agg(
-        F.count(F.lit(1)).alias("tested"),
-        F.coalesce(F.sum(F.col("train_eligible").cast("int")), F.lit(0)).alias("eligible"),
-    ).first()
-    revealed = holdout.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("holdout_pass").cast("int")), F.lit(0)).alias("passed")
-    ).first()
-    analysed, frozen = coverage.count(), selected.count()
-    minutes = bar_minutes(timeframe)
-    study = f"{system}_event_study"
-    result = {
-        "schema_version": 5,
-        "study": study,
-        "experiment_id": spec.experiment_id,
-        "system_id": spec.system_id,
-        "timeframe": timeframe,
-        "data_start": spec.data_start,
-        "data_end": spec.data_end,
-        "universe_fingerprint": fingerprint,
-        "universe_fingerprint_basis": basis + identity.TREE,
-        "bar_minutes": minutes,
-        "horizons_bars": list(config.horizons_bars),
-        "holding_minutes": [minutes * h for h in config.horizons_bars],
-        "hypotheses_tested": counts.tested,
-        "train_eligible_hypotheses": counts.eligible,
-        "pairs_analyzed": analysed,
-        "pairs_failed": pairs - analysed,
-        "candidate_rows": frozen,
-        "holdout_rows": revealed.n,
-        "holdout_passed": revealed.passed,
-        "status": "candidates_found" if frozen else "no_candidates",
-    }
-    sinks.write_document(spark, result, f"{output_dir}/result_summary.json")
-    manifest = {
-        "schema_version": 3,
-        "created_at_utc": _now(),
-        "study": study,
-        "experiment": spec.manifest(),
-        "entry_rule": "A signal counts once its bar has closed; the trade opens with the bar after it",
-        "start_inclusive": spec.data_start,
-        "end_exclusive": spec.data_end,
-        "train_end": train_end.isoformat(),
-        "validation_end": validation_end.isoformat(),
-        "timeframe": timeframe,
-        "bar_minutes": minutes,
-        "horizon_semantics": "bars",
-        "fdr_scope": DISCOVERY_SCOPE,
-        "significance_method": P_VALUE_METHOD,
-        "event_count_threshold_basis": "non_overlapping_events",
-        "catalog": catalog_dir,
-        "pairs_before_catalog_gate": before_gate,
-        "pairs_discovered": pairs,
-        "pairs_analyzed": analysed,
-        "pairs_failed": pairs - analysed,
-        "config": asdict(config),
-        "holdout_policy": "Holdout metrics are written for the frozen candidates only.",
-    }
-    sinks.write_document(spark, manifest, f"{output_dir}/run_manifest.json")
-    sinks.write_checksums(spark, output_dir)
+        counts = discovery.agg(
+            F.count(F.lit(1)).alias("tested"),
+            F.coalesce(F.sum(F.col("train_eligible").cast("int")), F.lit(0)).alias("eligible"),
+        ).first()
+        revealed = holdout.agg(
+            F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("holdout_pass").cast("int")), F.lit(0)).alias("passed")
+        ).first()
+        analysed, frozen = coverage.count(), selected.count()
+        minutes = bar_minutes(timeframe)
+        study = f"{system}_event_study"
+        result = {
+            "schema_version": 5,
+            "study": study,
+            "experiment_id": spec.experiment_id,
+            "system_id": spec.system_id,
+            "timeframe": timeframe,
+            "data_start": spec.data_start,
+            "data_end": spec.data_end,
+            "universe_fingerprint": fingerprint,
+            "universe_fingerprint_basis": basis + identity.TREE,
+            "bar_minutes": minutes,
+            "horizons_bars": list(config.horizons_bars),
+            "holding_minutes": [minutes * h for h in config.horizons_bars],
+            "hypotheses_tested": counts.tested,
+            "train_eligible_hypotheses": counts.eligible,
+            "pairs_analyzed": analysed,
+            "pairs_failed": pairs - analysed,
+            "candidate_rows": frozen,
+            "holdout_rows": revealed.n,
+            "holdout_passed": revealed.passed,
+            "status": "candidates_found" if frozen else "no_candidates",
+        }
+        sinks.write_document(spark, result, f"{folder}/result_summary.json")
+        manifest = {
+            "schema_version": 3,
+            "created_at_utc": _now(),
+            "study": study,
+            "experiment": spec.manifest(),
+            "entry_rule": "A signal counts once its bar has closed; the trade opens with the bar after it",
+            "start_inclusive": spec.data_start,
+            "end_exclusive": spec.data_end,
+            "train_end": train_end.isoformat(),
+            "validation_end": validation_end.isoformat(),
+            "timeframe": timeframe,
+            "bar_minutes": minutes,
+            "horizon_semantics": "bars",
+            "fdr_scope": DISCOVERY_SCOPE,
+            "significance_method": P_VALUE_METHOD,
+            "event_count_threshold_basis": "non_overlapping_events",
+            "catalog": catalog_dir,
+            "pairs_before_catalog_gate": before_gate,
+            "pairs_discovered": pairs,
+            "pairs_analyzed": analysed,
+            "pairs_failed": pairs - analysed,
+            "config": asdict(config),
+            "holdout_policy": "Holdout metrics are written for the frozen candidates only.",
+        }
+        sinks.write_document(spark, manifest, f"{folder}/run_manifest.json")
     return result
 
 
@@ -254,31 +252,30 @@ def run_comparison(
 
     Results get a folder of their own, with the checksums of its files beside them.
     """
-    sinks.prepare_fresh_dir(spark, output_dir)
-    tables = []
-    for path in inputs:
-        header = spark.read.csv(path, header=True).columns
-        extra = {c: "string" for c in header if c not in REQUIRED}
-        schema = ", ".join(f"`{c}` {REQUIRED.get(c, extra.get(c))}" for c in header)
-        tables.append(read_table(spark, path, schema))
-    corrected = stage(global_fdr(combine_discovery(spark, tables), global_fdr=global_rate))
-    chosen = corrected.filter("global_discovery_pass")
-    sinks.write_csv(corrected, f"{output_dir}/combined_discovery_tests.csv")
-    sinks.write_csv(chosen, f"{output_dir}/global_candidates_train_validation.csv")
-    sinks.write_csv(system_coverage(corrected), f"{output_dir}/system_coverage.csv")
-    counts = comparison_counts(corrected).first()
-    manifest = {
-        "schema_version": 2,
-        "created_at_utc": _now(),
-        "stage": "cross_system_discovery_only",
-        "holdout_policy": "Inputs that hold holdout columns are refused.",
-        "fdr_scope": GLOBAL_SCOPE,
-        "global_fdr": global_rate,
-        "inputs": list(inputs),
-        **counts.asDict(),
-    }
-    sinks.write_document(spark, manifest, f"{output_dir}/comparison_manifest.json")
-    sinks.write_checksums(spark, output_dir)
+    with sinks.one_step(spark, output_dir) as folder:
+        tables = []
+        for path in inputs:
+            header = spark.read.csv(path, header=True).columns
+            extra = {c: "string" for c in header if c not in REQUIRED}
+            schema = ", ".join(f"`{c}` {REQUIRED.get(c, extra.get(c))}" for c in header)
+            tables.append(read_table(spark, path, schema))
+        corrected = stage(global_fdr(combine_discovery(spark, tables), global_fdr=global_rate))
+        chosen = corrected.filter("global_discovery_pass")
+        sinks.write_csv(corrected, f"{folder}/combined_discovery_tests.csv")
+        sinks.write_csv(chosen, f"{folder}/global_candidates_train_validation.csv")
+        sinks.write_csv(system_coverage(corrected), f"{folder}/system_coverage.csv")
+        counts = comparison_counts(corrected).first()
+        manifest = {
+            "schema_version": 2,
+            "created_at_utc": _now(),
+            "stage": "cross_system_discovery_only",
+            "holdout_policy": "Inputs that hold holdout columns are refused.",
+            "fdr_scope": GLOBAL_SCOPE,
+            "global_fdr": global_rate,
+            "inputs": list(inputs),
+            **counts.asDict(),
+        }
+        sinks.write_document(spark, manifest, f"{folder}/comparison_manifest.json")
     return manifest
 
 
