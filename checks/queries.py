@@ -426,6 +426,13 @@ def o6_universe_batch(spark, sf):
     return quality.select_universe(pairs, max_pairs=20, pair_offset=10)
 
 
+@query("o6_universe_rest", "SELECT pair FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS pair FROM events ORDER BY pair OFFSET 10)")
+def o6_universe_rest(spark, sf):
+    """All pairs after the first ten."""
+    pairs = read_events(spark, sf).select(F.col("user_id").cast("string").alias("pair"))
+    return quality.select_universe(pairs, pair_offset=10)
+
+
 @query(
     "a20_universe_fingerprint",
     f"WITH {CATALOG}, {sql.tree('timeframe', "pair || '|' || status", 'catalog')}",

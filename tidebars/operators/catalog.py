@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebars.config import as_utc
+from tidebars.functions.ranking import ranked
 from tidebars.operators.series import BLOCK_ROWS, Panel, bar_blocks, bar_seconds
 
 FILE = ("pair", "timeframe", "file")
@@ -185,13 +186,20 @@ def check_not_stale(selection: DataFrame, files: DataFrame) -> None:
 
 
 def select_universe(selection: DataFrame, *, max_pairs: int | None = None, pair_offset: int = 0) -> DataFrame:
-    """Batch of pairs in name order: skip ``pair_offset``, then take ``max_pairs``."""
+    """Batch of pairs in name order: skip ``pair_offset``, then take ``max_pairs``.
+
+    A batch without an end skips by places, as an offset alone would pass all pairs through one task.
+    """
     if max_pairs is not None and max_pairs <= 0:
         raise ValueError("max_pairs must be positive")
     if pair_offset < 0:
         raise ValueError("pair_offset cannot be negative")
-    pairs = selection.select("pair").distinct().orderBy("pair").offset(pair_offset)
-    return pairs.limit(max_pairs) if max_pairs is not None else pairs
+    pairs = selection.select("pair").distinct()
+    if max_pairs is not None:
+        return pairs.orderBy("pair").offset(pair_offset).limit(max_pairs)
+    if pair_offset:
+        pairs = ranked(pairs, F.asc("pair"), name="place").filter(F.col("place") > pair_offset).drop("place")
+    return pairs.orderBy("pair")
 
 
 def pair_coverage(bars: DataFrame) -> DataFrame:
