@@ -12,10 +12,12 @@ import pytest
 from bars import walk
 from pyspark.sql import functions as F
 
+from checks import queries
 from tidebars import sinks
 from tidebars.config import (
     ExperimentSpec, RunRequest, StudyConfig, day_range, suite_timeframe_detail, timeframe_delta,
 )
+from tidebars.fixtures import write_each
 from tidebars.operators import catalog as quality
 from tidebars.operators import identity
 from tidebars.operators import trades as tm
@@ -416,6 +418,27 @@ def test_reuse(spark, tmp_path):
         RunRequest("E", "f", "1m", START, END, max_pairs=0)
 
 
+@pytest.mark.parametrize("name", ["j5_s6_reusable_runs", "s9_j5_pair_lists"])
+def test_run_folders_are_written_by_many_tasks(spark, tmp_path, monkeypatch, name):
+    """The users' rows are small, but each is a file or three: not the work of one task."""
+    rows = [(i, datetime(2024, 1, 1), i % 400, "click", 1.0, None) for i in range(800)]
+    kinds = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, kinds).write.parquet(str(tmp_path / "events.parquet"))
+    tasks = []
+
+    def counted(files, folder):
+        parts = files.withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+        tasks.append((len(parts), max(r["count"] for r in parts) / sum(r["count"] for r in parts)))
+        return write_each(files, folder)
+
+    monkeypatch.setattr(queries, "write_each", counted)
+    found = {r.request: r.run for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    runs = [i for i in range(400) if i % 2 == 0 and i % 5]
+    assert found == {n: min(f"run-{i}" for i in runs if i % 3 == n) for n in range(3)}
+    ((number, largest),) = tasks
+    assert number >= 8 and largest < 0.25
+
+
 def test_fresh_folder(spark, tmp_path):
     sinks.prepare_fresh_dir(spark, str(tmp_path / "new"))
     sinks.prepare_fresh_dir(spark, str(tmp_path / "new"))
