@@ -16,6 +16,7 @@ from tidebars.llm.documents import free_names, keep_rows, read_table
 from tidebars.llm.exact_dedup import exact_duplicates
 from tidebars.llm.pieces import encode_pieces
 from tidebars.llm.quality import fit_quality, keep_quality
+from tidebars.llm.simhash import alike_rows
 from tidebars.llm.similar import similar_groups
 from tidebars.session import stage
 
@@ -35,14 +36,17 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the row with the smallest id stays.
 
-    Rows are linked if they share 0.8 or more of their five-word shingles, checked on the
-    shingles. Texts without words are one group. Rows are numbered once, in a written copy, so
+    Links of SimHash fingerprints within 3 bits, found in blocks of bits, are candidates. Rows
+    are linked if they share 0.8 or more of their five-word shingles, checked on the shingles.
+    Such texts often differ in more than 3 bits, so MinHash bands give further candidates. Texts
+    without words are one group. Rows are numbered once, in a written copy, so
     missing and repeated ids do not matter; of equal ids in a group the first row stays.
     """
     (name,) = free_names(docs, "__row")
     numbered = stage(docs.withColumn(name, F.monotonically_increasing_id()))
     row, doc_id = F.col(name).alias("row"), F.col("doc_id").alias("doc_id")
-    groups = similar_groups(numbered.select(row, F.col("text").alias("text")))
+    texts = numbered.select(row, F.col("text").alias("text"))
+    groups = similar_groups(texts, alike_rows(texts.withColumnRenamed("row", "doc_id")))
     named = stage(groups.join(numbered.select(row, doc_id), "row"))
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     first = named.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.row").alias("first"))

@@ -8,7 +8,9 @@ from odd_documents import odd, plain
 from test_llm_near import LOWER, SPACED, _roots
 
 import corpus_pipeline
-from tidebars.llm.similar import BANDS, LEAST_EQUAL, ROWS, bit_table, similar_groups
+from tidebars.llm.phrases import _Hashes
+from tidebars.llm.simhash import fingerprint
+from tidebars.llm.similar import BANDS, LEAST_EQUAL, ROWS, band_keys, bit_table, minima, shingles, similar_groups
 
 
 def _shingles(text):
@@ -60,6 +62,15 @@ def test_the_near_stage_finds_pairs_over_and_no_pairs_under_four_fifths(spark):
     assert kept == set(range(len(texts))) - {i for i, _ in links}
 
 
+def test_the_near_stage_links_a_pair_that_shares_a_fingerprint_but_no_band(spark):
+    repeated = "x " * 20 + "a102850 b c"  # found by trying: one of 140 000 such pairs shares no band
+    texts = [repeated, repeated + " d", "x " * 20 + "y z u v w", "other words of another text"]
+    mine = [band_keys(minima(shingles(t, _Hashes()))) for t in texts[:2]]
+    assert not (mine[0] == mine[1]).any() and fingerprint(texts[0]) == fingerprint(texts[1]) == fingerprint(texts[2])
+    assert _similar(texts) == [(1, 0)]  # an equal fingerprint alone is no link: row 2 stays
+    assert sorted(i for i, _ in plain(corpus_pipeline.near(spark, odd(spark, list(enumerate(texts))), None))) == [0, 2, 3]
+
+
 def test_a_pair_at_the_limit_is_missed_once_in_a_hundred_thousand():
     assert (1 - 0.8**ROWS) ** BANDS < 1e-5
 

@@ -188,6 +188,20 @@ def near_links(
     return reduce(DataFrame.unionAll, links)
 
 
+def alike_rows(docs: DataFrame, width: int = SHINGLE_WORDS, distance: int = DISTANCE) -> DataFrame:
+    """Pairs ``a, b`` of rows (``doc_id``, which differ) whose fingerprints are linked as in
+    ``near_duplicates``; they leave every component whole.
+
+    A row is paired with the least one of its fingerprint, and the least rows of
+    linked fingerprints with each other.
+    """
+    signed = stage(fingerprints(docs, width))
+    nodes = stage(signed.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("n")))
+    same = signed.join(nodes.filter("n > 1"), "print").filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    near = near_links(nodes.select("print", "node"), distance)
+    return stage(same.unionAll(near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))).distinct())
+
+
 def near_duplicates(
     docs: DataFrame, width: int = SHINGLE_WORDS, distance: int = DISTANCE, blocks: int = BLOCKS, agreeing: int = AGREEING
 ) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near duplicates by word shingles: MinHash bands find candidates, shingle sets decide them."""
+"""Near duplicates by word shingles: pairs met elsewhere and MinHash bands are candidates, shingle sets decide them."""
 
 from __future__ import annotations
 
@@ -139,16 +139,17 @@ def _may_share(a: str, b: str) -> Column:
     return _like(F.least(f"{a}.core", f"{b}.core"), sizes) & _like(most, sizes)
 
 
-def similar_groups(texts: DataFrame) -> DataFrame:
+def similar_groups(texts: DataFrame, met: DataFrame | None = None) -> DataFrame:
     """``row, root`` of every row (``row, text``; rows differ) linked to another; root is the
     least row reached. A missing text counts as the empty one.
 
     Rows are linked if their sets of five-word shingles share four fifths or more of
-    their union; every link is checked on the sets (32-bit hashes). Rows meet if any
+    their union; every link is checked on the sets (32-bit hashes). Rows meet if they are
+    a pair of ``met`` (``a, b``, found by other means) or if any
     band of MinHash values agrees, and each bucket then needs no more links than
     join the components in it:
 
-    1. Each row of a bucket is compared with the least one.
+    1. Each row of a bucket is compared with the least one, and the pairs of ``met``.
     2. In buckets that still hold several components, shingles that no other row has
        are set aside. A row with too many of them can have no link and goes; the others
        are compared with the row that has the smallest share of them, which in a family of
@@ -171,7 +172,10 @@ def similar_groups(texts: DataFrame) -> DataFrame:
         met = pairs.join(rows.alias("x"), F.col("a") == F.col("x.row")).join(rows.alias("y"), F.col("b") == F.col("y.row"))
         return stage(met.filter(condition).select("a", "b"))
 
-    stars = likely(members.filter("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b")).distinct(), sketches, _close("x", "y"))
+    stars = members.filter("row <> least").select(F.col("row").alias("a"), F.col("least").alias("b"))
+    if met is not None:
+        stars = stars.unionAll(met.select("a", "b"))
+    stars = likely(stars.distinct(), sketches, _close("x", "y"))
     wanted = stars.select(F.col("a").alias("row")).unionAll(stars.select("b")).unionAll(members.filter("n > 2").select("row")).distinct()
     sets = stage(texts.join(wanted, "row", "left_semi").mapInArrow(_sets, "row long, own array<int>"))
     links = stage(_linked(stars, sets))
