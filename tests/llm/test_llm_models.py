@@ -1,7 +1,9 @@
 """Language and quality models: held-out accuracy and odd rows."""
 
 import math
+import random
 import re
+import tracemalloc
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -220,3 +222,17 @@ def test_quality_by_brute_force(spark):
         near = np.argsort(-cosine, kind="stable")[:15]
         votes = np.maximum(cosine[near], 1e-9)
         assert abs(got[r.doc_id] - votes @ known[near] / votes.sum()) < 1e-3
+
+
+def test_the_fit_holds_term_vectors_as_bytes(spark):
+    draw = random.Random(4)
+    rows = [(i, "".join(draw.choices("ab C.1,-", k=60))) for i in range(2500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    tracemalloc.start()
+    model = fit_quality(docs, labels)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    n = len(model.labels)
+    assert n == sum(zlib.crc32(str(i).encode()) % 5 != 0 for i, _ in rows)
+    assert peak < 24 * n * len(model.mean) + (32 << 20)  # numbers of Python take 32 bytes and more for each term

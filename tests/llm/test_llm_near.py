@@ -9,11 +9,12 @@ import pytest
 import xxhash
 from odd_documents import empty, odd, plain
 
-from tidebars.llm.components import components
+from tidebars.llm.components import components, more_links
 from tidebars.llm.decontaminate import contained_items, drop_contaminated
 from tidebars.llm.documents import read_table, text_blocks
 from tidebars.llm.phrases import remove_repeats, sequence_hashes, sliding
 from tidebars.llm.simhash import fingerprint, near_duplicates, near_links
+from tidebars.session import stage
 
 SMALL = "/root/testdata/sf0.001"
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -45,6 +46,20 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_links_that_are_stars_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr("tidebars.llm.components.stage", lambda df: written.append(1) or stage(df))
+    stars = [(i, i % 3) for i in range(3, 40)]
+    roots = components(spark.createDataFrame(stars, "a long, b long"))
+    assert {tuple(r) for r in roots.collect()} == {(i, i % 3) for i in range(40)} and len(written) == 2
+    assert {tuple(r) for r in more_links(roots, spark.createDataFrame([], "a long, b long")).collect()} == {(i, i % 3) for i in range(40)}
+    assert len(written) == 4
+    more = [(39, 50), (38, 50), (60, 61), (61, 62)]
+    found = {r.node: r.root for r in more_links(roots, spark.createDataFrame(more, "a long, b long")).collect()}
+    want = _roots(63, stars + more)
+    assert found == {i: want[i] for i in [*range(40), 50, 60, 61, 62]}
+
+
 def _fingerprint(text):
     words = SPACED.findall(text.translate(LOWER))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])

@@ -97,17 +97,22 @@ class Neighbourhood:
     @classmethod
     def fit(cls, frequencies: np.ndarray, labels: np.ndarray, rank: int) -> Neighbourhood:
         """Latent axes of root frequencies, centred and weighted by inverse document frequency."""
-        rooted = np.sqrt(frequencies.astype(np.float64))
-        mean = rooted.mean(0)
-        weight = np.log((1 + len(rooted)) / (1 + (rooted > 0).sum(0))) + 1
-        terms = (rooted - mean) * weight
+        terms = frequencies.astype(np.float64)
+        np.sqrt(terms, out=terms)
+        mean = terms.mean(0)
+        weight = np.log((1 + len(terms)) / (1 + (terms > 0).sum(0))) + 1
+        terms -= mean
+        terms *= weight
         _, vectors = np.linalg.eigh(terms.T @ terms)
         fitted = cls(mean, weight, vectors[:, ::-1][:, :rank], np.empty((0, rank)), labels.astype(np.float64))
-        fitted.vectors = fitted.embed(frequencies)
+        fitted.vectors = fitted._directions(terms)
         return fitted
 
     def embed(self, frequencies: np.ndarray) -> np.ndarray:
-        latent = ((np.sqrt(frequencies) - self.mean) * self.weight) @ self.axes
+        return self._directions((np.sqrt(frequencies) - self.mean) * self.weight)
+
+    def _directions(self, terms: np.ndarray) -> np.ndarray:
+        latent = terms @ self.axes
         return latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
 
     def score(self, frequencies: np.ndarray, neighbours: int) -> np.ndarray:
@@ -122,8 +127,9 @@ class Neighbourhood:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Terms as the bytes of big-endian floats, which are in the order of the numbers, none below zero."""
     for batch in batches:
-        vectors = pa.array([term_frequencies(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float32()))
+        vectors = pa.array([term_frequencies(t).astype(">f4").tobytes() for t in batch.column("text").to_pylist()], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("quality"), vectors], names=["quality", "terms"])
 
 
@@ -131,7 +137,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_
     """Fit on the ``per_label`` labelled rows of each label with the smallest id hashes.
 
     Rows whose crc32(doc_id) mod 5 is 0 are never used. The driver gets term vectors
-    alone, at most 2 x ``per_label`` of fixed length (about 16 MB). Labels other than
+    alone, at most 2 x ``per_label`` of fixed length (about 16 MB), as bytes: as numbers
+    of Python they would take ten times that. Labels other than
     0 and 1, missing labels and labels without a document are ignored.
     """
     named = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -143,12 +150,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_
     # at most 2 x per_label rows
     wanted = F.broadcast(parts[0].union(parts[1]))
     texts = ids_and_texts(docs).join(wanted, "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
-    table = texts.select("quality", "text").mapInArrow(_frequencies, "quality int, terms array<float>").toPandas()
-    if table.empty:
+    found = sorted((r.quality, bytes(r.terms)) for r in texts.select("quality", "text").mapInArrow(_frequencies, "quality int, terms binary").collect())
+    if not found:
         empty = np.zeros((0, 0))
         return Neighbourhood(empty, empty, empty, empty, np.zeros(0))
-    order = sorted(range(len(table)), key=lambda i: (table.quality[i], tuple(table.terms[i])))
-    return Neighbourhood.fit(np.stack([table.terms[i] for i in order]), table.quality.to_numpy()[order], rank)
+    frequencies = np.stack([np.frombuffer(terms, ">f4") for _, terms in found]).astype(np.float32)
+    qualities = np.array([quality for quality, _ in found])
+    del found
+    return Neighbourhood.fit(frequencies, qualities, rank)
 
 
 def score_quality(docs: DataFrame, model: Neighbourhood, neighbours: int = NEIGHBOURS, threshold: float = THRESHOLD) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebars.llm.components import components
+from tidebars.llm.components import components, more_links
 from tidebars.llm.documents import LOWER, UPPER
 from tidebars.llm.phrases import _FACTORS, _Hashes, sequence_hashes, split_words, word_blocks
 from tidebars.session import stage
@@ -178,7 +178,7 @@ def similar_groups(texts: DataFrame, met: DataFrame | None = None) -> DataFrame:
     stars = likely(stars.distinct(), sketches, _close("x", "y"))
     wanted = stars.select(F.col("a").alias("row")).unionAll(stars.select("b")).unionAll(members.filter("n > 2").select("row")).distinct()
     sets = stage(texts.join(wanted, "row", "left_semi").mapInArrow(_sets, "row long, own array<int>"))
-    links = stage(_linked(stars, sets))
+    roots = components(_linked(stars, sets))
 
     def mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
         """Rows of buckets that hold several components, with their roots."""
@@ -186,7 +186,6 @@ def similar_groups(texts: DataFrame, met: DataFrame | None = None) -> DataFrame:
         several = placed.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s")).filter("r <> s").select("key")
         return placed.join(several, "key", "left_semi")
 
-    roots = components(links)
     open_ = stage(mixed(members.filter("n > 2").select("key", "row"), roots).select("key", "row"))
     if open_.isEmpty():
         return roots.withColumnRenamed("node", "row")
@@ -197,11 +196,9 @@ def similar_groups(texts: DataFrame, met: DataFrame | None = None) -> DataFrame:
     alive = stage(known.join(smallest, "key").filter(_like(F.col("core"), F.col("size") + partner)).select("key", "row", (1 - F.col("core") / F.col("size")).alias("own_share")))
     centre = alive.groupBy("key").agg(F.min(F.struct("own_share", "row")).alias("c")).select("key", F.col("c.row").alias("b"))
     stars = alive.join(centre, "key").filter("row <> b").select(F.col("row").alias("a"), "b").distinct()
-    links = stage(links.unionAll(_linked(likely(stars, bounds, _may_share("x", "y") & _close("x", "y")), sets)))
-    roots = components(links)
+    roots = more_links(roots, _linked(likely(stars, bounds, _may_share("x", "y") & _close("x", "y")), sets))
     rest = stage(mixed(alive.select("key", "row"), roots).join(bounds, "row"))
     x, y = rest.alias("x"), rest.alias("y")
     apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.row") < F.col("y.row")) & (F.col("x.root") != F.col("y.root"))
     open_pairs = x.join(y, apart & _may_share("x", "y") & _close("x", "y")).select(F.col("x.row").alias("a"), F.col("y.row").alias("b")).distinct()
-    more = _linked(stage(open_pairs), sets)
-    return components(stage(links.unionAll(more))).withColumnRenamed("node", "row")
+    return more_links(roots, _linked(stage(open_pairs), sets)).withColumnRenamed("node", "row")
