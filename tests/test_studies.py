@@ -13,7 +13,7 @@ from bars import walk
 from pyspark.sql import functions as F
 
 from checks import queries
-from tidebars import sinks
+from tidebars import fixtures, sinks
 from tidebars.config import (
     ExperimentSpec, RunRequest, StudyConfig, day_range, suite_timeframe_detail, timeframe_delta,
 )
@@ -164,6 +164,75 @@ def test_parquet_is_planned_by_footers(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", keep)
 
 
+def test_small_files_are_read_at_once_to_the_same_bars(spark, tmp_path, monkeypatch):
+    n = 300
+    pdf = walk("AAA", n, 3, gaps=0)[["date", "open", "high", "low", "close", "volume"]]
+    stored = lambda unit, zone=", UTC": pdf.assign(date=lambda d: d["date"].dt.tz_localize(None).astype("datetime64[ns]").dt.tz_localize("UTC" if zone else None).astype(f"datetime64[{unit}{zone}]"))
+    gone = pdf["volume"].where(pdf.index % 7 != 0)
+    twice = pdf.assign(date=pdf["date"].where(pdf.index % 5 != 0, pdf["date"].shift(-1)))  # of two rows the last stays
+    old = pdf.assign(date=pd.to_datetime("1899-12-31 23:00", utc=True).as_unit("us") + pd.to_timedelta(pdf.index, unit="min"))
+    odd_nanos = stored("ns").assign(date=lambda d: d["date"] + pd.to_timedelta(pdf.index % 3 * 500, unit="ns"))
+    plain = {
+        "micros": (stored("us"), {}), "millis": (stored("ms"), {}), "nanos": (odd_nanos, {}), "local": (stored("us", ""), {}),
+        "int96": (stored("ns"), {"use_deprecated_int96_timestamps": True}), "groups": (stored("us"), {"row_group_size": 40}),
+        "holes": (pdf.assign(volume=gone, close=pdf["close"].where(pdf.index % 11 != 0)), {}), "twice": (twice, {}),
+        "whole": (pdf.assign(volume=(pdf["volume"] * 100).astype("int64"), open=pdf["open"].astype("float32")), {}),
+        "shuffled": (pdf.sample(frac=1, random_state=1)[["volume", "close", "date", "low", "open", "high"]].rename(columns=str.upper), {}),
+        "spare": (pdf.assign(note="x", more=[[1, 2]] * n), {}),
+    }
+    closer = {
+        "text": (pdf.assign(volume=pdf["volume"].astype(str)), {}), "days": (pdf.assign(date=pdf["date"].astype(str)), {}),
+        "short": (pdf.drop(columns="volume"), {}), "blank": (pdf.assign(volume=float("nan")).astype({"volume": "Float64"}).assign(volume=pd.NA), {}),
+        "none": (pdf.head(0), {}), "early": (old, {}), "epoch": (pdf.assign(date=pdf["date"].astype("datetime64[ns, UTC]").astype("int64")), {}),
+        "before70": (stored("ns").assign(date=lambda d: d["date"] - pd.Timedelta(days=60 * 365) + pd.Timedelta(1, "ns")), {}),
+        "unsigned": (pdf.assign(volume=(pdf["volume"] * 100).astype("uint64")), {}),
+    }
+    for name, (rows, settings) in {**plain, **closer}.items():
+        rows.to_parquet(tmp_path / f"{name}_USDT_USDT-1m-futures.parquet", index=False, **settings)
+    (tmp_path / "bytes_USDT_USDT-1m-futures.parquet").write_bytes(b"PAR1 no footer PAR1")
+    whole = (tmp_path / "micros_USDT_USDT-1m-futures.parquet").read_bytes()
+    (tmp_path / "torn_USDT_USDT-1m-futures.parquet").write_bytes(whole[:40] + whole[140:])
+    looked_at = []
+    footers = market_files.group_by_footer
+    monkeypatch.setattr(market_files, "group_by_footer", lambda spark, paths: looked_at.append(paths) or footers(spark, paths))
+
+    def read(small):
+        monkeypatch.setattr(market_files, "SMALL_BYTES", small)
+        files = market_files.discover(spark, str(tmp_path), "1m")
+        found = []
+        for limits in ((None, None), (pd.Timestamp(START, tz="UTC") + pd.Timedelta(minutes=30), pd.Timestamp(START, tz="UTC") + pd.Timedelta(minutes=90))):
+            bars, problems = market_files.load_files(spark, files, *limits)
+            found.append((bars.columns, sorted(map(tuple, bars.collect())), sorted(r.pair for r in problems.collect())))
+        return found
+
+    at_once = read(market_files.SMALL_BYTES)
+    short = sorted(path.rsplit("/", 1)[-1].split("_")[0] for path in looked_at[0])
+    assert short == sorted([*closer, "bytes", "torn"])  # the others are opened once, by the task that decodes them
+    assert at_once == read(-1)  # by footers, as large files
+    per_pair = {name: sum(r[0].startswith(name + "/") for r in at_once[0][1]) for name in plain}
+    assert per_pair["shuffled"] == per_pair["micros"] == n and per_pair["holes"] < n and per_pair["twice"] == n - 60
+    assert {r[0].split("/")[0] for r in at_once[1][1]} >= set(plain) and at_once[0][2] == at_once[1][2]
+
+
+def test_market_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    moment = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)
+    price = (F.col("id") % 97).cast("double")
+    pair = F.when(F.col("id") % 5 == 0, "A/B c").when(F.col("id") % 5 == 1, "").when(F.col("id") % 5 == 2, F.concat(F.lit("p"), F.col("id").cast("string"))).when(F.col("id") % 5 == 3, "long")
+    bars = spark.range(30_000).select(pair.alias("pair"), F.lit("1m").alias("timeframe"), moment.alias("date"),
+                                      *[price.alias(c) for c in ("open", "high", "low", "close")], F.lit(1.0).alias("volume"))
+    monkeypatch.setattr(fixtures, "_name_files", None)  # no file is named by the driver
+    fixtures.write_market_files(bars, str(tmp_path), "1m")
+    fixtures.write_market_files(bars, str(tmp_path), "1m")  # as a task that runs again
+    names = {p.name for p in tmp_path.iterdir() if p.suffix == ".parquet"}
+    own = {f"{p}_USDT_USDT-1m-futures.parquet" for p in ("A%2FB c", "long", "__HIVE_DEFAULT_PARTITION__")}
+    assert own < names and len(names) == 6_003
+    long = pq.ParquetFile(tmp_path / "long_USDT_USDT-1m-futures.parquet")
+    assert long.metadata.num_rows == 6_000 and long.num_row_groups > 3 and long.schema.column(0).physical_type == "INT96"
+    back = pd.concat([pq.read_table(tmp_path / name).to_pandas() for name in sorted(own)]).sort_values("date", ignore_index=True)
+    expected = bars.filter("pair is null or pair in ('A/B c', '', 'long')").drop("pair", "timeframe").orderBy("date").toPandas()
+    pd.testing.assert_frame_equal(back.astype({"date": "datetime64[ns]"}), expected.astype({"date": "datetime64[ns]"}))
+
+
 def test_study_from_files(spark, data_dir, tmp_path):
     catalog_dir, out = str(tmp_path / "catalog"), str(tmp_path / "run")
     summary = studies.write_catalog(spark, data_dir, catalog_dir, START, END, timeframes=("1m", "5m"))

@@ -121,7 +121,7 @@ def run_event_study(
     prepare(spark)
     first, last = as_utc(start), as_utc(end)
     train_end, validation_end = split_boundaries(first, last)
-    files = market_files.discover(spark, data_dir, timeframe)
+    files = stage(market_files.listed_files(spark, data_dir, timeframe))
     before_gate = files.count()
     selection = None
     if catalog_dir is not None:
@@ -130,7 +130,8 @@ def run_event_study(
         files = quality.gate(files, selection)
     if max_files is not None:
         files = files.orderBy("pair").limit(max_files)
-    files = stage(files)
+    if catalog_dir is not None or max_files is not None:
+        files = stage(files)
     pairs = files.count()
     if not pairs:
         raise ValueError(f"No research-ready {timeframe} futures files found in {data_dir}")

@@ -10,13 +10,15 @@ import io
 import re
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from datetime import datetime, timedelta, timezone
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,11 @@ FILE_KEYS = ("pair", "timeframe", "file")
 _RAW = "path string, row_index bigint, date timestamp, " + ", ".join(f"{c} double" for c in COLUMNS[1:])
 _RAW += ", problem string"  # why a file cannot be read, in a row of its own
 _DAMAGE = (ValueError, TypeError, OSError, pa.ArrowException)
+# Parquet files up to this size are read at once: what Spark counts for opening a file.
+SMALL_BYTES = 4 << 20
+_BYTES_PER_TASK = 64 << 20
+_OLDEST = int(datetime(1900, 1, 1, tzinfo=timezone.utc).timestamp())  # moments before it may be of another calendar
+_BARS = ", ".join(f"{c} string" for c in FILE_KEYS) + ", date timestamp, " + ", ".join(f"{c} double" for c in COLUMNS[1:])
 
 
 def file_name(path: Column) -> Column:
@@ -61,18 +68,45 @@ def _require_folder(spark: SparkSession, folder: str) -> None:
         raise FileNotFoundError(f"Data directory does not exist: {folder}")
 
 
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
+
+
+def _load(spark: SparkSession, reader: DataFrameReader, paths: list[str]) -> DataFrame:
+    """What ``reader`` makes of listed files, which may be many: their names reach the JVM in one
+    call, and each task that looks them up takes many."""
+    names = spark._jvm.org.apache.commons.lang3.StringUtils.split("\0".join(paths), "\0")
+    with _setting(spark, "spark.sql.sources.parallelPartitionDiscovery.parallelism", str(_tasks(spark))):
+        return reader._df(reader._jreader.load(names))
+
+
+def _tasks(spark: SparkSession) -> int:
+    return 4 * spark.sparkContext.defaultParallelism
+
+
 def _contents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return spark.read.format("binaryFile").load(paths).select("path", "content")
+    return _load(spark, spark.read.format("binaryFile"), paths).select("path", "content")
 
 
 def discover(spark: SparkSession, folder: str, timeframe: str | None = None) -> DataFrame:
     """Market files of a folder (not of its subfolders), by pair; contents are not read."""
+    return listed_files(spark, folder, timeframe).orderBy("pair", "timeframe", "file")
+
+
+def listed_files(spark: SparkSession, folder: str, timeframe: str | None = None) -> DataFrame:
+    """The same in no order, which would look up every file twice."""
     _require_folder(spark, folder)
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*-{timeframe or '*'}-futures.*").load(folder)
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", f"*-{timeframe or '*'}-futures.*").load(folder).coalesce(_tasks(spark))
     found = with_file_identity(listed.select("path", F.col("length").alias("size_bytes"), "modificationTime"))
     if timeframe:
         found = found.filter(F.col("timeframe") == timeframe)
-    return found.select(*FILE_KEYS, "extension", "size_bytes", "path").orderBy("pair", "timeframe", "file")
+    return found.select(*FILE_KEYS, "extension", "size_bytes", "path")
 
 
 def with_file_hash(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -106,22 +140,10 @@ def _epoch_or_text(value: Column) -> Column:
 # -- Parquet by footers -----------------------------------------------------------------
 
 
-@contextmanager
-def _nanos_as_long(spark: SparkSession) -> Iterator[None]:
-    """How pandas writes dates; needed while one file's schema is looked up."""
-    name = "spark.sql.legacy.parquet.nanosAsLong"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before) if before is not None else spark.conf.unset(name)
-
-
 def _bar_schema(spark: SparkSession, path: str) -> T.StructType | None:
     """Types of the bar columns of one file if Spark can read them as bars, from its footer."""
     try:
-        with _nanos_as_long(spark):
+        with _setting(spark, "spark.sql.legacy.parquet.nanosAsLong", "true"):  # how pandas writes dates
             found = {f.name.lower(): f.dataType for f in spark.read.parquet(path).schema}
     except Exception as damage:  # not a Parquet file, or types Spark does not know
         if isinstance(damage, (AnalysisException, Py4JJavaError, PySparkException)):
@@ -152,7 +174,7 @@ def group_by_footer(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[T
     name = F.col("_metadata.file_name").alias("name")
     if not paths:
         return [], []
-    footers = tolerant.schema("no_such_column string").parquet(*paths).groupBy(name).count()
+    footers = _load(spark, tolerant.format("parquet").schema("no_such_column string"), paths).groupBy(name).count()
     rows = {r.name: r["count"] for r in footers.toLocalIterator()}
     short = lambda path: path.rsplit("/", 1)[-1]
     waiting, odd = [p for p in paths if short(p) in rows], [p for p in paths if short(p) not in rows]
@@ -169,7 +191,7 @@ def group_by_footer(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[T
             if not waiting:
                 break
             counts = [F.count(c).alias(f"n_{c}") for c in COLUMNS]  # every column must be decoded to be counted
-            decoded = tolerant.schema(own).parquet(*waiting).groupBy(name).agg(F.count(F.lit(1)).alias("n"), *counts)
+            decoded = _load(spark, tolerant.format("parquet").schema(own), waiting).groupBy(name).agg(F.count(F.lit(1)).alias("n"), *counts)
             whole = {r.name for r in decoded.toLocalIterator() if r.n == rows[r.name] and all(r[f"n_{c}"] for c in COLUMNS)}
             if good := [p for p in waiting if short(p) in whole]:
                 groups.append((own, good))
@@ -180,7 +202,7 @@ def group_by_footer(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[T
 def _scan(spark: SparkSession, schema: T.StructType, paths: list[str], start, end) -> DataFrame:
     """Bars of files of one schema; the range is cut on the stored column, so that row groups
     outside it are not read."""
-    df, stored = spark.read.schema(schema).parquet(*paths), F.col("date")
+    df, stored = _load(spark, spark.read.format("parquet").schema(schema), paths), F.col("date")
     nanos = isinstance(schema["date"].dataType, T.LongType)
     for limit, keep in ((start, Column.__ge__), (end, Column.__lt__)):
         if limit is not None:
@@ -196,6 +218,97 @@ def _scan(spark: SparkSession, schema: T.StructType, paths: list[str], start, en
     )
 
 
+# -- small Parquet files --------------------------------------------------------------------
+
+
+def _plain_bars(content: pa.Buffer) -> tuple[np.ndarray, np.ndarray] | None:
+    """Moments (microseconds, of nanoseconds the whole ones) and prices of the complete rows of a
+    Parquet file, in order; None if it needs a closer look.
+
+    Taken are files of signed numbers and moments that give all rows of their footer and something in
+    every column, which Spark reads to the same values.
+    """
+    from pyarrow import parquet
+
+    file = parquet.ParquetFile(pa.BufferReader(content), coerce_int96_timestamp_unit="us")
+    stored = [c for c in map(file.schema.column, range(len(file.schema))) if c.path.split(".")[0].lower() in COLUMNS]
+    if sorted(c.path.lower() for c in stored) != sorted(COLUMNS) or any(c.max_repetition_level for c in stored):
+        return None
+    names = {c.path.lower(): c.path for c in stored}
+    table = file.read([names[c] for c in COLUMNS], use_threads=False)
+    date, *numbers = (table.column(names[c]) for c in COLUMNS)
+    number = lambda t: pa.types.is_float64(t) or pa.types.is_float32(t) or pa.types.is_signed_integer(t)
+    if not pa.types.is_timestamp(date.type) or not all(number(c.type) for c in numbers):
+        return None
+    if not 0 < table.num_rows == file.metadata.num_rows or any(c.null_count == table.num_rows for c in (date, *numbers)):
+        return None
+    moments = date.to_numpy()
+    known, ticks = ~np.isnat(moments), moments.view(np.int64)
+    per_second = {"s": 1, "ms": 10**3, "us": 10**6, "ns": 10**9}[date.type.unit]
+    if ticks[known].min() < (0 if per_second > 10**6 else _OLDEST * per_second):
+        return None
+    prices = np.array([c.to_numpy() for c in numbers], dtype=float)  # missing is NaN
+    whole = known & ~np.isnan(prices).any(axis=0)
+    ticks, prices = ticks[whole], prices[:, whole]
+    return ticks // 1000 if per_second > 10**6 else ticks * (10**6 // per_second), prices
+
+
+def _last_of_bar(micros: np.ndarray) -> np.ndarray:
+    """Rows that are the last of their moment."""
+    if (micros[1:] > micros[:-1]).all():
+        return np.arange(len(micros))
+    order = np.argsort(micros, kind="stable")
+    sorted_micros = micros[order]
+    return order[np.append(sorted_micros[1:] != sorted_micros[:-1], True)]
+
+
+def _read_small(spark: SparkSession, paths: list[str], size: int, start, end) -> tuple[DataFrame, list[str]]:
+    """Clean bars of small Parquet files within [start, end), and the files that need a closer look.
+
+    Each file is opened once. A bar has all its rows in one file, so the task that decodes it keeps
+    the last one, and no row is shuffled. Bars are written once.
+    """
+    fields = [(c, pa.string()) for c in FILE_KEYS] + [("date", pa.timestamp("us", "UTC"))]
+    schema = pa.schema([*fields, *[(c, pa.float64()) for c in COLUMNS[1:]], ("unsettled", pa.string())])
+    limits = [None if limit is None else as_utc(limit) for limit in (start, end)]
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    first, last = (None if limit is None else (limit - epoch) // timedelta(microseconds=1) for limit in limits)
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*(batch[c].to_pylist() for c in FILE_KEYS), strict=True))
+            held, rows = [], 0
+            for key, path, content in zip(keys, batch["path"].to_pylist(), batch["content"], strict=True):
+                try:
+                    plain = _plain_bars(content.as_buffer())
+                except _DAMAGE:
+                    plain = None
+                if plain is None:
+                    held.append(pa.RecordBatch.from_pylist([{"unsettled": path}], schema=schema))
+                    continue
+                micros, prices = plain
+                kept = _last_of_bar(micros)
+                if first is not None:
+                    kept = kept[micros[kept] >= first]
+                if last is not None:
+                    kept = kept[micros[kept] < last]
+                n = len(kept)
+                columns = [pa.array(micros[kept].view("M8[us]"), schema.field("date").type), *map(pa.array, prices[:, kept])]
+                held.append(pa.RecordBatch.from_arrays([*[pa.repeat(k, n) for k in key], *columns, pa.nulls(n, pa.string())], schema=schema))
+                rows += n
+                if rows >= 65_536:
+                    yield pa.concat_batches(held)
+                    held, rows = [], 0
+            if held:
+                yield pa.concat_batches(held)
+
+    named = with_file_identity(_contents(spark, paths)).select(*FILE_KEYS, "path", "content")
+    tasks = max(_tasks(spark), -(-size // _BYTES_PER_TASK))
+    read = stage(named.coalesce(tasks).mapInArrow(decode, _BARS + ", unsettled string"))
+    unsettled = [r.unsettled for r in read.filter("unsettled is not null").select("unsettled").toLocalIterator()]
+    return read.filter("unsettled is null").drop("unsettled"), sorted(unsettled)
+
+
 # -- files that one task decodes ----------------------------------------------------------
 
 
@@ -294,30 +407,46 @@ def clean_bars(raw: DataFrame, keys=FILE_KEYS) -> DataFrame:
     return whole.groupBy(*keys, "date").agg(*last)
 
 
-def _raw_bars(spark: SparkSession, files: DataFrame, skip: bool, start=None, end=None) -> tuple[DataFrame, DataFrame]:
-    """Raw rows of the listed files, and of these the ones that were decoded file by file.
+def _clean_and_odd(spark: SparkSession, files: DataFrame, skip: bool, start=None, end=None) -> tuple[DataFrame, DataFrame]:
+    """Clean bars of the listed files, and the raw rows of those that were decoded file by file.
 
-    No other file is opened. Parquet files that Spark reads whole are scanned by schema;
-    what is decoded in one task a file (Feather, JSON, odd Parquet) is written once.
+    No other file is opened. Small Parquet files are each read at once; larger ones that Spark reads
+    whole are scanned by schema; what is decoded in one task a file (Feather, JSON, odd Parquet)
+    is written once.
     """
     prepare(spark)
     by_kind: dict[str, list[str]] = {}
-    for row in files.select("path", "extension").toLocalIterator():
-        by_kind.setdefault(row.extension, []).append(row.path)
-    groups, odd = group_by_footer(spark, sorted(by_kind.get("parquet", [])))
+    small, size = [], 0
+    for row in files.select("path", "extension", "size_bytes").toLocalIterator():
+        if row.extension == "parquet" and row.size_bytes <= SMALL_BYTES:
+            small.append(row.path)
+            size += row.size_bytes
+        else:
+            by_kind.setdefault(row.extension, []).append(row.path)
+    parquet_files = by_kind.get("parquet", [])
+    settled = []
+    if len({path.rsplit("/", 1)[-1] for path in (*small, *parquet_files)}) < len(small) + len(parquet_files):
+        parquet_files = [*parquet_files, *small]  # files of one name share their bars
+    elif small:
+        bars, unsettled = _read_small(spark, sorted(small), size, start, end)
+        settled, parquet_files = [bars], [*parquet_files, *unsettled]
+    groups, odd = group_by_footer(spark, sorted(parquet_files))
     json_files = sorted(by_kind.get("json", []) + by_kind.get("json.gz", []))
-    decoded = [spark.createDataFrame([], _RAW)]
+    decoded = []
     if odd:
         decoded.append(_read_each(spark, odd, _decode_parquet, skip))
     if feather := sorted(by_kind.get("feather", [])):
         decoded.append(_read_each(spark, feather, _decode_feather, skip))
     if json_files:
         decoded.append(_read_json(spark, json_files, skip))
-    one_by_one = with_file_identity(reduce(DataFrame.unionByName, decoded))
-    if skip:
+    one_by_one = with_file_identity(reduce(DataFrame.unionByName, [spark.createDataFrame([], _RAW), *decoded]))
+    if skip and decoded:
         one_by_one = stage(one_by_one)
     scanned = [with_file_identity(_scan(spark, schema, paths, start, end)) for schema, paths in groups]
-    return reduce(DataFrame.unionByName, [one_by_one, *scanned]), one_by_one
+    if decoded or scanned or not settled:
+        raw = reduce(DataFrame.unionByName, [one_by_one, *scanned])
+        settled.append(clean_bars(raw.filter(F.col("problem").isNull()) if skip else raw))
+    return reduce(DataFrame.unionByName, settled), one_by_one
 
 
 def load_bars(
@@ -329,14 +458,13 @@ def load_bars(
     failing the job.
     """
     prepare(spark)
-    return clean_bars(_raw_bars(spark, discover(spark, folder, timeframe), skip_unreadable)[0])
+    return _clean_and_odd(spark, listed_files(spark, folder, timeframe), skip_unreadable)[0]
 
 
 def load_files(spark: SparkSession, files: DataFrame, start=None, end=None) -> tuple[DataFrame, DataFrame]:
     """Bars of those of the listed files (as of ``discover``) that can be read whole, cut to
     [start, end), and ``pair, timeframe, file, problem`` of the others."""
-    raw, one_by_one = _raw_bars(spark, files, True, start, end)
-    bars = clean_bars(raw.filter(F.col("problem").isNull()))
+    bars, one_by_one = _clean_and_odd(spark, files, True, start, end)
     if start is not None and end is not None:
         bars = in_range(bars, start, end)
     return bars, one_by_one.filter(F.col("problem").isNotNull()).select(*FILE_KEYS, "problem")
